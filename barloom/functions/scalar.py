@@ -80,7 +80,11 @@ def parse_number(col) -> Column:
 
 
 def fiscal_label(col) -> Column:
-    """Fiscal label without a transition-period suffix: 'Mar 201615m' -> 'Mar 2016'."""
+    """Fiscal label without its trailing digits-and-m run.
+
+    The run is greedy, so a transition year such as 'Mar 201615m' loses its year
+    too, does not parse, and is dropped by the callers.
+    """
     return F.trim(F.regexp_replace(_c(col), r"\d+m$", ""))
 
 

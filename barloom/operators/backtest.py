@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from barloom.functions.pvalues import t_test_pvalue
 from barloom.operators.cross_section import by_day
 from barloom.operators.order_stats import prefix_sums, spearman, tie_table
+from barloom.session import materialize
 
 # --- fixed values ---
 QUANTILE = 0.20
@@ -91,13 +92,16 @@ def period_returns(scored: DataFrame, ret: str, quantile: float = QUANTILE,
     """One row per rebalance date: gross and net long, net long-short, benchmark.
 
     `scored` holds rebalance dates only: date, symbol, score and the return column.
+    It and the baskets are read several times, so both are written once.
     """
     d = scored.where(F.col("score").isNotNull() & F.col(ret).isNotNull())
+    wide = (d.groupBy("date").agg(F.count(F.lit(1)).alias("breadth"))
+            .where(F.col("breadth") >= min_names))
+    d = materialize(d.join(wide.select("date"), "date", "left_semi").select(
+        "date", "symbol", "score", ret))
     bench = (d.groupBy("date").agg(F.count(F.lit(1)).alias("breadth"),
-                                   F.avg(ret).alias("benchmark"))
-             .where(F.col("breadth") >= min_names))
-    d = d.join(bench.select("date"), "date", "left_semi")
-    picks = basket_sides(d.select("date", "symbol", "score", ret), quantile)
+                                   F.avg(ret).alias("benchmark")))
+    picks = materialize(basket_sides(d, quantile))
     legs = picks.groupBy("date").pivot("side", ["long", "short"]).agg(F.avg(ret))
     turn = turnover(picks).groupBy("date").pivot("side", ["long", "short"]).agg(
         F.first("turnover"))
@@ -156,7 +160,8 @@ def performance(periods: DataFrame, col: str, ppy: float = PERIODS_PER_YEAR) ->
     eq = periods.where(F.col(col).isNotNull()).select("date", col, compounded(col).alias("_eq"))
     peak = F.max("_eq").over(by_day().rowsBetween(Window.unboundedPreceding, 0))
     d = eq.withColumn("_dd", F.try_divide(F.col("_eq"), peak) - 1)
-    ann = F.pow(1 + F.avg(col), F.lit(ppy)) - 1
+    # Undefined when the mean period loses everything or more.
+    ann = F.when(F.avg(col) > -1, F.pow(1 + F.avg(col), F.lit(ppy)) - 1)
     vol = F.stddev_samp(col) * F.sqrt(F.lit(ppy))
     return d.agg(
         F.count(F.lit(1)).alias("periods"), ann.alias("ann_return"), vol.alias("ann_vol"),

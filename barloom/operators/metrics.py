@@ -8,6 +8,7 @@ from barloom.operators.cross_section import with_row
 from barloom.operators.order_stats import (
     prefix_sums, quantiles, rank_correlation, spearman, tie_table, with_rank)
 from barloom.schema import FEATURE_COLS
+from barloom.session import materialize
 
 
 def mean_of(cond):
@@ -149,10 +150,11 @@ def yearly_ic(panel: DataFrame, target: str, features=FEATURE_COLS, years=None,
                           *[F.col(c).cast("double").alias(c) for c in features])
     if years is not None:
         picked = picked.where(F.col("year").isin(list(years)))
+    picked = materialize(picked)
     size = picked.groupBy("year").agg(F.count(F.lit(1)).alias("rows"))
     busy = size.where(F.col("rows") >= min_rows)
-    ranked = with_rank(picked.join(F.broadcast(busy), "year", "left_semi"), ["year"], "y",
-                       rank="_ry")
+    ranked = materialize(with_rank(picked.join(F.broadcast(busy), "year", "left_semi"),
+                                   ["year"], "y", rank="_ry"))
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"))
                       for c in features])
     long = (ranked.select("year", "_ry", F.explode(items).alias("_i"))

@@ -149,7 +149,7 @@ def evaluate_regressors(models: dict, df: DataFrame, split: str, boundary: float
     long = reduce(DataFrame.unionByName, [
         predicted(m, df.select("features", "label")).select(
             F.lit(name).alias("model"), "label", "pred") for name, m in models.items()])
-    out = regression_summary(long, "label", "pred", ["model"], boundary)
+    out = regression_summary(materialize(long), "label", "pred", ["model"], boundary)
     out = out.withColumn("split", F.lit(split))
     return versus_baseline(out, baseline) if baseline in models else out
 

@@ -1,6 +1,7 @@
 """Session settings the jobs rely on, and the durable cut of long lineages."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -44,10 +45,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write `df` to the checkpoint folder and return a frame that reads it back.
+    """Write `df` as a table in the checkpoint folder and return a frame reading it.
 
-    Iterative jobs (model zoo, walk-forward) scan their input many times; the
-    written copy survives the loss of executors, a block cache would not.
+    For inputs that several branches of a job read: they are computed once, the
+    branches prune columns, and the planner knows the real size. The table lies in
+    shared storage, so it survives the loss of executors.
     """
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
