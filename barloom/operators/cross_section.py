@@ -14,10 +14,14 @@ def by_day():
 
 
 def attach(df: DataFrame, stats: DataFrame, keys) -> DataFrame:
-    """Left join of group statistics. No hint: adaptive execution broadcasts the
-    statistics when their measured size allows it, and splits skewed partitions
-    of the rows when it does not."""
-    return df.join(stats, list(keys), "left")
+    """Left join of group statistics.
+
+    A table keyed by date alone has one row per calendar day, a few MB for a century,
+    and is broadcast: the panel is not shuffled. Anything else carries no hint:
+    adaptive execution broadcasts it when its measured size allows, and splits skewed
+    partitions of the rows when it does not."""
+    keys = list(keys)
+    return df.join(F.broadcast(stats) if keys == ["date"] else stats, keys, "left")
 
 
 def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
@@ -54,8 +58,8 @@ def volatility_regime(vix: DataFrame, close: str = "close") -> DataFrame:
 
 def add_market_regime(panel: DataFrame, vix: DataFrame) -> DataFrame:
     index = panel.groupBy("date").agg(F.max("nifty_close").alias("nifty_close"))
-    out = attach(panel, index_regime(index), ["date"])
-    out = attach(out, volatility_regime(vix), ["date"])
+    by_date = attach(index_regime(index), volatility_regime(vix), ["date"])
+    out = attach(panel, by_date, ["date"])
     return out.withColumn("relative_strength", F.col("log_return") - F.col("nifty_return"))
 
 

@@ -68,8 +68,7 @@ def add_relative_labels(panel: DataFrame, horizons=HORIZONS) -> DataFrame:
     size = (panel.where(F.col("industry").isNotNull())
             .groupBy("date", "industry").agg(F.count(F.lit(1)).alias("_size")))
     out = attach(panel, by_date, ["date"])
-    out = attach(out, size, ["date", "industry"])
-    out = attach(out, by_sector, ["date", "industry"])
+    out = attach(out, attach(size, by_sector, ["date", "industry"]), ["date", "industry"])
     new = {}
     for h in horizons:
         ret, med = F.col(f"fwd_return_{h}d"), F.col(f"_med_{h}d")

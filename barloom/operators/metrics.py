@@ -24,11 +24,12 @@ def regression_summary(df: DataFrame, y: str, p: str, keys=(), boundary: float =
     n = F.count(F.lit(1))
     sse, sst = F.sum(err * err), F.var_pop(Y) * n
     flat = F.coalesce(F.stddev_pop(P), F.lit(0.0)) == 0
+    pearson = F.try_divide(F.covar_pop(Y, P), F.stddev_pop(Y) * F.stddev_pop(P))
     base = df.where(Y.isNotNull() & P.isNotNull())
     out = base.groupBy(*keys).agg(
         n.alias("n"), F.avg(F.abs(err)).alias("mae"), F.sqrt(sse / n).alias("rmse"),
         F.when(sst > 0, 1 - sse / sst).alias("r2"),
-        F.when(flat, 0.0).otherwise(F.corr(Y, P)).alias("pearson"),
+        F.when(flat, 0.0).otherwise(pearson).alias("pearson"),
         mean_of((Y > boundary) == (P > boundary)).alias("dir_acc"),
         mean_of(F.signum(Y) == F.signum(P)).alias("sign_acc"),
         F.avg(P).alias("pred_mean"), F.stddev_pop(P).alias("pred_std"),

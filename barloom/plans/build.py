@@ -21,8 +21,13 @@ def feature_panel(clean: DataFrame, vix: DataFrame, known: DataFrame) -> DataFra
     by_symbol = materialize(labels.add_forward_labels(add_technicals(clean)))
     regime = xs.add_sector_return(xs.add_market_regime(by_symbol, vix))
     masked = materialize(labels.mask_breaks(regime))
-    full = labels.add_advanced_labels(labels.add_relative_labels(masked))
-    return fund.add_fundamentals(full, known)
+    # Labels are worked out on the few columns they need, then joined once.
+    narrow = masked.select("symbol", "date", "industry", "volatility_20",
+                           *[f"fwd_return_{h}d" for h in labels.HORIZONS])
+    ranked = labels.add_advanced_labels(labels.add_relative_labels(narrow))
+    new = [c for c in ranked.columns if c not in narrow.columns]
+    wide = fund.add_fundamentals(masked, known)
+    return wide.join(ranked.select("symbol", "date", *new), ["symbol", "date"])
 
 
 def build(bars: DataFrame, master: DataFrame, index: DataFrame, vix: DataFrame,
