@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.operators.metrics import accuracy, regression_summary, versus_baseline
+from barloom.operators.scaling import unscale_expr
 from barloom.operators.splits import time_folds, yearly_window
 from barloom.schema import FEATURE_COLS, HORIZONS
 from barloom.session import checkpoint_dir, materialize
@@ -92,7 +93,7 @@ class Logit:
         n = train.count()
         return LogisticRegression(
             featuresCol=self.features, regParam=1.0 / (self.c * n), elasticNetParam=0.0,
-            standardization=False, maxIter=LOGIT_ITER, tol=1e-9).fit(train)
+            standardization=False, maxIter=LOGIT_ITER, tol=1e-7).fit(train)
 
 
 def _boost(cls, spark, params):
@@ -132,7 +133,6 @@ def predicted(model, df: DataFrame, out: str = "pred") -> DataFrame:
 def momentum_forecast(df: DataFrame, params: dict, horizon: int) -> DataFrame:
     """Trailing return in natural units as the forecast: the window equal to the
     horizon where one exists, 20 rows otherwise."""
-    from barloom.operators.scaling import unscale_expr
     col = f"roc_{horizon}" if f"roc_{horizon}" in df.columns else "roc_20"
     return df.withColumn("pred", unscale_expr(col, params[col]))
 

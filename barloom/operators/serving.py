@@ -159,8 +159,10 @@ def track_record(spark) -> DataFrame:
 
 def _heads(rows: DataFrame, models: dict, horizon: int) -> DataFrame:
     median, tercile = models[check_horizon(horizon)]
-    scored = positive_probability(median, rows, "probability")
-    return positive_probability(tercile, scored, "probability_top_tercile")
+    scored = positive_probability(median, rows, "_median")
+    scored = positive_probability(tercile, scored, "_tercile")
+    return scored.withColumnsRenamed({"_median": "probability",
+                                      "_tercile": "probability_top_tercile"})
 
 
 def _served(rows: DataFrame, horizon: int, *extra) -> DataFrame:
