@@ -27,7 +27,10 @@ def cell_of(value: Column, text: bool = False) -> Column:
     if text:
         return F.substring(value, 1, TEXT_CELL)
     bounded = F.greatest(F.least(value, F.lit(_LIMIT)), F.lit(-_LIMIT))
-    return F.floor(F.asinh(bounded / F.lit(LINEAR_BELOW)) * CELLS_PER_E_FOLD).cast("long")
+    # log1p of the magnitude is non-decreasing in floating point too (asinh is not,
+    # below zero); the sign mirrors it.
+    size = F.floor(F.log1p(F.abs(bounded) / F.lit(LINEAR_BELOW)) * CELLS_PER_E_FOLD)
+    return (F.signum(bounded) * size).cast("long")
 
 
 def tie_table(df: DataFrame, keys, value: str, **sums) -> DataFrame:
@@ -169,4 +172,4 @@ def rank_correlation(ranked: DataFrame, keys, x: str, ry: str, out: str) -> Data
 
 def cells_bound() -> int:
     """Upper bound on the cells of one group, whatever the data."""
-    return 2 * math.ceil(math.asinh(_LIMIT / LINEAR_BELOW) * CELLS_PER_E_FOLD)
+    return 2 * math.ceil(math.log1p(_LIMIT / LINEAR_BELOW) * CELLS_PER_E_FOLD)
