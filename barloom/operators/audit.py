@@ -45,7 +45,11 @@ def findings(wide: DataFrame, keys=("symbol",)) -> DataFrame:
 
 
 def jumps_and_gaps(bars: DataFrame, jump: float = 0.25, gap_days: int = 10) -> DataFrame:
-    """Per symbol: large close moves, and calendar gaps with the longest one."""
+    """Per symbol: large close moves, and calendar gaps with the longest one.
+
+    Takes one row per (symbol, date): repeated days are a finding of `structural`,
+    and `cleaning.unique_bars` folds them before anything is ordered by date.
+    """
     d = bars.select("symbol", "date",
                     ratio_change("close", lag_by("close", 1)).alias("_r"),
                     F.datediff("date", lag_by("date", 1)).alias("_gap"))
@@ -76,12 +80,21 @@ def price_jumps(bars: DataFrame, jump: float = 0.25) -> DataFrame:
 def unordered_files(landed: DataFrame) -> DataFrame:
     """Symbols whose dates descend somewhere in file order.
 
-    `landed` carries file, row_no (position inside the file) and date, as written
-    by the landing reader.
+    `landed` carries file, row_no (increasing along a file) and date, as the landing
+    reader adds them. Lines are compared inside each scan split; across splits only
+    their first and last lines are, so a huge file is never one task.
     """
-    w = Window.partitionBy("symbol", "file").orderBy("row_no")
-    return (landed.withColumn("_prev", F.lag("date").over(w))
-            .groupBy("symbol").agg(F.count_if(F.col("date") < F.col("_prev")).alias("descents"))
+    keys = ["symbol", "file", "_split"]
+    d = landed.withColumn("_split", F.shiftright("row_no", 33))
+    inside = Window.partitionBy(*keys).orderBy("row_no")
+    steps = d.withColumn("_prev", F.lag("date").over(inside))
+    parts = steps.groupBy(*keys).agg(
+        F.count_if(F.col("date") < F.col("_prev")).alias("_n"),
+        F.min_by("date", "row_no").alias("_first"), F.max_by("date", "row_no").alias("_last"))
+    chain = Window.partitionBy("symbol", "file").orderBy("_split")
+    cut = (F.col("_first") < F.lag("_last").over(chain)).cast("int")
+    return (parts.withColumn("_cut", F.coalesce(cut, F.lit(0)))
+            .groupBy("symbol").agg(F.sum(F.col("_n") + F.col("_cut")).alias("descents"))
             .where("descents > 0"))
 
 

@@ -33,15 +33,16 @@ def ingest(spark, raw: str, out: str) -> None:
 def audit_raw(spark, raw: str, out: str) -> None:
     """Findings of every file check, plus coverage and cross-source differences."""
     landed = materialize(readers.read_signed_bars(spark, raw))
+    daily = materialize(cleaning.unique_bars(landed.drop("file"), prefer="row_no"))
     found = audit.findings(audit.structural(landed)).unionByName(
-        audit.findings(audit.jumps_and_gaps(landed).fillna(0, ["max_gap_days"]))).unionByName(
+        audit.findings(audit.jumps_and_gaps(daily).fillna(0, ["max_gap_days"]))).unionByName(
         audit.unordered_files(landed).select(
             "symbol", F.lit("descending_dates").alias("check"), F.col("descents").alias("n")))
     writers.write_report(found, f"{out}/qc_report")
     master = readers.read_master(spark, f"{raw}/stock_metadata.csv")
     writers.write_result(audit.coverage(master, landed), f"{out}/coverage")
-    writers.write_result(audit.unadjusted_splits(landed), f"{out}/unadjusted_splits")
-    writers.write_result(audit.price_jumps(landed), f"{out}/price_jumps")
+    writers.write_result(audit.unadjusted_splits(daily), f"{out}/unadjusted_splits")
+    writers.write_result(audit.price_jumps(daily), f"{out}/price_jumps")
     writers.write_result(audit.universe_summary(landed), f"{out}/universe")
 
 

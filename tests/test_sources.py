@@ -81,6 +81,13 @@ def test_file_order_check(spark, tmp_path):
     assert [(r["symbol"], r["descents"]) for r in bad] == [("Q", 1)]
 
 
+def test_audit_job_writes_findings(spark, raw, tmp_path):
+    jobs.audit_raw(spark, raw, str(tmp_path))
+    lines = {r[0] for r in spark.read.text(f"{tmp_path}/qc_report").collect()}
+    assert "[AAA] zero_volume: 10" in lines and not any("descending" in x for x in lines)
+    assert spark.read.parquet(f"{tmp_path}/universe").first()["symbols"] == 7
+
+
 def test_jobs_from_csv_to_model(spark, raw, tmp_path):
     out = str(tmp_path)
     jobs.ingest(spark, raw, out)
