@@ -695,6 +695,25 @@ g AS (SELECT date, max(breadth) AS breadth, avg(fwd_return_30d) AS benchmark,
         avg(fwd_return_30d) FILTER (rn <= 5) AS gross FROM pos GROUP BY date)""", select=f"""
 SELECT date, breadth, {rcols(['benchmark', 'gross'])}, {r('gross - 25e-4')} AS net,
   {r('gross - 25e-4 - benchmark')} AS excess FROM g WHERE breadth >= 5"""),
+        "topk_summary": q(BARS, REB, """
+pos AS (SELECT *, row_number() OVER (PARTITION BY date ORDER BY score DESC, symbol) AS rn,
+          count(*) OVER (PARTITION BY date) AS breadth FROM reb),
+g AS (SELECT date, avg(fwd_return_30d) AS benchmark,
+        avg(fwd_return_30d) FILTER (rn <= 5) AS gross,
+        avg(fwd_return_30d) FILTER (rn <= 5) - 25e-4 AS net FROM pos
+      GROUP BY date HAVING max(breadth) >= 5)""", select=f"""
+SELECT count(*) AS periods, {r('sum(ln(1 + gross))')} AS log_gross,
+  {r('sum(ln(1 + net))')} AS log_net, {r('sum(ln(1 + benchmark))')} AS log_benchmark,
+  {r('avg(net - benchmark)')} AS mean_excess,
+  {r('avg(net - benchmark) * sqrt(count(*)) / stddev_samp(net - benchmark)')} AS t FROM g"""),
+        "feature_bound": q(BARS, TAGGED, select="").rstrip() + scaler_sql() + """
+, z AS (SELECT """ + ", ".join(_scaled(c) for c in CORE) + "\nFROM tagged " + " ".join(
+            f"CROSS JOIN (SELECT * FROM scaler WHERE feature = '{c}') p_{c}" for c in CORE) + """)
+SELECT max(greatest(""" + ", ".join(f"abs({c})" for c in CORE) + """)) AS max_abs,
+  max(greatest(""" + ", ".join(f"abs({c})" for c in CORE) + """)) <= 5 AS within_bound FROM z""",
+        "rebased_prices": q(BARS, select=f"""
+SELECT symbol, date, {r('p')} AS off_peak FROM (SELECT symbol, date, adj_close / max(adj_close)
+  {over('UNBOUNDED PRECEDING', 'CURRENT ROW')} - 1 AS p FROM traded)"""),
         "list_companies": q(BARS, LATEST, select="""
 SELECT symbol, industry, round(close, 2) AS last_close, false AS is_live,
   strftime(date, '%Y-%m-%d') AS as_of_date FROM latest"""),

@@ -324,6 +324,23 @@ def target_standardized(spark, sf):
     return rounded(z.select(*KEY, "split", "z"))
 
 
+def feature_bound(spark, sf):
+    d = splits.purged_split(_modelling(spark, sf), **SPLIT)
+    model = scaling.PanelScaler(inputCols=CORE).fit(d.where("split = 'train'"))
+    return rounded(audit.feature_bound(model.transform(d), CORE))
+
+
+def rebased_prices(spark, sf):
+    """A user's own pandas function per symbol: price over its running maximum."""
+    def rebase(g):
+        g = g.sort_values("date")
+        return g.assign(off_peak=g.adj_close / g.adj_close.cummax() - 1)[
+            ["symbol", "date", "off_peak"]]
+
+    d = st.traded(spark, sf).select(*KEY, "adj_close")
+    return rounded(serving.per_symbol(d, rebase, "symbol string, date date, off_peak double"))
+
+
 # ---- evaluation ----
 def regression_metrics(spark, sf):
     d = st.scored(spark, sf).select("l_tax", (F.col("score") / 10).alias("pred"),
@@ -419,6 +436,15 @@ def topk_backtest(spark, sf):
     return rounded(d)
 
 
+def topk_summary(spark, sf):
+    """Compounded books in logs, mean excess and its t statistic."""
+    d = backtest.top_k_summary(materialize(
+        backtest.top_k_returns(_rebalanced(spark, sf), "fwd_return_30d")))
+    return rounded(d.select("periods", *[F.log1p(f"cum_{c}").alias(f"log_{c}")
+                                         for c in ("gross", "net", "benchmark")],
+                            "mean_excess", "t"))
+
+
 # ---- serving ----
 def list_companies(spark, sf):
     return serving.list_companies(st.panel(spark, sf))
@@ -499,7 +525,8 @@ QUERIES = {
         scaled_features, sequences, time_folds, target_standardized, regression_metrics,
         auc_ap_brier, calibration, confusion, accuracy_by_level, binomial_test, yearly_ic,
         ic_stability, rebalance_calendar, baskets, tied_baskets, turnover_cost, equity_curve,
-        backtest_stats, performance_table, topk_backtest, list_companies, company_detail,
+        backtest_stats, performance_table, topk_backtest, topk_summary, feature_bound, rebased_prices,
+        list_companies, company_detail,
         history, market_overview, top_ranked, risk_tier, trend_labels, signal_labels,
         live_overlay, point_lookup, search_companies, industry_list)}
 QUERIES.update({
