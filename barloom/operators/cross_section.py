@@ -79,5 +79,5 @@ def add_sector_return(panel: DataFrame) -> DataFrame:
             .drop("_n", "_s"))
 
 
-def medians(long: DataFrame, keys, value: str, out: str) -> DataFrame:
-    return quantiles(long, keys, value, {out: 0.5})
+def medians(long: DataFrame, keys, value: str, out: str, bounded: bool = False) -> DataFrame:
+    return quantiles(long, keys, value, {out: 0.5}, bounded)

@@ -61,7 +61,8 @@ def add_relative_labels(panel: DataFrame, horizons=HORIZONS) -> DataFrame:
     """Return against the date median, and against the sector median of the date
     (date median where the sector has one member)."""
     long = melt_horizons(panel, "fwd_return", ["date", "industry"], horizons)
-    by_date = _spread(medians(long, ["date", "h"], "v", "_med"), ["date"], ["_med"], horizons)
+    by_date = _spread(medians(long, ["date", "h"], "v", "_med", bounded=True), ["date"],
+                      ["_med"], horizons)
     peers = long.where(F.col("industry").isNotNull())
     by_sector = _spread(medians(peers, ["date", "industry", "h"], "v", "_smed"),
                         ["date", "industry"], ["_smed"], horizons)

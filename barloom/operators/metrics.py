@@ -17,7 +17,10 @@ def mean_of(cond):
 
 def regression_summary(df: DataFrame, y: str, p: str, keys=(), boundary: float = 0.0,
                        rank: bool = True) -> DataFrame:
-    """MAE, RMSE, R2, MedianAE, correlations, both directional accuracies, moments."""
+    """MAE, RMSE, R2, MedianAE, correlations, both directional accuracies, moments.
+
+    `keys` name a model or a split, of which there are few.
+    """
     keys = list(keys)
     Y, P = F.col(y), F.col(p)
     err = P - Y
@@ -38,7 +41,8 @@ def regression_summary(df: DataFrame, y: str, p: str, keys=(), boundary: float =
     hub = keys or ["_k"]
     with_key = base if keys else base.select("*", one)
     out = out if keys else out.select("*", one)
-    med = quantiles(with_key.withColumn("_ae", F.abs(err)), hub, "_ae", {"median_ae": 0.5})
+    med = quantiles(with_key.withColumn("_ae", F.abs(err)), hub, "_ae", {"median_ae": 0.5},
+                    bounded=True)
     out = out.join(med, hub, "left")
     if rank:
         rho = spearman(with_key, hub, p, y, "_rho").drop("n")
@@ -114,7 +118,7 @@ def calibration(df: DataFrame, y: str, score: str, bins: int = 10) -> DataFrame:
     A score on an inner edge falls in the lower bin; empty bins do not appear.
     """
     edges = quantiles(df.withColumn("_k", F.lit(1)), ["_k"], score,
-                      {f"e{i}": i / bins for i in range(1, bins)})
+                      {f"e{i}": i / bins for i in range(1, bins)}, bounded=True)
     bin_no = sum(((F.col(score) > F.col(f"e{i}")).cast("int") for i in range(1, bins)),
                  F.lit(0))
     return (with_row(df, edges).withColumn("bin", bin_no)

@@ -89,9 +89,16 @@ def with_rank(df: DataFrame, keys, value: str, rank: str = None, pct: str = None
     return df.join(ranks.select(*keys, value, *cols), [*keys, value], "left")
 
 
-def neighbours(df: DataFrame, keys, value: str, probs) -> DataFrame:
+def neighbours(df: DataFrame, keys, value: str, probs, bounded: bool = False) -> DataFrame:
     """Per group: `n`, and the two order statistics `lo_i`, `hi_i` that enclose
-    each quantile. Only rows in the cells that hold one of them are shuffled."""
+    each quantile.
+
+    A first pass counts rows per cell (combined on the map side); only rows in the
+    cells that hold a wanted position go further. `bounded` states that the number of
+    groups is limited by something other than the data - features, models, calendar
+    days - so the list of wanted cells, at most 2 per quantile and group, is broadcast
+    and the rows are filtered where they lie. Otherwise adaptive execution decides.
+    """
     keys = list(keys)
     d = (df.where(F.col(value).isNotNull())
          .select(*keys, F.col(value).alias("_v"), cell_of(F.col(value)).alias("_cell")))
@@ -112,7 +119,7 @@ def neighbours(df: DataFrame, keys, value: str, probs) -> DataFrame:
             wanted = wanted | ((spot(p, up) >= F.col("_off"))
                                & (spot(p, up) < F.col("_off") + F.col("_n")))
     hit = cells.where(wanted).drop("_n")
-    ties = (d.join(hit, [*keys, "_cell"])
+    ties = (d.join(F.broadcast(hit) if bounded else hit, [*keys, "_cell"])
             .groupBy(*keys, "_cell", "_off", "n", "_v")
             .agg(F.count(F.lit(1)).alias("_c")))
     upto = (Window.partitionBy(*keys, "_cell").orderBy("_v")
@@ -134,10 +141,10 @@ def interpolate(i: int, p: float, lo=None, hi=None) -> Column:
     return lo + (hi - lo) * (pos - F.floor(pos))
 
 
-def quantiles(df: DataFrame, keys, value: str, probs: dict) -> DataFrame:
+def quantiles(df: DataFrame, keys, value: str, probs: dict, bounded: bool = False) -> DataFrame:
     """Exact linear-interpolated quantiles, one output column per `probs` entry."""
     names, ps = list(probs), list(probs.values())
-    found = neighbours(df, keys, value, ps)
+    found = neighbours(df, keys, value, ps, bounded)
     return found.select(*keys, *[interpolate(i, p).alias(nm)
                                  for i, (nm, p) in enumerate(zip(names, ps))])
 

@@ -31,7 +31,7 @@ def fit_parameters(train: DataFrame, features, log1p=LOG1P_COLS, winsor=WINSOR)
     items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v"))
                       for c in features])
     long = train.select(F.explode(items).alias("_i")).select("_i.feature", "_i.v")
-    found = neighbours(long, ["feature"], "v", probs).withColumns({
+    found = neighbours(long, ["feature"], "v", probs, bounded=True).withColumns({
         "lo": interpolate(0, probs[0]), "hi": interpolate(4, probs[4]),
         "is_log1p": F.col("feature").isin(list(log1p))})
 

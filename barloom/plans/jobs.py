@@ -19,13 +19,17 @@ from barloom.session import materialize
 from barloom.sources import readers, writers
 
 
+def _input(raw: str, kind: str) -> str:
+    return f"{raw}/{S.LANDING[kind]}"
+
+
 def ingest(spark, raw: str, out: str) -> None:
     """Per-symbol CSV files, master and index -> clean panel by year."""
     landed = readers.read_signed_bars(spark, raw)
     bars = cleaning.unique_bars(landed.drop("file"), prefer="row_no")
     clean = cleaning.clean_panel(
-        bars, readers.read_master(spark, f"{raw}/stock_metadata.csv"),
-        readers.read_index(spark, f"{raw}/NIFTY50_INDEX.csv"),
+        bars, readers.read_master(spark, _input(raw, "master")),
+        readers.read_index(spark, _input(raw, "index")),
         readers.corporate_actions(spark, breaks_only=True))
     writers.write_panel(clean, f"{out}/clean")
 
@@ -39,7 +43,7 @@ def audit_raw(spark, raw: str, out: str) -> None:
         audit.unordered_files(landed).select(
             "symbol", F.lit("descending_dates").alias("check"), F.col("descents").alias("n")))
     writers.write_report(found, f"{out}/qc_report")
-    master = readers.read_master(spark, f"{raw}/stock_metadata.csv")
+    master = readers.read_master(spark, _input(raw, "master"))
     writers.write_result(audit.coverage(master, landed), f"{out}/coverage")
     writers.write_result(audit.unadjusted_splits(daily), f"{out}/unadjusted_splits")
     writers.write_result(audit.price_jumps(daily), f"{out}/price_jumps")
@@ -49,10 +53,10 @@ def audit_raw(spark, raw: str, out: str) -> None:
 def features(spark, raw: str, out: str) -> None:
     """Clean panel + volatility index + statements -> feature panel."""
     known = fund.point_in_time(
-        readers.read_fundamentals(spark, f"{raw}/fundamentals_annual.csv"),
-        readers.read_filings(spark, f"{raw}/filing_dates.csv"))
+        readers.read_fundamentals(spark, _input(raw, "fundamentals")),
+        readers.read_filings(spark, _input(raw, "filings")))
     clean = readers.read_panel(spark, f"{out}/clean").drop("year")
-    vix = readers.read_volatility_index(spark, f"{raw}/INDIA_VIX.csv")
+    vix = readers.read_volatility_index(spark, _input(raw, "volatility_index"))
     full = materialize(build.feature_panel(clean, vix, known))
     writers.write_result(cleaning.gate_report(full, extras=[
         f"top_tercile_{h}d" for h in S.HORIZONS]), f"{out}/gate_report")

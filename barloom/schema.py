@@ -52,6 +52,12 @@ TRACK_RECORD = [
 ]
 SIGNAL_POSITIVE, SIGNAL_NEGATIVE = 0.54, 0.46
 RISK_HIGH, RISK_LOW = 0.66, 0.33
+# Names of the landing inputs beside the per-symbol bar files.
+LANDING = {
+    "master": "stock_metadata.csv", "index": "NIFTY50_INDEX.csv",
+    "volatility_index": "INDIA_VIX.csv", "fundamentals": "fundamentals_annual.csv",
+    "filings": "filing_dates.csv",
+}
 # --- end of fixed values ---
 
 REQUIRED_LABELS = [

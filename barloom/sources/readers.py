@@ -7,7 +7,7 @@ from barloom import schema as S
 from barloom.functions.scalar import canon_symbol, fiscal_label, rename_symbol
 
 FILE_STEM = r"([^/]+)\.csv$"
-NOT_BARS = ["NIFTY50_INDEX", "INDIA_VIX"]
+NOT_BARS = [S.LANDING[k].removesuffix(".csv") for k in ("index", "volatility_index")]
 SIGNATURE = ["Date", "Close", "Volume"]
 
 

@@ -42,6 +42,14 @@ def test_quantiles(df, frame):
         assert np.allclose(got[c], want, rtol=1e-12)
 
 
+def test_bounded_quantiles_filter_rows_in_place(df):
+    q = os_.quantiles(df, ["g"], "v", {"m": 0.5}, bounded=True)
+    plan = q._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    free = os_.quantiles(df, ["g"], "v", {"m": 0.5}).toPandas().sort_values("g")
+    assert np.allclose(q.toPandas().sort_values("g").m, free.m)
+
+
 def test_spearman(df, frame):
     got = os_.spearman(df, ["g"], "v", "y").toPandas().set_index("g").ic.astype(float)
     for g, part in frame.dropna().groupby("g"):
