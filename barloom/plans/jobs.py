@@ -125,7 +125,7 @@ def portfolio(spark, out: str, horizon: int = 60, start: str = "2021-01-01",
     target, ret = f"beats_median_{horizon}d", f"fwd_return_{horizon}d"
     panel = readers.read_panel(spark, f"{out}/features",
                                ["date", "symbol", *feature_cols, target, ret])
-    found = scaling.parameter_dict(readers.read_scaler(spark, f"{out}/scaler"))
+    found = scaling.parameter_dict(writers.read_scaler(spark, f"{out}/scaler"))
     scaled = models.with_vector(panel.withColumns(
         {c: scaling.scale_expr(c, found[c]) for c in feature_cols}), feature_cols)
     scores = models.walk_forward_scores(

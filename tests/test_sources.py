@@ -112,6 +112,16 @@ def test_jobs_from_csv_to_model(spark, raw, tmp_path):
     assert {r["split"] for r in table.collect()} == {"validation", "test"}
     model, meta = writers.load_model(spark, f"{out}/model")
     assert meta["best_model"] == "ridge" and len(meta["feature_cols"]) == 36
+    jobs.prepare(spark, out)
+    scaled = writers.read_split(spark, f"{out}/splits", "train")
+    assert audit.feature_bound(scaled, S.FEATURE_COLS).first()["within_bound"]
+    start = str(first + dt.timedelta(days=span // 2))
+    summary = jobs.portfolio(spark, out, 30, start, 20, purge_days=45, min_train=100,
+                             min_names=3).first()
+    assert summary["periods"] >= 2 and summary["avg_breadth"] >= 3
+    assert spark.read.parquet(f"{out}/portfolio_curve").count() == summary["periods"]
+    jobs.ic_report(spark, out)
+    assert spark.read.parquet(f"{out}/ic_stability").count() == 36
     writers.append_new(clean.drop("year"), f"{out}/clean")
     assert readers.read_panel(spark, f"{out}/clean").count() == clean.count()
 
