@@ -173,17 +173,20 @@ def yearly_ic(panel: DataFrame, target: str, features=FEATURE_COLS, years=None,
 def ic_stability(ics: DataFrame) -> DataFrame:
     """Mean, spread and sign changes of each feature's yearly IC.
 
-    `sign_flips` counts the first year as a change, `true_flips` does not.
+    `sign_flips` counts the first year as a change, `true_flips` does not. Years
+    without an IC are passed over; a feature without any keeps its row.
     """
     w = Window.partitionBy("feature").orderBy("year")
     sign = F.signum("ic")
-    d = ics.where(F.col("ic").isNotNull()).select(
-        "feature", "ic", sign.alias("_s"), F.lag(sign).over(w).alias("_p"))
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    d = ics.select("feature", "ic", sign.alias("_s"),
+                   F.last(sign, ignorenulls=True).over(earlier).alias("_p"))
     flips = F.count_if(F.col("_s") != F.col("_p"))
+    known = (F.count("ic") > 0).cast("int")
     return d.groupBy("feature").agg(
         F.avg("ic").alias("mean_ic"), F.stddev_samp("ic").alias("std_ic"),
         F.min("ic").alias("min_ic"), F.max("ic").alias("max_ic"),
-        (flips + 1).alias("sign_flips"), flips.alias("true_flips"),
+        (flips + known).alias("sign_flips"), flips.alias("true_flips"),
         F.try_divide(F.abs(F.avg("ic")), F.stddev_samp("ic")).alias("stability_score"))
 
 
