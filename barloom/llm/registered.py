@@ -10,6 +10,12 @@ from barloom.llm.common import table
 SURROGATE_KEY = "registered-query"
 
 
+def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    from barloom.llm.packing import pack_documents
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with private data replaced, and how many places that were."""
     from barloom.llm.surrogates import replace_private_data
@@ -24,7 +30,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op7_surrogates, op9_mix_sources]
+    own = [op2_pack_documents, op7_surrogates, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
