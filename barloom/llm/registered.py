@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from barloom.llm.common import table
 
@@ -16,6 +17,13 @@ def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, the counts, base_failed, kept, and how many lines the method removes."""
+    from barloom.llm.quality import quality_rules
+    q = quality_rules(table(spark, sf_dir, "documents"))
+    return q.drop("_key", "removed_lines").withColumn("n_removed_lines", F.size(q["removed_lines"]))
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with private data replaced, and how many places that were."""
     from barloom.llm.surrogates import replace_private_data
@@ -30,7 +38,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_pack_documents, op7_surrogates, op9_mix_sources]
+    own = [op2_pack_documents, op3_quality_rules, op7_surrogates, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
