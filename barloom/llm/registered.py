@@ -21,7 +21,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the counts, base_failed, kept, and how many lines the method removes."""
     from barloom.llm.quality import quality_rules
     q = quality_rules(table(spark, sf_dir, "documents"))
-    return q.drop("_key", "removed_lines").withColumn("n_removed_lines", F.size(q["removed_lines"]))
+    return q.withColumn("n_removed_lines", F.size("removed_lines")).drop("_key", "removed_lines")
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
