@@ -24,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("n_removed_lines", F.size("removed_lines")).drop("_key", "removed_lines")
 
 
+def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score."""
+    from barloom.llm.topk import top_k_search
+    return top_k_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with private data replaced, and how many places that were."""
     from barloom.llm.surrogates import replace_private_data
@@ -38,9 +44,26 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_pack_documents, op3_quality_rules, op7_surrogates, op9_mix_sources]
+    own = [op2_pack_documents, op3_quality_rules, op5_top_k, op7_surrogates, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
+_OP5 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings
+  WHERE embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
+r AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op5_top_k": _OP5}
