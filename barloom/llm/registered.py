@@ -30,6 +30,12 @@ def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_search(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
 
 
+def op6_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
+    from barloom.llm.licences import scan_licences
+    return scan_licences(table(spark, sf_dir, "documents"))
+
+
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, the text with private data replaced, and how many places that were."""
     from barloom.llm.surrogates import replace_private_data
@@ -44,7 +50,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_pack_documents, op3_quality_rules, op5_top_k, op7_surrogates, op9_mix_sources]
+    own = [op2_pack_documents, op3_quality_rules, op5_top_k, op6_licence_scan, op7_surrogates, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
