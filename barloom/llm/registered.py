@@ -24,6 +24,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.withColumn("n_removed_lines", F.size("removed_lines")).drop("_key", "removed_lines")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, score, predicted, n_words, evidence."""
+    from barloom.llm.toxicity import score_toxicity
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     """query_id, rank, vec_id, score."""
     from barloom.llm.topk import top_k_search
@@ -50,7 +56,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_pack_documents, op3_quality_rules, op5_top_k, op6_licence_scan, op7_surrogates, op9_mix_sources]
+    own = [op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
