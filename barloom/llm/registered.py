@@ -49,6 +49,13 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replace_private_data(docs, SURROGATE_KEY)
 
 
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, url, text, n_chars."""
+    from barloom.llm.html_text import extract_main_text
+    out = extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return out.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     from barloom.llm.mixing import mix_sources
@@ -56,7 +63,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op9_mix_sources]
+    own = [op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
