@@ -38,8 +38,10 @@ CAPACITY = 4096
 END_TOKEN = 1
 VOCABULARY = "word_bpe_49k.json"
 
-#: Words whose ids a Python worker remembers before it forgets them all.
-REMEMBERED_WORDS = 300_000
+#: Words, and parts of words, whose ids a Python worker remembers (some 200 bytes each)
+#: before it forgets them all.
+REMEMBERED_WORDS = 700_000
+REMEMBERED_PARTS = 1_000_000
 #: Pieces in one window partition, about.
 RANKED_TOGETHER = 65_536
 
@@ -75,7 +77,7 @@ class WordIds:
         split = [[t] if any(c in t for c in _SEPARATORS) else t.split() for t in texts]
         if len(self.words) > REMEMBERED_WORDS:
             self.words.clear()
-        if len(self.known) > REMEMBERED_WORDS:
+        if len(self.known) > REMEMBERED_PARTS:
             self.known.clear()
         new = {w for ws in split for w in ws}.difference(self.words)
         parts = {w: self.parts.findall(w.lower()) if self.plain.fullmatch(w) else [w] for w in new}
