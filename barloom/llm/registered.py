@@ -11,6 +11,12 @@ from barloom.llm.common import table
 SURROGATE_KEY = "registered-query"
 
 
+def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, class_id, n_links, n_copies."""
+    from barloom.llm.near_copies import ngram_jaccard_join
+    return ngram_jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op2_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     from barloom.llm.packing import pack_documents
@@ -63,7 +69,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    own = [op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources]
+    own = [op1_ngram_jaccard_join, op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources]
     return {f.__name__: f for f in own}
 
 
