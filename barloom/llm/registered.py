@@ -68,8 +68,14 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, position, n_words, class_id, n_occurrences, removed."""
+    from barloom.llm.passages import repeated_paragraphs
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    own = [op1_ngram_jaccard_join, op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources]
+    own = [op1_ngram_jaccard_join, op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources, op10_repeated_passages]
     return {f.__name__: f for f in own}
 
 
