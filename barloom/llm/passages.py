@@ -1,11 +1,13 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, components.
 
 A paragraph is a line of at least `least_words` words. Equal paragraphs are one node,
-whatever their number. The bands are tuned for recall (12 bands of 3 values: a pair at the
+whatever their number. Passages can also stand inside longer lines: there, every run of whole
+sentences that just reaches `WINDOW_WORDS` words is a paragraph too, joined by equality only;
+its hashes are counted in one pass, and those that repeat are placed in a second one. The bands are tuned for recall (12 bands of 3 values: a pair at the
 threshold is missed once in 5,600 cases, and seldomer above it); colliding paragraphs are
 verified by exact Jaccard over five-word shingles, and classes are the components of the
 verified links. In each class the first occurrence (smallest document, then position) stays
-and the others are removed.
+and the others are removed; runs that overlap are given as one span.
 
 Defined results: null and blank texts have no paragraphs; paragraphs shorter than
 `least_words` never repeat; a row that repeats is a further occurrence; rows without an id
@@ -14,6 +16,10 @@ come first; extra columns are not read; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -22,6 +28,11 @@ from barloom.llm.components import connected_components
 from barloom.llm.shingle_links import ShingleLinks, text_node
 
 LEAST_WORDS = 20
+WINDOW_WORDS = 30
+#: Repeated runs (two numbers each) that may be sent to every executor.
+BROADCAST_RUNS = 2_000_000
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+_RUNS = "doc_id long, position int, start int, n_words int, hi long, lo long"
 BANDS = dict(bands=12, rows=3, values=48)
 
 
@@ -42,6 +53,74 @@ def paragraphs(docs: DataFrame, text: str = "text", least_words: int = LEAST_WOR
     return out if keep_line else out.drop("line")
 
 
+def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
+    """Runs of whole sentences inside lines: from every sentence on, until `least_words` are
+    reached. Lines that are one run are left out, they are paragraphs themselves."""
+    def runs(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                out = []
+                for doc, value in zip(part.column("doc_id").to_pylist(), part.column("_text").to_pylist()):
+                    for position, line in enumerate((value or "").lower().split("\n")):
+                        words = _WORD.findall(line)
+                        if len(words) <= least_words:
+                            continue
+                        ends = [i + 1 for i, w in enumerate(words) if w[-1] in ".!?"]
+                        if not ends or ends[-1] < len(words):
+                            ends.append(len(words))
+                        k = 0
+                        for start in [0, *ends[:-1]]:
+                            while k < len(ends) and ends[k] - start < least_words:
+                                k += 1
+                            if k == len(ends):
+                                break
+                            if ends[k] - start < len(words):
+                                h = xxhash.xxh3_128_intdigest(" ".join(words[start:ends[k]]))
+                                out.append((doc, position, start, ends[k] - start, (h >> 64) - 2**63,
+                                            (h & 2**64 - 1) - 2**63))
+                columns = list(zip(*out)) or [[]] * 6
+                types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                                 names=[f.split()[0] for f in _RUNS.split(", ")])
+
+    return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(runs, _RUNS)
+
+
+def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
+    """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal runs."""
+    runs = sentence_runs(docs, text, least_words)
+    twice = stored(runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_occurrences"))
+                   .where("n_occurrences > 1"))
+    found = stored(runs.join(small_side(twice, BROADCAST_RUNS), ["hi", "lo"])
+                   .withColumn("place", F.struct(F.coalesce("doc_id", F.lit(-2**63)).alias("d"),
+                                                 F.col("position").alias("p"), F.col("start").alias("s"))))
+    first = found.groupBy("hi", "lo").agg(F.min("place").alias("first"))
+    told = found.join(first, ["hi", "lo"]).select(
+        "doc_id", "position", "start", (F.col("start") + F.col("n_words")).alias("end"), "n_occurrences",
+        F.col("first.d").alias("first"), (F.col("place") != F.col("first")).alias("removed"))
+    # Runs that touch or overlap are one span; a line's runs are as few as its sentences.
+    line = Window.partitionBy("doc_id", "position", "removed").orderBy("start", "end")
+    apart = F.col("start") > F.coalesce(F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+    spans = told.withColumn("_apart", apart.cast("int")).withColumn("span", F.sum("_apart").over(line))
+    return (spans.groupBy("doc_id", "position", "removed", "span")
+            .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("class_id"),
+                 F.max("n_occurrences").alias("n_occurrences"))
+            .select("doc_id", "position", "start", (F.col("end") - F.col("start")).alias("n_words"),
+                    F.nullif("class_id", F.lit(-2**63)).alias("class_id"), "n_occurrences", "removed"))
+
+
+def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Repeated lines, and repeated runs of sentences in lines that don't repeat as a whole."""
+    lines = stored(repeated_paragraphs(docs, text)).withColumn("start", F.lit(0))
+    held = lines.select("doc_id", "position").distinct()
+    runs = repeated_runs(docs, text).alias("r").join(
+        held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))
+        & (F.col("r.position") == F.col("h.position")), "left_anti")
+    columns = ["doc_id", "position", "start", "n_words", "class_id", "n_occurrences", "removed"]
+    return lines.select(columns).union(runs.select(columns))
+
+
 def repeated_paragraphs(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS,
                         steps: ShingleLinks | None = None) -> DataFrame:
     """One row per occurrence of a paragraph that repeats, equal or nearly so.
@@ -82,11 +161,21 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least_words: int =
         "n_occurrences", "removed")
 
 
-def without_repeats(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """The documents without the occurrences that `repeated_paragraphs` removes."""
-    gone = (repeated_paragraphs(docs, text, least_words).where("removed").groupBy("doc_id")
-            .agg(F.collect_set("position").alias("_gone")))
+def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The documents without the lines and spans that `repeated_passages` removes.
+
+    Words of a line from which a span was cut are joined by single spaces.
+    """
+    gone = (repeated_passages(docs, text).where("removed").select(
+        "doc_id", F.struct("position", "start", (F.col("start") + F.col("n_words")).alias("end")).alias("g"))
+        .groupBy("doc_id").agg(F.collect_set("g").alias("_gone")))
+
+    def cut(line, i):
+        own = F.filter("_gone", lambda g: g["position"] == i)
+        left = F.filter(F.split(F.btrim(F.regexp_replace(line, GAP, " ")), " "),
+                        lambda _, k: ~F.exists(own, lambda g: (k >= g["start"]) & (k < g["end"])))
+        return F.when(F.size(own) == 0, line).when(F.size(left) > 0, F.array_join(left, " "))
+
     told = docs.join(gone, "doc_id", "left")
-    kept = F.array_join(F.filter(F.split(F.col(text), "\n", -1),
-                                 lambda _, i: ~F.array_contains("_gone", i)), "\n")
+    kept = F.array_join(F.filter(F.transform(F.split(F.col(text), "\n", -1), cut), lambda x: x.isNotNull()), "\n")
     return told.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -69,9 +69,9 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, position, n_words, class_id, n_occurrences, removed."""
-    from barloom.llm.passages import repeated_paragraphs
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    """doc_id, position, start, n_words, class_id, n_occurrences, removed."""
+    from barloom.llm.passages import repeated_passages
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
