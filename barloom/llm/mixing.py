@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import stored, word_count
+from barloom.llm.common import small_side, stored, word_count
 
 #: A prime above any number of blocks in a shard, so its multiples permute the blocks.
 _STEP = 2147483647
@@ -138,3 +138,25 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeat:
                    F.expr("_quota div _cut") * F.col("size") + extra).otherwise(0)
     return d.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"),
                     *keep)
+
+
+def mixed_documents(docs: DataFrame, text: str = "text", seed: int = 17, **settings) -> DataFrame:
+    """The rows of `docs` as often as the mix takes them: 0, 1, .. `repeat` times.
+
+    The words taken of a document are rounded to whole documents by a seeded draw, so a
+    source's words come near its target and no text is cut.
+    """
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit("|"),
+                                 F.coalesce(F.col(text), F.lit("")))))
+    keyed = docs.withColumn("_barloom_key", key)
+    mix = mix_sources(keyed.select("doc_id", "source", F.col(text).alias("text"), "_barloom_key"), seed=seed,
+                      keep=("_barloom_key",), **settings)
+    draw = F.when(F.col("size") > 0, F.pmod(F.xxhash64("_barloom_key", F.lit(seed)), F.col("size")))
+    times = F.when(F.col("size") > 0, F.expr("(taken + _barloom_draw) div size")).otherwise(0)
+    # Rows that are equal throughout share their words evenly, so one verdict serves all.
+    chosen = stored(mix.withColumn("_barloom_draw", draw).groupBy("_barloom_key").agg(
+        F.max("size").alias("size"), F.floor(F.avg("taken")).cast("long").alias("taken"), F.max("_barloom_draw").alias("_barloom_draw"))
+        .withColumn("_barloom_times", times).where("_barloom_times > 0").select("_barloom_key", "_barloom_times"))
+    return (keyed.join(small_side(chosen), "_barloom_key")
+            .withColumn("_barloom_turn", F.explode(F.array_repeat(F.lit(1), F.col("_barloom_times").cast("int"))))
+            .select(*docs.columns))

@@ -168,14 +168,14 @@ def without_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     gone = (repeated_passages(docs, text).where("removed").select(
         "doc_id", F.struct("position", "start", (F.col("start") + F.col("n_words")).alias("end")).alias("g"))
-        .groupBy("doc_id").agg(F.collect_set("g").alias("_gone")))
+        .groupBy("doc_id").agg(F.collect_set("g").alias("_barloom_gone")))
 
     def cut(line, i):
-        own = F.filter("_gone", lambda g: g["position"] == i)
+        own = F.filter("_barloom_gone", lambda g: g["position"] == i)
         left = F.filter(F.split(F.btrim(F.regexp_replace(line, GAP, " ")), " "),
                         lambda _, k: ~F.exists(own, lambda g: (k >= g["start"]) & (k < g["end"])))
         return F.when(F.size(own) == 0, line).when(F.size(left) > 0, F.array_join(left, " "))
 
     told = docs.join(gone, "doc_id", "left")
     kept = F.array_join(F.filter(F.transform(F.split(F.col(text), "\n", -1), cut), lambda x: x.isNotNull()), "\n")
-    return told.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)
+    return told.withColumn(text, F.when(F.col("_barloom_gone").isNull(), F.col(text)).otherwise(kept)).select(*docs.columns)

@@ -144,6 +144,6 @@ def without_lines(text: Column, removed_lines: Column) -> Column:
 def keep_good(docs: DataFrame, **rules) -> DataFrame:
     """The documents that the rules keep, as they are."""
     host, text = rules.get("host", "source"), rules.get("text", "text")
-    rejected = stored(quality_rules(docs, **rules).where(~F.col("kept")).select("_key").distinct())
-    return (docs.withColumn("_key", row_key(F.col(host), F.col(text)))
-            .join(small_side(rejected), "_key", "left_anti").select(*docs.columns))
+    rejected = stored(quality_rules(docs, **rules).where(~F.col("kept")).select(F.col("_key").alias("_barloom_key")).distinct())
+    return (docs.withColumn("_barloom_key", row_key(F.col(host), F.col(text)))
+            .join(small_side(rejected), "_barloom_key", "left_anti").select(*docs.columns))

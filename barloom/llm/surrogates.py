@@ -259,21 +259,21 @@ def replace_private_data(docs: DataFrame, key: str, text: str = "text",
                              "entity")
                 .groupBy("kind", "canon").agg(F.min("entity").alias("entity")))
     exceptions = collisions(stored(distinct), key)
-    out = docs.withColumn("_ents", _entities(t))
+    out = docs.withColumn("_barloom_ents", _entities(t))
     if exceptions.isEmpty():
-        out = out.withColumn("_tries", F.lit(None).cast("map<string,int>"))
+        out = out.withColumn("_barloom_tries", F.lit(None).cast("map<string,int>"))
     else:
         # Attempts by text, for the few texts that hold an exception.
-        held = (docs.select(F.md5(t).alias("_h"), F.explode(F.array_distinct(_entities(t))).alias("entity"))
-                .select("_h", kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"))
+        held = (docs.select(F.md5(t).alias("_barloom_h"), F.explode(F.array_distinct(_entities(t))).alias("entity"))
+                .select("_barloom_h", kind(F.col("entity")).alias("kind"), canonical(F.col("entity")).alias("canon"))
                 .join(small_side(exceptions), ["kind", "canon"]).distinct())
-        tries = stored(held.groupBy("_h").agg(F.map_from_entries(F.collect_set(
-            F.struct(F.concat_ws("|", "kind", "canon"), F.col("attempt")))).alias("_tries")))
-        out = out.withColumn("_h", F.md5(t)).join(small_side(tries), "_h", "left").drop("_h")
+        tries = stored(held.groupBy("_barloom_h").agg(F.map_from_entries(F.collect_set(
+            F.struct(F.concat_ws("|", "kind", "canon"), F.col("attempt")))).alias("_barloom_tries")))
+        out = out.withColumn("_barloom_h", F.md5(t)).join(small_side(tries), "_barloom_h", "left").drop("_barloom_h")
     pieces = F.split(t, ANY, -1)
-    new = F.transform("_ents", lambda e: surrogate(e, key, F.coalesce(
-        F.try_element_at("_tries", F.concat_ws("|", kind(e), canonical(e))), F.lit(0))))
+    new = F.transform("_barloom_ents", lambda e: surrogate(e, key, F.coalesce(
+        F.try_element_at("_barloom_tries", F.concat_ws("|", kind(e), canonical(e))), F.lit(0))))
     both = F.zip_with(pieces, new, lambda p, n: F.concat(p, F.coalesce(n, F.lit(""))))
-    done = F.when(F.size("_ents") > 0, F.array_join(both, "")).otherwise(t)
-    return (out.withColumn(text, done).withColumn(count, F.greatest(F.size("_ents"), F.lit(0)).cast("long"))
+    done = F.when(F.size("_barloom_ents") > 0, F.array_join(both, "")).otherwise(t)
+    return (out.withColumn(text, done).withColumn(count, F.greatest(F.size("_barloom_ents"), F.lit(0)).cast("long"))
             .select(*docs.columns, count))
