@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from barloom.llm.common import stored
 
 
-def _followed(m: DataFrame) -> DataFrame:
-    """Pointers (node, parent) followed to their ends."""
+def followed(m: DataFrame) -> DataFrame:
+    """Pointers (node, parent) without cycles, followed to their ends; stored."""
     while True:
         up = m.select(F.col("node").alias("parent"), F.col("parent").alias("_up"))
         m = stored(m.join(up, "parent", "left").select(
@@ -41,7 +41,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             e.select(F.col("b").alias("node"), F.col("a").alias("other")))
         m = stored(both.groupBy("node").agg(F.min("other").alias("other"))
                    .select("node", F.least("node", "other").alias("parent")))
-        m = _followed(m)
+        m = followed(m)
         if whole is None:
             whole = m
         else:

@@ -5,8 +5,9 @@ that agree in all rows of a band. Bands of groups of near copies are hot, so pai
 taken from them directly:
 
 1. Bands are counted, and only those that two nodes share go on.
-2. Every node gets a pivot: the smallest node of most of its shared bands. Nodes with one
-   pivot form a group; all pairs inside a group are candidates. A group is cut into blocks,
+2. Every node points to the smallest node that leads two of its shared bands; where the pointers
+   end is its pivot. Nodes with one pivot form a group; all pairs inside a group are
+   candidates. A group is cut into blocks,
    and a task holds a pair of blocks, so a group of any size is many bounded tasks. A task
    hands on a count of links and a local root per node, never the pairs.
 3. Bands whose nodes have different pivots give the remaining candidates, again by pairs of
@@ -29,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.llm.common import small_side, stored
+from barloom.llm.components import followed
 
 BLOCK_NODES = 256
 _STEP = 16
@@ -257,10 +259,16 @@ class ShingleLinks:
 
     @staticmethod
     def pivots(shared: DataFrame) -> DataFrame:
-        """(node, pivot): the smallest node of most of a node's shared bands; stored."""
+        """(node, pivot): where a node's pointers end; stored.
+
+        A node points to the smallest node that is the least of two of its shared bands or
+        more; one band in common is often chance. Pointers lead to smaller nodes only.
+        """
         smallest = shared.groupBy("key").agg(F.min("node").alias("pivot"))
         votes = shared.join(smallest, "key").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("votes"))
-        return stored(votes.groupBy("node").agg(F.max_by("pivot", F.struct("votes", "pivot")).alias("pivot")))
+        pointers = votes.groupBy("node").agg(F.min(F.when(F.col("votes") > 1, F.col("pivot"))).alias("p"))
+        pointers = pointers.select("node", F.coalesce("p", "node").alias("parent"))
+        return followed(pointers).withColumnRenamed("parent", "pivot")
 
     @staticmethod
     def block_pairs(rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
