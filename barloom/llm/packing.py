@@ -148,16 +148,17 @@ def _sets_that_dominate(left: np.ndarray, capacity: int) -> list[tuple[int, int,
                 break
         return out
 
-    def longest_pair(length, room):  # the largest sum of two items that fits
-        best, i, j = 0, 0, bisect_left(present, room + 1) - 1
-        while 0 <= i <= j:
-            a, b = present[i], present[j]
-            enough = left[a] - (a == length) >= 1 + (a == b) and left[b] - (b == length) >= 1
-            if a + b > room or (i == j and not enough):
-                j -= 1
+    def longest_pair(length, room):  # the largest sum of two items beside one of `length` that fits
+        beside = [x for x in present if x <= room and left[x] - (x == length) > 0]
+        best, i, j = 0, 0, len(beside) - 1
+        while i < j:
+            total = beside[i] + beside[j]
+            if total <= room:
+                best, i = max(best, total), i + 1
             else:
-                best = max(best, a + b * enough if enough else 0)
-                i += 1
+                j -= 1
+        if i == j and 2 * beside[i] <= room and left[beside[i]] - (beside[i] == length) > 1:
+            best = max(best, 2 * beside[i])
         return best
 
     changed = True
