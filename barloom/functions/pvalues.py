@@ -1,5 +1,6 @@
 """Tail probabilities as vectorised UDFs over (already aggregated) statistics."""
 
+import itertools
 import math
 
 import pandas as pd
@@ -13,7 +14,7 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1)
     d = 1.0 / (d if abs(d) > tiny else tiny)
     h = d
-    for m in range(1, 500):
+    for m in itertools.count(1):  # some sqrt(a + b) terms are needed
         for num in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)),
                     -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
             d = 1.0 + num * d
@@ -21,19 +22,34 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
             c = 1.0 + num / c
             c = c if abs(c) > tiny else tiny
             h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+        if not abs(d * c - 1.0) > 1e-15:  # also ends on a NaN
             break
     return h
 
 
+def _stirling_rest(z: float) -> float:
+    return 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+
+
+def _beta_front(a: float, b: float, x: float) -> float:
+    """x^a (1-x)^b / B(a, b). Large arguments go by Stirling's formula, in which the large
+    logarithms cancel before they are rounded."""
+    if min(a, b) < 10:
+        return math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
+                        + a * math.log(x) + b * math.log1p(-x))
+    n = a + b
+    log = a * math.log1p((x * n - a) / a) + b * math.log1p((a - x * n) / b)
+    rest = _stirling_rest(n) - _stirling_rest(a) - _stirling_rest(b)
+    return math.sqrt(a * b / (2 * math.pi * n)) * math.exp(log + rest)
+
+
 def beta_cdf(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta I_x(a, b)."""
     if x <= 0:
         return 0.0
     if x >= 1:
         return 1.0
-    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-                     + a * math.log(x) + b * math.log1p(-x))
+    front = _beta_front(a, b, x)
     if x < (a + 1) / (a + b + 2):
         return front * _beta_fraction(a, b, x) / a
     return 1.0 - front * _beta_fraction(b, a, 1 - x) / b

@@ -7,58 +7,73 @@ from pyspark.sql import functions as F
 
 from barloom.functions.scalar import timeline
 
+#: How far, in natural logarithms, weights fall inside a block; e^-500 is a normal double.
+_FALL = 500.0
 
-def _block_rows(q: float) -> int:
-    # q^-block must stay far inside the double range.
-    return int(min(1024, 250 / -math.log10(q)))
 
-
-def _carry(ends, block, step: float):
-    """Sum over earlier blocks of end * step^(blocks in between)."""
+def _carry(ends, block, fallen):
+    """What the earlier blocks leave: their ends, each faded since."""
     def add(acc, s):
-        gap = (block - 1 - s["b"]).cast("double")
-        return acc + F.when(s["b"] < block, s["e"] * F.pow(F.lit(step), gap)).otherwise(0.0)
+        return acc + F.when(s["b"] < block, s["e"] * F.exp(s["d"] - fallen)).otherwise(0.0)
     return F.aggregate(ends, F.lit(0.0), add)
 
 
 def add_ewm(df: DataFrame, specs, key: str = "symbol") -> DataFrame:
     """Adds e_0 = x_0, e_t = (1-a) e_{t-1} + a x_t with a = 2/(span+1).
 
-    `specs` lists (source, span, output). Inside a block of rows the scan is a
-    rescaled running sum; the ends of the earlier blocks - one value per ~1000
-    rows of a symbol - are folded into the carry of the next. Every window uses
-    the symbol's own partitioning, so no exchange is added.
+    `specs` lists (source, span, output). A missing value repeats the last mean, and the
+    next value meets weights that have faded for every row between: after g rows it is
+    e = (w e' + a x) / (w + a) with w = (1-a)^g. Before the first value there is no mean.
+
+    Every row thus multiplies the mean by some factor and adds something. The logarithms of
+    the factors are summed along the symbol; a block is a stretch in which the sum falls by
+    `_FALL`, and inside it the scan is a rescaled running sum. The ends of the earlier
+    blocks (a block has some 250 * span rows) are folded into the carry of the next. Every
+    window uses the symbol's own partitioning, so no exchange is added.
     """
     keep = df.columns
     order = timeline(key)
-    out = df.withColumn("_rn", F.row_number().over(order) - 1)
-    sizes = {}
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    out = df.withColumn("_rn", F.row_number().over(order))
+    sources = list(dict.fromkeys(src for src, _, _ in specs))
+    at = {src: f"_at_{i}" for i, src in enumerate(sources)}
+    out = out.withColumns({at[s]: F.last(F.when(F.col(s).isNotNull(), F.col("_rn")), ignorenulls=True)
+                           .over(before) for s in sources})
+    fall, add = {}, {}
     for src, span, name in specs:
-        q = 1 - 2.0 / (span + 1)
-        sizes[name] = (src, q, _block_rows(q))
-    for b in sorted({b for _, _, b in sizes.values()}):
-        out = (out.withColumn(f"_b{b}", F.floor(F.col("_rn") / b).cast("int"))
-               .withColumn(f"_j{b}", (F.col("_rn") % b).cast("int")))
+        a = 2.0 / (span + 1)
+        gap = F.col("_rn") - F.col(at[src])
+        w = F.exp(gap * math.log(1 - a)) if a < 1 else F.lit(0.0)
+        # Without a gap w + a is 1. A first value starts afresh.
+        share = F.when(gap == 1, F.lit(1.0)).otherwise(w + a)
+        there, first = F.col(src).isNotNull(), F.col(at[src]).isNull()
+        step = F.when(gap == 1, F.lit(-math.log(1 - a) if a < 1 else _FALL)).otherwise(
+            F.least(F.log(share) - gap * (math.log(1 - a) if a < 1 else -_FALL), F.lit(_FALL)))
+        fall[f"_f_{name}"] = F.when(there & ~first, step).otherwise(0.0)
+        add[f"_u_{name}"] = (F.when(~there, 0.0).when(first, F.col(src))
+                             .otherwise(F.col(src) * a / share))
+    out = out.withColumns({**fall, **add})
+    out = out.withColumns({f"_d_{n}": F.sum(f"_f_{n}").over(upto) for _, _, n in specs})
+    out = out.withColumns({f"_b_{n}": F.floor(F.col(f"_d_{n}") / _FALL).cast("int") for _, _, n in specs})
     local = {}
-    for name, (src, q, b) in sizes.items():
-        x = F.col(src)
-        u = F.when(F.col("_rn") == 0, x).otherwise((1 - q) * x)
-        w = (Window.partitionBy(key, f"_b{b}").orderBy("date")
-             .rowsBetween(Window.unboundedPreceding, 0))
-        j = F.col(f"_j{b}").cast("double")
-        local[f"_l_{name}"] = (F.pow(F.lit(q), j)
-                               * F.sum(u * F.pow(F.lit(q), -j)).over(w))
+    for _, _, n in specs:
+        # Inside a block, relative to where the sum stands at its first row.
+        w = Window.partitionBy(key, f"_b_{n}").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+        since = F.col(f"_d_{n}") - F.col(f"_b_{n}") * _FALL
+        local[f"_l_{n}"] = F.exp(-since) * F.sum(F.col(f"_u_{n}") * F.exp(since)).over(w)
     out = out.withColumns(local)
     ends = {}
-    for name, (src, q, b) in sizes.items():
-        end = F.when(F.col(f"_j{b}") == b - 1,
-                     F.struct(F.col(f"_b{b}").alias("b"), F.col(f"_l_{name}").alias("e")))
-        ends[f"_e_{name}"] = F.collect_list(end).over(Window.partitionBy(key))
+    for _, _, n in specs:
+        last = F.lead(f"_b_{n}").over(order) > F.col(f"_b_{n}")
+        ends[f"_x_{n}"] = F.when(last, F.struct(F.col(f"_b_{n}").alias("b"), F.col(f"_l_{n}").alias("e"),
+                                                F.col(f"_d_{n}").alias("d")))
     out = out.withColumns(ends)
+    out = out.withColumns({f"_e_{n}": F.collect_list(f"_x_{n}").over(Window.partitionBy(key))
+                           for _, _, n in specs})
     final = {}
-    for name, (src, q, b) in sizes.items():
-        carry = _carry(F.col(f"_e_{name}"), F.col(f"_b{b}"), q ** b)
-        final[name] = (F.col(f"_l_{name}")
-                       + carry * F.pow(F.lit(q), (F.col(f"_j{b}") + 1).cast("double")))
-    out = out.withColumns(final)
-    return out.select(*keep, *[n for n in sizes])
+    for src, _, n in specs:
+        seen = F.col(at[src]).isNotNull() | F.col(src).isNotNull()
+        total = F.col(f"_l_{n}") + _carry(F.col(f"_e_{n}"), F.col(f"_b_{n}"), F.col(f"_d_{n}"))
+        final[n] = F.when(seen, total)
+    return out.withColumns(final).select(*keep, *[n for _, _, n in specs])

@@ -1,5 +1,7 @@
 """Annual statements: assembly, filing dates, growth, and the point-in-time join."""
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,7 +25,8 @@ def assemble_statements(cells: DataFrame, labels: dict = None) -> DataFrame:
     name = F.regexp_replace(F.col("label"), r"\++$", "")
     wide = (cells.where(F.col("year") != "TTM")
             .groupBy("symbol", F.col("year").alias("fiscal_label"))
-            .agg(*[F.first(F.when(name == shown, parse_number("value")), ignorenulls=True)
+            .agg(*[F.min_by(parse_number("value"), F.when(
+                (name == shown) & parse_number("value").isNotNull(), F.struct("label", "value")))
                    .alias(col) for shown, col in labels.items()]))
     return wide
 
@@ -46,11 +49,11 @@ def match_filings(years: DataFrame, announcements: DataFrame, keywords=RESULT_KE
     only against the months its own windows touch.
     """
     said = F.concat_ws("\n", F.lower("desc"), F.lower("attachment"))
-    told = announcements.where(said.rlike("|".join(keywords)))
+    told = announcements.where(reduce(lambda a, k: a | said.contains(k.lower()), keywords, F.lit(False)))
     month = F.trunc("day", "month")
     daily = (told.groupBy("symbol", F.to_date("ts").alias("day"))
              .agg(F.min("ts").alias("_ts")).withColumn("_month", month))
-    # The upper bound is midnight of the last day, as the window end is a date.
+    # Whole days are compared: an announcement of any hour of the last day counts.
     last = F.date_add("fiscal_year_end", window_days)
     spans = years.select("symbol", "fiscal_year_end").distinct().select(
         "symbol", "fiscal_year_end",
@@ -96,12 +99,8 @@ def point_in_time(fundamentals: DataFrame, filings: DataFrame = None,
 
 
 def _growth(col: str):
-    """Change on the previous year; a missing value repeats the last known one."""
-    filled = F.last(col, ignorenulls=True).over(
-        by_year().rowsBetween(Window.unboundedPreceding, 0))
-    before = F.last(col, ignorenulls=True).over(
-        by_year().rowsBetween(Window.unboundedPreceding, -1))
-    return ratio_change(filled, before)
+    """Change on the previous year's row; missing if either value is."""
+    return ratio_change(F.col(col), F.lag(col).over(by_year()))
 
 
 def add_fundamentals(panel: DataFrame, known: DataFrame) -> DataFrame:

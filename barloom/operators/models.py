@@ -37,13 +37,32 @@ TARGET_SETS = [
 
 
 def with_vector(df: DataFrame, features=FEATURE_COLS, out: str = "features") -> DataFrame:
-    """Feature vector of the (scaled) columns; rows with a missing value are dropped."""
-    return (VectorAssembler(inputCols=list(features), outputCol=out, handleInvalid="skip")
-            .transform(df))
+    """Feature vector of the (scaled) columns, NULL where one is missing.
+
+    Rows without a vector are never fitted on (`labelled`) and score NULL.
+    """
+    features = list(features)
+    whole = reduce(lambda a, c: a & F.col(c).isNotNull(), features, F.lit(True))
+    made = VectorAssembler(inputCols=features, outputCol=out, handleInvalid="keep").transform(df)
+    return made.withColumn(out, F.when(whole, F.col(out)))
 
 
 def labelled(df: DataFrame, target: str) -> DataFrame:
-    return df.where(F.col(target).isNotNull()).withColumn("label", F.col(target).cast("double"))
+    """Rows to fit on or to judge by: target and feature vector are there."""
+    there = F.col(target).isNotNull()
+    if "features" in df.columns:
+        there = there & F.col("features").isNotNull()
+    return df.where(there).withColumn("label", F.col(target).cast("double"))
+
+
+def _scored(model, df: DataFrame, value, out: str) -> DataFrame:
+    """`df` with `out` = value(of the model's output); NULL for rows without a vector."""
+    if isinstance(model, _Constant):
+        return value(model.transform(df)).select(*df.columns, out)
+    vector = model.getFeaturesCol() if hasattr(model, "getFeaturesCol") else "features"
+    done = value(model.transform(df.where(F.col(vector).isNotNull()))).select(*df.columns, out)
+    rest = df.where(F.col(vector).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return done.unionByName(rest)
 
 
 class MeanRegressor:
@@ -119,15 +138,13 @@ def base_classifiers(spark, forest=FOREST, boost=BOOST) -> dict:
 
 
 def positive_probability(model, df: DataFrame, out: str = "p") -> DataFrame:
-    """Adds P(label = 1) and drops the model's own columns."""
-    scored = model.transform(df)
-    if not isinstance(model, _Constant):
-        scored = scored.withColumn("p", vector_to_array("probability")[1])
-    return scored.withColumn(out, F.col("p")).select(*df.columns, out)
+    """Adds P(label = 1), NULL without a feature vector, and drops the model's own columns."""
+    p = F.col("p") if isinstance(model, _Constant) else vector_to_array("probability")[1]
+    return _scored(model, df, lambda s: s.withColumn(out, p), out)
 
 
 def predicted(model, df: DataFrame, out: str = "pred") -> DataFrame:
-    return model.transform(df).withColumn(out, F.col("prediction")).select(*df.columns, out)
+    return _scored(model, df, lambda s: s.withColumn(out, F.col("prediction")), out)
 
 
 def momentum_forecast(df: DataFrame, params: dict, horizon: int) -> DataFrame:
@@ -229,7 +246,7 @@ def stack(train: DataFrame, test: DataFrame, target: str, horizon: int, bases,
     te = labelled(test, target).select(*keep)
     cols = [f"p_{k}" for k in bases()]
     oof = out_of_fold(bases, tr, time_folds(tr, n_splits, horizon), n_splits)
-    meta_in = with_vector(oof.drop("features"), cols, "meta")
+    meta_in = with_vector(oof.drop("features"), cols, "meta").where("meta is not null")
     meta = Logit(META_C, "meta").fit(materialize(meta_in.select("meta", "label")))
     for name, est in bases().items():
         te = positive_probability(est.fit(tr), te, f"p_{name}")

@@ -11,12 +11,21 @@ from barloom.operators.models import positive_probability
 from barloom.operators.order_stats import with_rank
 
 
+HISTORY_DAYS, TOP_NAMES = 1000, 48  # what the service accepts
+
+
 def check_horizon(h: int) -> int:
     if h not in S.HORIZONS:
         raise ValueError(f"horizon must be one of {S.HORIZONS}")
     return h
 
 
+def check_range(value: int, most: int, what: str) -> int:
+    if not 1 <= int(value) <= most:
+        raise ValueError(f"{what} must lie in 1 .. {most}")
+    return int(value)
+
+
 def latest_rows(panel: DataFrame, cols=None) -> DataFrame:
     """Each symbol's last row: one map-side combined aggregate, no sort."""
     cols = [c for c in (cols or panel.columns) if c != "symbol"]
@@ -100,9 +109,9 @@ def company_detail(panel: DataFrame, symbol: str, quotes: DataFrame = None, **fr
 
 
 def history(panel: DataFrame, symbol: str, days: int = 180) -> DataFrame:
-    """Last `days` rows (at most 1000) in date order, with the averages recovered
-    from the close and the stored price ratios."""
-    days = min(int(days), 1000)
+    """Last `days` rows (1 to 1000, else an error) in date order, with the averages
+    recovered from the close and the stored price ratios."""
+    days = check_range(days, HISTORY_DAYS, "days")
     last = (panel.where(F.col("symbol") == symbol.upper())
             .select("date", "close", "price_to_sma20", "price_to_sma50", "rsi_14")
             .orderBy(F.desc("date")).limit(days))
@@ -195,8 +204,8 @@ def prediction(panel: DataFrame, models: dict, symbol: str, horizon: int,
 
 def top_predictions(panel: DataFrame, models: dict, horizon: int, limit: int = 10,
                     quotes: DataFrame = None, **fresh) -> DataFrame:
-    """Best names of the latest date by probability (at most 48), ranked."""
-    limit = min(int(limit), 48)
+    """Best names of the latest date by probability (1 to 48, else an error), ranked."""
+    limit = check_range(limit, TOP_NAMES, "limit")
     last = panel.agg(F.max("date").alias("date"))
     day = panel.join(F.broadcast(last), "date", "left_semi")
     tiers = risk_tiers(day.select("date", "symbol", "volatility_20")).select(

@@ -216,7 +216,7 @@ def quote_stream(spark, sf):
     base = f"{checkpoint_dir(spark)}/streams/{spark.sparkContext.applicationId}-{id(stream)}"
     live_quotes.overlay_stream(stream, st.quoted_accounts(spark, sf), f"{base}/out",
                                f"{base}/state", ttl_seconds=6 * 3600).awaitTermination()
-    return spark.read.parquet(f"{base}/out").select("symbol", "last_close", "is_live")
+    return live_quotes.read_live(spark, f"{base}/out").select("symbol", "last_close", "is_live")
 
 
 MODEL_QUERIES = {f.__name__: f for f in (

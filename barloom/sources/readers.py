@@ -2,6 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from barloom import schema as S
 from barloom.functions.scalar import canon_symbol, fiscal_label, rename_symbol
@@ -11,32 +12,52 @@ NOT_BARS = [S.LANDING[k].removesuffix(".csv") for k in ("index", "volatility_ind
 SIGNATURE = ["Date", "Close", "Volume"]
 
 
-def _csv(spark: SparkSession, path, schema) -> DataFrame:
-    # Columns are matched by the header's names, not by position.
-    return (spark.read.option("header", True).option("enforceSchema", False)
-            .schema(schema).csv(path))
+def _csv(spark: SparkSession, path, schema, files: DataFrame = None) -> DataFrame:
+    """CSV files by the names in their headers, whatever the order; with `file` and `row_no`.
 
-
-def stem():
-    name = F.regexp_extract(F.col("_metadata.file_path"), FILE_STEM, 1)
+    Files are grouped by header, of which there are few. Each group is one scan with the
+    columns in that order, so columns are still pruned; a column that a header lacks is
+    NULL. `files` (file, columns) restricts what is read.
+    """
+    heads = headers(spark, path) if files is None else files
+    kinds = {f.name: f.dataType for f in schema}
+    orders = sorted(r["columns"] for r in heads.select("columns").distinct().collect())
+    out = None
+    for order in orders:
+        own = StructType([StructField(c if c in kinds else f"_other{i}", kinds.get(c, StringType()))
+                          for i, c in enumerate(order)])
+        part = spark.read.option("header", True).schema(own).csv(path).select(
+            *[(F.col(f"`{c}`") if c in order else F.lit(None).cast(t)).alias(c) for c, t in kinds.items()],
+            F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row_no"))
+        if files is not None or len(orders) > 1:
+            mine = heads.where(F.col("columns") == F.array(*[F.lit(c) for c in order]))
+            part = part.join(mine.select("file"), "file", "left_semi")
+        out = part if out is None else out.unionByName(part)
+    if out is None:  # no file has a header
+        out = spark.createDataFrame([], schema).withColumns(
+            {"file": F.lit(None).cast("string"), "row_no": F.lit(None).cast("long")})
+    return out
+
+
+def stem(file="file"):
+    name = F.regexp_extract(F.col(file), FILE_STEM, 1)
     return F.url_decode(F.regexp_replace(name, r"\+", "%2B"))
 
 
-def read_bars(spark: SparkSession, path, renames=None) -> DataFrame:
-    """All per-symbol files as one panel, in one scan.
+def read_bars(spark: SparkSession, path, renames=None, files: DataFrame = None) -> DataFrame:
+    """All per-symbol files as one panel, in one scan per kind of header.
 
     The symbol is the file's name: a column inside the file may spell it
     differently. `row_no` orders the lines of a file.
     """
-    raw = _csv(spark, path, S.RAW_BARS)
+    raw = _csv(spark, path, S.RAW_BARS, files)
     symbol = canon_symbol(stem())
     symbol = rename_symbol(symbol, renames) if renames else symbol
     return raw.select(
         symbol.alias("symbol"), F.col("Date").alias("date"), F.col("Open").alias("open"),
         F.col("High").alias("high"), F.col("Low").alias("low"), F.col("Close").alias("close"),
         F.col("Adj Close").alias("adj_close"), F.col("Volume").alias("volume"),
-        F.col("_metadata.file_path").alias("file"),
-        F.monotonically_increasing_id().alias("row_no"))
+        "file", "row_no")
 
 
 def headers(spark: SparkSession, path) -> DataFrame:
@@ -51,7 +72,8 @@ def headers(spark: SparkSession, path) -> DataFrame:
         F.monotonically_increasing_id().alias("_id"), F.col("value"))
     first = (lines.where("_start = 0").groupBy("file")
              .agg(F.min_by("value", "_id").alias("_h")))
-    return first.select("file", F.split(F.trim("_h"), ",").alias("columns"))
+    plain = F.regexp_replace(F.regexp_replace("_h", r"[\"\r\uFEFF]", ""), r"\s*,\s*", ",")
+    return first.where(F.trim("_h") != "").select("file", F.split(F.trim(plain), ",").alias("columns"))
 
 
 def bar_files(spark: SparkSession, path, signature=SIGNATURE, skip=NOT_BARS) -> DataFrame:
@@ -66,10 +88,9 @@ def bar_files(spark: SparkSession, path, signature=SIGNATURE, skip=NOT_BARS) ->
 def read_signed_bars(spark: SparkSession, path, **kw) -> DataFrame:
     """Bars of every file in a mixed folder that has the bar signature.
 
-    The file list is one row per file and goes back to the reader as paths.
+    The file list is joined to the rows, so it never passes through the driver.
     """
-    names = [r["file"] for r in bar_files(spark, path).select("file").toLocalIterator()]
-    return read_bars(spark, names, **kw)
+    return read_bars(spark, path, files=bar_files(spark, path), **kw)
 
 
 def read_master(spark: SparkSession, path) -> DataFrame:
@@ -95,7 +116,7 @@ def read_fundamentals(spark: SparkSession, path, renames=None) -> DataFrame:
     symbol = canon_symbol("Symbol")
     symbol = rename_symbol(symbol, renames) if renames else symbol
     return d.select(symbol.alias("symbol"), F.col("FiscalYearEnd").alias("fiscal_label"),
-                    *[c for c in d.columns if c not in ("Symbol", "FiscalYearEnd")])
+                    *[c for c in d.columns if c not in ("Symbol", "FiscalYearEnd", "file", "row_no")])
 
 
 def read_filings(spark: SparkSession, path, renames=None) -> DataFrame:

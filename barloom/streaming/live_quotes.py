@@ -1,5 +1,6 @@
-"""Quotes as a stream: overlay each micro-batch on the stored closes."""
+"""Quotes as a stream: the newest quote of every symbol, overlaid on the stored closes."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,25 +14,41 @@ def read_quote_stream(spark: SparkSession, path: str, fmt: str = "parquet",
             .format(fmt).load(path))
 
 
-def newest_quotes(stream: DataFrame, late: str = "1 minute", bucket: str = "5 seconds") -> DataFrame:
-    """Last price per symbol and refresh interval; late quotes past the watermark drop,
-    and closed intervals leave the state."""
-    return (stream.withWatermark("ts", late)
-            .groupBy("symbol", F.window("ts", bucket))
-            .agg(F.max_by("ltp", "ts").alias("ltp"), F.max("ts").alias("ts"))
-            .select("symbol", "ts", "ltp"))
+def _stored(spark: SparkSession, path: str):
+    try:
+        return spark.read.schema(QUOTES).parquet(path)
+    except AnalysisException:  # no such folder: nothing has come yet
+        return None
 
 
 def overlay_stream(stream: DataFrame, closes: DataFrame, out_path: str, checkpoint: str,
                    ttl_seconds: int = 5, once: bool = True):
-    """Write live rows of every micro-batch under its batch id.
+    """Keep the newest quote per symbol over all micro-batches, and write the live rows.
 
-    The same overlay as the batch query runs inside foreachBatch; a replayed batch
-    overwrites its own folder, so the sink stays exact after a restart.
+    Batch n merges its quotes into the table that batch n - 1 left (one row per symbol) and
+    overlays the merged table. Freshness thus counts from the newest quote of the stream so
+    far, in whatever order and in however many batches the quotes arrive. A replayed batch
+    starts from the same table and overwrites its own folders, so the sink stays exact
+    after a restart. `read_live` gives the state after the last batch.
     """
+    spark = stream.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        live = overlay_quotes(closes, batch, ttl_seconds=ttl_seconds).where("is_live")
-        live.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
+        quotes = batch.select("symbol", "ts", "ltp")
+        before = _stored(spark, f"{out_path}/quotes/batch={batch_id - 1}")
+        quotes = quotes if before is None else before.unionByName(quotes)
+        newest = quotes.groupBy("symbol").agg(F.max(F.struct("ts", "ltp")).alias("q")).select(
+            "symbol", "q.ts", "q.ltp")
+        newest.write.mode("overwrite").parquet(f"{out_path}/quotes/batch={batch_id}")
+        merged = spark.read.schema(QUOTES).parquet(f"{out_path}/quotes/batch={batch_id}")
+        live = overlay_quotes(closes, merged, ttl_seconds=ttl_seconds).where("is_live")
+        live.write.mode("overwrite").parquet(f"{out_path}/live/batch={batch_id}")
 
     w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()
+
+
+def read_live(spark: SparkSession, out_path: str) -> DataFrame:
+    """The live rows after the last batch; only its folder is read."""
+    rows = spark.read.parquet(f"{out_path}/live")
+    return rows.where(F.col("batch") == rows.agg(F.max("batch")).scalar()).drop("batch")
