@@ -3,8 +3,7 @@
 from barloom.schema import (
     FEATURE_COLS, HORIZONS, LABEL_COLS, REQUIRED_LABELS, TECHNICAL_COLS)
 
-CORE = ["log_return", "roc_5", "roc_20", "price_to_sma20", "bb_width", "volatility_20",
-        "volume_ratio", "atr_pct"]
+CORE = [c for c in TECHNICAL_COLS if "ema" not in c and "macd" not in c]
 
 
 def r(expr, dp=6):

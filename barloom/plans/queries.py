@@ -11,14 +11,15 @@ from barloom.operators import (
     audit, backtest, cleaning, cross_section as xs, fundamentals as fund, labels, metrics,
     scaling, serving, splits, technicals as tech)
 from barloom.operators.ewm import add_ewm
+from barloom.schema import TECHNICAL_COLS
 from barloom.session import materialize
 from barloom.sources import sample_tables as st
 
 KEY = ["symbol", "date"]
 # Sample dates run 1995-2001, so the published 2022/2024 boundaries move there.
 SPLIT = {"train_end": "1999-06-30", "val_end": "2000-06-30", "purge_days": 150}
-CORE = ["log_return", "roc_5", "roc_20", "price_to_sma20", "bb_width", "volatility_20",
-        "volume_ratio", "atr_pct"]
+#: Every per-symbol feature but the EMA family, whose 200-row warm-up would empty the small samples.
+CORE = [c for c in TECHNICAL_COLS if "ema" not in c and "macd" not in c]
 
 
 def rounded(df: DataFrame, dp: int = 6) -> DataFrame:
@@ -262,9 +263,9 @@ def statement_pivot(spark, sf):
 
 # ---- preparation ----
 def _features_panel(spark, sf):
-    d = tech.add_features(st.panel(spark, sf), tech.log_return(), tech.rate_of_change((5, 20)),
-                          tech.sma_ratio((20,)), tech.bollinger(), tech.volatility(),
-                          tech.volume_ratio(), tech.atr())
+    d = tech.add_features(st.panel(spark, sf), tech.log_return(), tech.rate_of_change(), tech.sma_ratio(),
+                          tech.rsi(), tech.bollinger(), tech.volatility(), tech.atr(), tech.volume_ratio(),
+                          tech.channel_distance(), tech.obv())
     return d.select(*KEY, "industry", "close", "adj_close", *CORE)
 
 
