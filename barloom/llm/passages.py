@@ -3,7 +3,7 @@
 A paragraph is a line of at least `least_words` words. Equal paragraphs are one node,
 whatever their number. Passages can also stand inside longer lines: there, every run of whole
 sentences that just reaches `WINDOW_WORDS` words is a paragraph too, joined by equality only;
-its hashes are counted in one pass, and those that repeat are placed in a second one. The bands are tuned for recall (12 bands of 3 values: a pair at the
+their hashes are counted first, and only those that repeat are placed. The bands are tuned for recall (12 bands of 3 values: a pair at the
 threshold is missed once in 5,600 cases, and seldomer above it); colliding paragraphs are
 verified by exact Jaccard over five-word shingles, and classes are the components of the
 verified links. In each class the first occurrence (smallest document, then position) stays
@@ -20,10 +20,10 @@ import re
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import GAP, small_side, stored, word_hashes
+from barloom.llm.common import GAP, small_side, stored, words
 from barloom.llm.components import connected_components
 from barloom.llm.shingle_links import ShingleLinks, text_node
 
@@ -36,21 +36,18 @@ _RUNS = "doc_id long, position int, start int, n_words int, hi long, lo long"
 BANDS = dict(bands=12, rows=3, values=48)
 
 
-def _normal(line: Column) -> Column:
-    return F.lower(F.regexp_replace(line, GAP, " "))
+def lines_of(docs: DataFrame, text: str) -> DataFrame:
+    return docs.select("doc_id", F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1))
+                       .alias("position", "line"))
 
 
-def paragraphs(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS,
-               keep_line: bool = True) -> DataFrame:
-    """(doc_id, position, n_words, node, line) of every line that is long enough."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1))
-                        .alias("position", "line"))
-    counted = lines.withColumn("line", F.btrim(_normal(F.col("line"))))
-    # Words are parted by single spaces now.
-    n = F.char_length("line") - F.char_length(F.replace("line", F.lit(" "), F.lit(""))) + 1
-    out = (counted.withColumn("n_words", n).where(F.col("n_words") >= least_words)
-           .withColumn("node", text_node(F.col("line"))))
-    return out if keep_line else out.drop("line")
+def hashed(lines: DataFrame, least_words: int) -> DataFrame:
+    """Lines that are long enough, with n_words, node and the hashes of their words."""
+    # Fewer characters than so many words and gaps take can't be enough; most lines end here.
+    long = lines.where(F.char_length("line") >= 2 * least_words - 1).withColumn("_w", words(F.col("line")))
+    return (long.withColumn("n_words", F.size("_w")).where(F.col("n_words") >= least_words)
+            .withColumn("node", text_node(F.array_join("_w", " ")))
+            .withColumn("words", F.transform("_w", lambda w: F.xxhash64(w))).drop("line", "_w"))
 
 
 def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
@@ -89,14 +86,14 @@ def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW
 
 def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
     """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal runs."""
-    runs = sentence_runs(docs, text, least_words)
+    runs = stored(sentence_runs(docs, text, least_words))
     twice = stored(runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_occurrences"))
                    .where("n_occurrences > 1"))
     found = stored(runs.join(small_side(twice, BROADCAST_RUNS), ["hi", "lo"])
                    .withColumn("place", F.struct(F.coalesce("doc_id", F.lit(-2**63)).alias("d"),
                                                  F.col("position").alias("p"), F.col("start").alias("s"))))
-    first = found.groupBy("hi", "lo").agg(F.min("place").alias("first"))
-    told = found.join(first, ["hi", "lo"]).select(
+    first = stored(found.groupBy("hi", "lo").agg(F.min("place").alias("first")))
+    told = found.join(small_side(first, BROADCAST_RUNS), ["hi", "lo"]).select(
         "doc_id", "position", "start", (F.col("start") + F.col("n_words")).alias("end"), "n_occurrences",
         F.col("first.d").alias("first"), (F.col("place") != F.col("first")).alias("removed"))
     # Runs that touch or overlap are one span; a line's runs are as few as its sentences.
@@ -129,17 +126,19 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least_words: int =
     class's first occurrence), n_occurrences, removed.
     """
     steps = steps or ShingleLinks(**BANDS)
-    read = paragraphs(docs, text, least_words)
-    sketched = stored(steps.sketches(read.select("doc_id", "position", "n_words", "node",
-                                                 word_hashes(F.col("line")).alias("words"))))
+    sketched = stored(steps.sketches(hashed(lines_of(docs, text), least_words)))
     place = F.struct(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.col("position").alias("p"))
     where = sketched.groupBy("node").agg(F.min(place).alias("place"))
 
     def fetch(nodes):
         chosen = stored(where.join(small_side(nodes), "node").select("node", "place.d", "place.p"))
-        again = read.select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.col("position").alias("p"), "node", "line")
-        return (again.join(small_side(chosen), ["d", "p", "node"])
-                .select("node", word_hashes(F.col("line")).alias("words")))
+        # Only the documents that hold a chosen line are parted again, and only it is hashed.
+        named = docs.select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), "doc_id", F.col(text).alias("_text"))
+        held = named.join(small_side(stored(chosen.select("d").distinct())), "d", "left_semi")
+        again = lines_of(held.select(F.col("d").alias("doc_id"), "_text"), "_text").withColumnsRenamed(
+            {"doc_id": "d", "position": "p"})
+        return (hashed(again.join(small_side(chosen.withColumnRenamed("node", "_node")), ["d", "p"]), least_words)
+                .where("node = _node").select("node", "words"))
 
     _, edges = steps.run(sketched, fetch)
     roots = connected_components(edges)

@@ -33,6 +33,8 @@ from barloom.llm.common import small_side, stored
 from barloom.llm.components import followed
 
 BLOCK_NODES = 256
+#: Band keys (one number each) that may be sent to every executor.
+BROADCAST_KEYS = 2_000_000
 _STEP = 16
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _PAIRS_AT_ONCE = 500_000
@@ -255,7 +257,7 @@ class ShingleLinks:
         told = F.xxhash64("node")
         keys = stored(rows.groupBy("key").agg(F.min(told).alias("lo"), F.max(told).alias("hi"))
                       .where("lo != hi").select("key"))
-        return stored(rows.join(small_side(keys), "key").distinct())
+        return stored(rows.join(small_side(keys, BROADCAST_KEYS), "key").distinct())
 
     @staticmethod
     def pivots(shared: DataFrame) -> DataFrame:
@@ -268,7 +270,21 @@ class ShingleLinks:
         votes = shared.join(smallest, "key").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("votes"))
         pointers = votes.groupBy("node").agg(F.min(F.when(F.col("votes") > 1, F.col("pivot"))).alias("p"))
         pointers = pointers.select("node", F.coalesce("p", "node").alias("parent"))
-        return followed(pointers).withColumnRenamed("parent", "pivot")
+        near = followed(pointers).withColumnRenamed("parent", "pivot")
+        # Groups that the pointers of single nodes left apart: a group follows another if a
+        # quarter of its nodes, by two bands or more, meet that one.
+        placed = stored(shared.join(near, "node"))
+        leads = placed.groupBy("key").agg(F.min("pivot").alias("lead"))
+        met = (placed.join(leads, "key").where("lead != pivot").groupBy("pivot", "lead", "node")
+               .agg(F.count(F.lit(1)).alias("bands"))
+               .groupBy("pivot", "lead").agg(F.count(F.lit(1)).alias("nodes"), F.sum("bands").alias("bands")))
+        sizes = near.groupBy("pivot").agg(F.count(F.lit(1)).alias("size"))
+        up = (met.join(sizes, "pivot").where("bands > 1 and 4 * nodes >= size")
+              .groupBy("pivot").agg(F.min("lead").alias("lead")))
+        groups = followed(sizes.join(up, "pivot", "left").select(
+            F.col("pivot").alias("node"), F.coalesce("lead", "pivot").alias("parent")))
+        ends = groups.select(F.col("node").alias("pivot"), F.col("parent").alias("_end"))
+        return stored(near.join(ends, "pivot").select("node", F.col("_end").alias("pivot")))
 
     @staticmethod
     def block_pairs(rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
@@ -336,7 +352,7 @@ class ShingleLinks:
         told = F.xxhash64("pivot")
         mixed = stored(placed.groupBy("key").agg(F.min(told).alias("lo"), F.max(told).alias("hi"))
                        .where("lo != hi").select("key"))
-        told = stored(placed.join(small_side(mixed), "key"))
+        told = stored(placed.join(small_side(mixed, BROADCAST_KEYS), "key"))
         sig = (sketched.select("node", "sig").join(small_side(stored(told.select("node").distinct())), "node")
                .groupBy("node").agg(F.first("sig").alias("sig")))
 
