@@ -44,6 +44,17 @@ def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """A durable cut: written below spark.checkpoint.dir and read again."""
-    return materialize(df)
+def stored(df: DataFrame, batch_rows: int = 1_000) -> DataFrame:
+    """A durable cut: written below spark.checkpoint.dir and read again.
+
+    `batch_rows` go to Python at once while it is written: rows here are texts or groups,
+    so a batch stays small.
+    """
+    spark = df.sparkSession
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(batch_rows))
+    try:
+        return materialize(df)
+    finally:
+        spark.conf.set(name, before)

@@ -40,8 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 #: Words, and parts of words, whose ids a Python worker remembers (some 200 bytes each)
 #: before it forgets them all.
-REMEMBERED_WORDS = 700_000
-REMEMBERED_PARTS = 1_000_000
+REMEMBERED_WORDS = 400_000
+REMEMBERED_PARTS = 400_000
 #: Pieces in one window partition, about.
 RANKED_TOGETHER = 65_536
 
@@ -49,12 +49,22 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 _SEPARATORS = "\x1c\x1d\x1e\x1f"  # white space for str.split, but not for the tokenizer
 
 
+def _byte_characters() -> dict[int, int]:
+    """The public byte-level scheme: bytes that are no visible Latin-1 character, in order, are
+    the characters from 256 on; the others are themselves."""
+    hidden = [*range(33), *range(127, 161), 173]
+    return {byte: 256 + i for i, byte in enumerate(hidden)}
+
+
+_BYTES = _byte_characters()
+
+
 class WordIds:
     """Token ids of texts, word by word.
 
     The vocabulary's splitter never joins across white space, so a text's ids are those
     of its words in turn. A word met for the first time is split further, as that
-    splitter does it; what is left goes to the tokenizer. Words and parts are remembered.
+    splitter does it, and the vocabulary's model gets the parts. Both are remembered.
     """
 
     #: The splitter's own pattern, used on words up to U+024F in lower case, where
@@ -68,6 +78,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(
             vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
         self.words: dict[str, bytes] = {}
         self.known: dict[str, bytes] = {}
 
@@ -80,12 +91,19 @@ class WordIds:
         if len(self.known) > REMEMBERED_PARTS:
             self.known.clear()
         new = {w for ws in split for w in ws}.difference(self.words)
-        parts = {w: self.parts.findall(w.lower()) if self.plain.fullmatch(w) else [w] for w in new}
-        unknown = list({p for ps in parts.values() for p in ps}.difference(self.known))
-        for part, found in zip(unknown, self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False)):
-            self.known[part] = np.asarray(found.ids, "<u4").tobytes()
-        for word, ps in parts.items():
-            self.words[word] = b"".join([self.known[p] for p in ps])
+        odd = [w for w in new if not self.plain.fullmatch(w)]
+        for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
+            self.words[word] = np.asarray(found.ids, "<u4").tobytes()
+        for word in new.difference(odd):
+            ids = b""
+            for part in self.parts.findall(word.lower()):
+                own = self.known.get(part)
+                if own is None:
+                    # The model reads bytes as characters, see `_byte_characters`.
+                    read = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+                    own = self.known[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(read)])
+                ids += own
+            self.words[word] = ids
         get = self.words.__getitem__
         return [b"".join(map(get, ws)) for ws in split]
 

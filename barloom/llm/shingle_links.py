@@ -386,7 +386,8 @@ class ShingleLinks:
                                                  names=["a", "b"])
 
         dealt = self.block_pairs(told.join(sig, "node"), "key", ["pivot", "sig"])
-        return stored(dealt.select("key", "x", "y", "members").mapInArrow(pair, "a binary, b binary"))
+        return stored(dealt.select("key", "x", "y", "members").mapInArrow(pair, "a binary, b binary"),
+                      batch_rows=256)
 
     def verified(self, pairs: DataFrame, members: DataFrame) -> DataFrame:
         """The pairs (a, b) that reach the threshold; stored. `members` has (node, words)."""
@@ -417,7 +418,7 @@ class ShingleLinks:
         shared = self.shared_bands(sketched)
         pivots = self.pivots(shared)
         members = stored(fetch(pivots.select("node")).join(small_side(pivots), "node"))
-        inside = stored(self.group_links(members))
+        inside = stored(self.group_links(members), batch_rows=32)
         across = self.verified(self.cross_candidates(shared, pivots, sketched), members)
         ends = across.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("links"))
         links = inside.select("node", "links").union(ends).groupBy("node").agg(F.sum("links").alias("links"))
