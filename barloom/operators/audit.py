@@ -102,6 +102,20 @@ def missing_columns(columns, required) -> list:
     return sorted(set(required) - set(columns))
 
 
+def landing_findings(heads: DataFrame, landed: DataFrame, required) -> DataFrame:
+    """(symbol, check, n): required columns that a file's header lacks, and files without rows.
+
+    `heads` lists (file, columns), `landed` has the files' rows with `file`.
+    """
+    stem = F.regexp_extract("file", r"([^/]+)\.csv$", 1)
+    lacking = F.array_except(F.array(*[F.lit(c) for c in required]), F.col("columns"))
+    missing = heads.select(stem.alias("symbol"), F.explode(lacking).alias("c")).select(
+        "symbol", F.concat(F.lit("missing_column "), "c").alias("check"), F.lit(1).cast("long").alias("n"))
+    empty = heads.join(landed.select("file").distinct(), "file", "left_anti").select(
+        stem.alias("symbol"), F.lit("empty_file").alias("check"), F.lit(1).cast("long").alias("n"))
+    return missing.unionByName(empty)
+
+
 def coverage(master: DataFrame, bars: DataFrame, min_rows: int = MIN_HISTORY_ROWS) -> DataFrame:
     """Rows per listed symbol, tagged missing / short / ok."""
     have = bars.groupBy("symbol").agg(F.count(F.lit(1)).alias("rows"))

@@ -18,10 +18,15 @@ def day(x):
 
 
 def purged_split(df: DataFrame, train_end=TRAIN_END, val_end=VAL_END,
-                 purge_days: int = PURGE_ALL_HORIZONS) -> DataFrame:
-    """Adds `split`; rows within the purge of either boundary are dropped."""
+                 purge_days: int = PURGE_ALL_HORIZONS, train_purge_days: int = None) -> DataFrame:
+    """Adds `split`; rows within the purge of either boundary are dropped.
+
+    `train_purge_days` sets the purge before the first boundary apart from the others (0:
+    the train rows reach up to it).
+    """
     d = F.col("date")
-    split = (F.when(d <= F.date_sub(day(train_end), purge_days), "train")
+    before = purge_days if train_purge_days is None else train_purge_days
+    split = (F.when(d <= F.date_sub(day(train_end), before), "train")
              .when((d > F.date_add(day(train_end), purge_days))
                    & (d <= F.date_sub(day(val_end), purge_days)), "val")
              .when(d > F.date_add(day(val_end), purge_days), "test"))

@@ -1,5 +1,6 @@
 """Session settings the jobs rely on, and the durable cut of long lineages."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -45,6 +46,33 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return made
 
 
+_OWNED: list[list[str]] = []
+
+
+@contextlib.contextmanager
+def job_tables(spark: SparkSession):
+    """Owns the tables that `materialize` writes inside, and removes them at the end.
+
+    Results must be written by then: frames that read such a table are of no use after it.
+    """
+    _OWNED.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in _OWNED.pop():
+            p = hadoop.Path(path)
+            p.getFileSystem(conf).delete(p, True)
+
+
+def apply_settings(spark: SparkSession) -> None:
+    """The SQL settings the jobs rely on, on a session that somebody else has made."""
+    for key, value in SETTINGS.items():
+        if key.startswith("spark.sql."):
+            spark.conf.set(key, value)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write `df` as a table in the checkpoint folder and return a frame reading it.
 
@@ -54,5 +82,7 @@ def materialize(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    if _OWNED:
+        _OWNED[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

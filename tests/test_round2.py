@@ -1,14 +1,16 @@
 """Cases that the sample tables don't hold: missing values, several batches, header orders."""
 
 import datetime as dt
+import pathlib
 
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from barloom import session
 from barloom.functions.pvalues import beta_cdf, binom_upper
 from barloom.operators import fundamentals as fund
-from barloom.operators import models, serving
+from barloom.operators import audit, models, serving, splits
 from barloom.operators.ewm import add_ewm
 from barloom.sources import readers
 from barloom.streaming import live_quotes
@@ -113,3 +115,29 @@ def test_tails_of_large_counts():
     k = n // 2 + 31_623  # two standard deviations
     assert abs(binom_upper(k, n, 0.5) - 0.0227501) < 1e-5
     assert abs(beta_cdf(5e8, 5e8, 0.5) - 0.5) < 1e-8
+
+
+def test_landing_findings(spark, tmp_path):
+    (tmp_path / "OK.csv").write_text("Date,Open,Close\n2020-01-02,1,2\n")
+    (tmp_path / "BARE.csv").write_text("Date,Close\n2020-01-02,2\n")
+    (tmp_path / "EMPTY.csv").write_text("Close,Open,Date\n")
+    heads = readers.headers(spark, str(tmp_path))
+    landed = readers.read_bars(spark, str(tmp_path))
+    got = {(r["symbol"], r["check"]) for r in audit.landing_findings(heads, landed, ["Date", "Open", "Close"]).collect()}
+    assert got == {("BARE", "missing_column Open"), ("EMPTY", "empty_file")}
+
+
+def test_job_tables_are_removed(spark):
+    tables = pathlib.Path(session.checkpoint_dir(spark).removeprefix("file:")) / "tables"
+    with session.job_tables(spark):
+        before = set(tables.glob("*"))
+        kept = session.materialize(spark.range(5))
+        assert kept.count() == 5 and len(set(tables.glob("*")) - before) == 1
+    assert set(tables.glob("*")) == before
+
+
+def test_unpurged_train_rows(spark):
+    d = spark.createDataFrame([(dt.date(2020, 1, 1) + dt.timedelta(i),) for i in range(200)], "date date")
+    t = splits.purged_split(d, "2020-03-01", "2020-05-01", 10, train_purge_days=0)
+    ends = {r["split"]: (r["a"], r["b"]) for r in t.groupBy("split").agg(F.min("date").alias("a"), F.max("date").alias("b")).collect()}
+    assert ends["train"][1] == dt.date(2020, 3, 1) and ends["val"] == (dt.date(2020, 3, 12), dt.date(2020, 4, 21))

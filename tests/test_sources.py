@@ -85,6 +85,9 @@ def test_audit_job_writes_findings(spark, raw, tmp_path):
     jobs.audit_raw(spark, raw, str(tmp_path))
     lines = {r[0] for r in spark.read.text(f"{tmp_path}/qc_report").collect()}
     assert "[AAA] zero_volume: 10" in lines and not any("descending" in x for x in lines)
+    assert "[GONE] only_in_master: 1" in lines and not any("missing_column" in x for x in lines)
+    assert spark.read.parquet(f"{tmp_path}/price_columns").first()["with_both"] == 7
+    assert spark.read.parquet(f"{tmp_path}/corporate_actions").count() == len(S.CORPORATE_ACTIONS)
     assert spark.read.parquet(f"{tmp_path}/universe").first()["symbols"] == 7
 
 
@@ -122,6 +125,25 @@ def test_jobs_from_csv_to_model(spark, raw, tmp_path):
     assert spark.read.parquet(f"{out}/portfolio_curve").count() == summary["periods"]
     jobs.ic_report(spark, out)
     assert spark.read.parquet(f"{out}/ic_stability").count() == 36
+    middle, late = (str(first + dt.timedelta(days=n * span // 4)) for n in (2, 3))
+    jobs.prepare(spark, out, 5, middle, late)
+
+    def classes():
+        return {"majority": models.MajorityClassifier(), "logit": models.Logit()}
+
+    jobs.matrix(spark, out, zoo, classes)
+    assert spark.read.parquet(f"{out}/model_matrix").count() == 3 * 4 * 4 + 4
+    jobs.stacking(spark, out, classes, horizons=(7,), n_splits=2)
+    assert {r["target"] for r in spark.read.parquet(f"{out}/stacking").collect()} == {"beats_median", "top_tercile"}
+    jobs.evaluate(spark, out, 7, middle, late, 5, [2021], middle, 10, 100, 3)
+    fixed = spark.read.parquet(f"{out}/eval_fixed_split").first()
+    assert fixed["tp"] + fixed["fp"] + fixed["fn"] + fixed["tn"] == fixed["n"] and 0 <= fixed["p_value"] <= 1
+    book = spark.read.parquet(f"{out}/eval_top_k").collect()
+    day = feats.where(feats["date"] == book[0]["date"]).toPandas()
+    assert book[0]["benchmark"] == pytest.approx(day["fwd_return_7d"].median(), abs=1e-6)
+    assert spark.read.parquet(f"{out}/eval_top_k_t_test").first()["n"] == len(book)
+    jobs.score(spark, out)
+    assert spark.read.parquet(f"{out}/scores").count() == 5 * 4
     writers.append_new(clean.drop("year"), f"{out}/clean")
     assert readers.read_panel(spark, f"{out}/clean").count() == clean.count()
 
