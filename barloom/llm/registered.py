@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barloom.llm.common import table
+from barloom.llm.oracles import ORACLES
 
 #: Key of the surrogates in the registered query; a job brings its own.
 SURROGATE_KEY = "registered-query"
@@ -85,22 +86,5 @@ def queries() -> dict:
     return {f.__name__: f for f in own}
 
 
-_OP5 = """
-WITH v AS (
-  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
-  FROM embeddings
-  WHERE embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (
-  SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
-  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id),
-r AS (
-  SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
-  FROM s)
-SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
-"""
-
-
 def oracles() -> dict[str, str]:
-    return {"op5_top_k": _OP5}
+    return dict(ORACLES)
