@@ -16,14 +16,17 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-CELLS_PER_E_FOLD = 4096
-LINEAR_BELOW = 1e-4
+#: A million scores between 0.49 and 0.51 lie in some 2,600 cells; a group has one narrow row
+#: per cell that it uses, whatever its rows.
+CELLS_PER_E_FOLD = 65536
+LINEAR_BELOW = 1e-9
 _LIMIT = 1e150
-TEXT_CELL = 8
+#: Longer than tickers, ISINs and their common prefixes.
+TEXT_CELL = 24
 
 
 def cell_of(value: Column, text: bool = False) -> Column:
-    """Non-decreasing bucket: linear near zero, logarithmic beyond (1/4096 e-fold)."""
+    """Non-decreasing bucket: linear near zero, logarithmic beyond (1/65536 e-fold)."""
     if text:
         return F.substring(value, 1, TEXT_CELL)
     bounded = F.greatest(F.least(value, F.lit(_LIMIT)), F.lit(-_LIMIT))

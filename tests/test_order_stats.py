@@ -104,3 +104,12 @@ def test_auc_and_average_precision(spark):
         prev = rec
     assert got["roc_auc"] == pytest.approx(auc) and got["avg_precision"] == pytest.approx(ap)
     assert got["brier"] == pytest.approx(np.mean((s - y) ** 2))
+
+
+def test_concentrated_values_use_many_cells(spark):
+    """A narrow band, a common text prefix and tiny values don't share one cell."""
+    d = spark.range(20_000).select((0.49 + F.col("id") / 1e6).alias("v"), (F.col("id") * 1e-12).alias("small"),
+                                   F.concat(F.lit("EXCHANGE:"), F.col("id").cast("string")).alias("name"))
+    n = d.agg(F.count_distinct(os_.cell_of(F.col("v"))), F.count_distinct(os_.cell_of(F.col("small"))),
+              F.count_distinct(os_.cell_of(F.col("name"), True))).first()
+    assert n[0] > 2_000 and n[1] > 500 and n[2] == 20_000
