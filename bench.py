@@ -12,6 +12,7 @@ HEADLINE = [
     "technical_panel", "market_regime", "sector_loo", "future_vol", "relative_labels",
     "rank_tercile", "asof_pe", "scaler_params", "yearly_ic", "auc_ap_brier", "turnover_cost",
     "list_companies", "live_overlay", "feature_panel",
+    "ridge_eval", "logit_eval", "walk_forward",
 ]
 
 
@@ -22,9 +23,7 @@ def main():
     sf = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     names = os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",")
-    # Window work is CPU-bound, so small shuffles keep their partitions here.
-    spark = local_session(cpus, cpus, **{
-        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k"})
+    spark = local_session(cpus, cpus)
     queries, seconds = all_queries(), {}
     queries["list_companies"](spark, sf).count()  # JVM and parquet readers warm
     for n in names:
