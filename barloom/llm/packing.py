@@ -40,8 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 #: Words, and parts of words, whose ids a Python worker remembers (some 200 bytes each)
 #: before it forgets them all.
-REMEMBERED_WORDS = 400_000
-REMEMBERED_PARTS = 400_000
+REMEMBERED_WORDS = 150_000
+REMEMBERED_PARTS = 250_000
 #: Pieces in one window partition, about.
 RANKED_TOGETHER = 65_536
 
