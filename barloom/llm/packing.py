@@ -40,8 +40,8 @@ VOCABULARY = "word_bpe_49k.json"
 
 #: Words, and parts of words, whose ids a Python worker remembers (some 200 bytes each)
 #: before it forgets them all.
-REMEMBERED_WORDS = 150_000
-REMEMBERED_PARTS = 250_000
+REMEMBERED_WORDS = 250_000
+REMEMBERED_PARTS = 300_000
 #: Pieces in one window partition, about.
 RANKED_TOGETHER = 65_536
 
@@ -90,7 +90,7 @@ class WordIds:
             self.words.clear()
         if len(self.known) > REMEMBERED_PARTS:
             self.known.clear()
-        new = {w for ws in split for w in ws}.difference(self.words)
+        new = set().union(*split).difference(self.words)
         odd = [w for w in new if not self.plain.fullmatch(w)]
         for word, found in zip(odd, self.tokenizer.encode_batch_fast(odd, add_special_tokens=False)):
             self.words[word] = np.asarray(found.ids, "<u4").tobytes()
