@@ -54,11 +54,12 @@ ALPHABETS = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "012345
              "的一是不了人我在有他这为之大来以个中上们"]
 
 _TITLE = "|".join(t for ts in TITLES.values() for t in ts)
+_SECRET = "password|passwd|token|secret|api_key|apikey"
 #: (type, pattern). The order decides where two could start at the same place.
 PATTERNS = [
     ("email", r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
     ("aws_key", r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[0-9A-Z]{16}(?![A-Za-z0-9])"),
-    ("secret", r"(?<=(?:password|passwd|token|secret|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?)"
+    ("secret", rf"(?<=(?:{_SECRET})\s{{0,2}}[=:]\s{{0,2}}[\"']?)"
                r"[A-Za-z0-9+/_-]{8,}"),
     ("hex_key", r"(?<![A-Za-z0-9])[0-9a-fA-F]{32,64}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
@@ -70,11 +71,13 @@ PATTERNS = [
     ("name", rf"(?<![\p{{L}}])(?:{_TITLE})\.? \p{{Lu}}\p{{Ll}}+(?: \p{{Lu}}\p{{Ll}}+)?"),
 ]
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
+MAYBE = (rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}|(?:{_SECRET})\s{{0,2}}[=:]|(?:AKIA|ASIA)[A-Z]{{16}}"
+         r"|[a-fA-F]{32}")
 #: The same forms once more, for one entity by itself, where no neighbours are seen.
 _KINDS = [
     ("email", r"^[^@\s]+@[^@\s]+$"), ("aws_key", r"^(?:AKIA|ASIA)[0-9A-Z]{16}$"),
     ("ipv4", r"^\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}$"), ("ssn", r"^\d{3}-\d{2}-\d{4}$"),
-    ("phone", r"^\+|^\(|^\d{3}[.-]\d{3}[.-]\d{4}$"), ("hex_key", r"^[0-9a-fA-F]{32,64}$"),
+    ("phone", r"^[+(][\d .()-]+$|^\d{3}[.-]\d{3}[.-]\d{4}$"), ("hex_key", r"^[0-9a-fA-F]{32,64}$"),
     ("card", r"^[\d -]{13,22}$"), ("iban", r"^[A-Z]{2}\d{2}[A-Z0-9 ]+$"),
     ("name", rf"^(?:{_TITLE})\.? "),
 ]
@@ -222,8 +225,9 @@ def surrogate(entity: Column, key: str, attempt: Column) -> Column:
 
 
 def _entities(text: Column) -> Column:
-    # The cheap test first: without a digit, an @ or a title there is nothing to look for.
-    maybe = text.rlike(rf"[0-9@]|(?:{_TITLE})\.? \p{{Lu}}")
+    # The cheap test first. Every match of a pattern holds a digit, an @, a title, or one of
+    # the forms that letters alone can make: a secret's keyword, a key's prefix, hex letters.
+    maybe = text.rlike(MAYBE)
     return F.when(maybe, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).otherwise(
         F.array().cast("array<string>"))
 
