@@ -84,9 +84,11 @@ def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(runs, _RUNS)
 
 
-def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal runs."""
-    runs = stored(sentence_runs(docs, text, least_words))
+def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
+    """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal runs.
+    Runs in the lines `gone` (d, position) are no occurrences."""
+    runs = stored(sentence_runs(docs, text, least_words).withColumn("d", F.coalesce("doc_id", F.lit(-2**63)))
+                  .join(small_side(gone), ["d", "position"], "left_anti").drop("d"))
     twice = stored(runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_occurrences"))
                    .where("n_occurrences > 1"))
     found = stored(runs.join(small_side(twice, BROADCAST_RUNS), ["hi", "lo"])
@@ -108,14 +110,13 @@ def repeated_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Repeated lines, and repeated runs of sentences in lines that don't repeat as a whole."""
+    """Repeated lines, and repeated runs of sentences in the lines that stay."""
     lines = stored(repeated_paragraphs(docs, text)).withColumn("start", F.lit(0))
-    held = lines.select("doc_id", "position").distinct()
-    runs = repeated_runs(docs, text).alias("r").join(
-        held.alias("h"), F.col("r.doc_id").eqNullSafe(F.col("h.doc_id"))
-        & (F.col("r.position") == F.col("h.position")), "left_anti")
+    # The surviving line of a class keeps its runs, also where a copy of its own row goes.
+    gone = stored(lines.groupBy(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), "position")
+                  .agg(F.bool_and("removed").alias("all")).where("all").drop("all"))
     columns = ["doc_id", "position", "start", "n_words", "class_id", "n_occurrences", "removed"]
-    return lines.select(columns).union(runs.select(columns))
+    return lines.select(columns).union(repeated_runs(docs, gone, text).select(columns))
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS,

@@ -114,3 +114,22 @@ def test_runs_reach_the_least_length(spark):
     df = spark.createDataFrame([(1, "a b c. d e f. g h i. j k")], "doc_id long, text string")
     got = sorted((x["start"], x["n_words"]) for x in sentence_runs(df, least_words=4).collect())
     assert got == [(0, 6), (3, 6), (6, 5)]
+
+
+def test_surviving_lines_keep_their_runs(spark):
+    r = random.Random(8)
+
+    def sentence(n):
+        return " ".join(r.choice(LETTERS) for _ in range(n)) + "."
+
+    early, late = (" ".join(sentence(9) for _ in range(5)) for _ in range(2))
+    held = f"{sentence(40)} {early} {sentence(41)} {late} {sentence(42)}"
+    docs = [(1, f"{sentence(33)} {early} {sentence(34)}"), (2, held), (3, held), (4, f"{sentence(35)} {late} {sentence(36)}")]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["start"], x["n_words"], x["class_id"], x["n_occurrences"], x["removed"])
+                 for x in repeated_passages(df).collect())
+    n = len(held.split())
+    assert got == [(1, 33, 45, 1, 2, False), (2, 0, n, 2, 2, False), (2, 40, 45, 1, 2, True), (2, 126, 45, 2, 2, False),
+                   (3, 0, n, 2, 2, True), (4, 35, 45, 2, 2, True)]
+    left = {x["doc_id"]: x["text"] for x in without_repeats(df).collect()}
+    assert early in left[1] and early not in left[2] and late in left[2] and left[3] == "" and late not in left[4]
