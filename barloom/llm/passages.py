@@ -1,9 +1,11 @@
 """Substring dedup by paragraphs: MinHash banding, exact verification, components.
 
 A paragraph is a line of at least `least_words` words. Equal paragraphs are one node,
-whatever their number. Passages can also stand inside longer lines: there, every run of whole
-sentences that just reaches `WINDOW_WORDS` words is a paragraph too, joined by equality only;
-their hashes are counted first, and only those that repeat are placed. The bands are tuned for recall (12 bands of 3 values: a pair at the
+whatever their number. Passages can also start and end anywhere, inside a line or over several:
+grams of words chosen by winnowing are counted over the lines that stay, and around those that
+repeat every gram is. Repeated grams that touch are one piece, pieces parted by an edit are one
+span, and spans of `WINDOW_WORDS` words are given, one row per line. A text that repeats itself
+without a gap is no repeat. The bands are tuned for recall (12 bands of 3 values: a pair at the
 threshold is missed once in 5,600 cases, and seldomer above it); colliding paragraphs are
 verified by exact Jaccard over five-word shingles, and classes are the components of the
 verified links. In each class the first occurrence (smallest document, then position) stays
@@ -18,17 +20,27 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import GAP, small_side, stored, words
+from barloom.llm.common import GAP, small_side, stored, word_count, word_hashes, words
 from barloom.llm.components import connected_components
 from barloom.llm.shingle_links import ShingleLinks, text_node
 
 LEAST_WORDS = 20
 WINDOW_WORDS = 30
+#: Words of a gram, and the length from which equal stretches surely share an anchor. A passage
+#: that is edited to a Jaccard similarity of 0.8 keeps about as many words in one piece.
+GRAM_WORDS = 13
+SURE_WORDS = 24
+#: Words around an anchor in which the passage's ends, and pieces behind an edit, are looked for.
+REACH = 64
+BROADCAST_MARKS = 50_000
+_GRAMS = "d long, h long, q int, l1 int, l2 int, g long, again boolean"
+_SPANS = "d long, position int, start int, n_words int, first long, n_occurrences long, removed boolean"
 #: Repeated runs (two numbers each) that may be sent to every executor.
 BROADCAST_RUNS = 2_000_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -51,7 +63,7 @@ def hashed(lines: DataFrame, least_words: int) -> DataFrame:
 
 
 def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
-    """Runs of whole sentences inside lines: from every sentence on, until `least_words` are
+    """Runs of whole sentences inside lines (any equal words count in `repeated_runs`): from every sentence on, until `least_words` are
     reached. Lines that are one run are left out, they are paragraphs themselves."""
     def runs(batches):
         for batch in batches:
@@ -84,29 +96,174 @@ def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(runs, _RUNS)
 
 
+def _parts(batches, rows: int = 200):
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _grams(batch, k: int):
+    """Per word of a batch (rows with `words`): its index in the text, its text's number, the hash
+    of the `k` words from it on, whether these lie in the text, and the texts' ends."""
+    column = batch.column("words")
+    words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    at = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+    h = np.zeros(len(words), np.uint64)
+    m = max(len(words) - k + 1, 0)
+    for i in range(k):
+        h[:m] = h[:m] * np.uint64(0x9E3779B97F4A7C15) + words[i:i + m]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(0xD6E8FEB86659FD93)
+    h ^= h >> np.uint64(29)
+    return at, of, h, at + k <= sizes[of], sizes
+
+
+def _rows(batch, chosen, at, of, h, k: int):
+    """The chosen grams as rows; `again`: one overlaps the same gram before it."""
+    q, text, g = at[chosen], of[chosen], h[chosen]
+    order = np.lexsort((q, g, text))
+    again = np.zeros(len(q), bool)
+    same = (np.diff(text[order]) == 0) & (g[order][1:] == g[order][:-1]) & (np.diff(q[order]) < k)
+    again[order[1:][same]] = True
+    lines = batch.column("line_words")
+    counts = lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    n = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    # The line of a word: the first whose words end behind it, over all texts of the batch.
+    bounds, first = np.cumsum(counts), np.cumsum(n) - n
+    here = chosen[:, None] + np.array([0, k - 1])
+    line = np.searchsorted(bounds, here, side="right") - first[text][:, None]
+    took = pa.array(text)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("d").take(took), batch.column("h").take(took), pa.array(q.astype(np.int32)),
+         pa.array(line[:, 0].astype(np.int32)), pa.array(line[:, 1].astype(np.int32)), pa.array(g.view(np.int64)),
+         pa.array(again)], names=[f.split()[0] for f in _GRAMS.split(", ")])
+
+
+def anchors(texts: DataFrame, k: int = GRAM_WORDS, sure: int = SURE_WORDS) -> DataFrame:
+    """Grams of `k` words chosen by winnowing: of every sure - k + 1 successive ones that with
+    the least hash, so equal stretches of `sure` words hold an equal anchor."""
+    w = sure - k + 1
+
+    def choose(batches):
+        for batch in _parts(batches):
+            at, of, h, _, sizes = _grams(batch, k)
+            if len(h) < sure:
+                continue
+            starts = np.flatnonzero(at + sure <= sizes[of])
+            least = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1)
+            yield _rows(batch, np.unique(starts + least[starts]), at, of, h, k)
+
+    return texts.mapInArrow(choose, _GRAMS)
+
+
+def grams_near(texts: DataFrame, k: int = GRAM_WORDS, reach: int = REACH) -> DataFrame:
+    """Every gram within `reach` words of the anchors at `marks`."""
+    def near(batches):
+        for batch in _parts(batches):
+            at, of, h, whole, sizes = _grams(batch, k)
+            marks = batch.column("marks")
+            n = marks.value_lengths().to_numpy(zero_copy_only=False)
+            q = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            text = np.repeat(np.arange(len(n)), n)
+            start = (np.cumsum(sizes) - sizes)[text]
+            edge = np.zeros(len(h) + 1, np.int64)
+            np.add.at(edge, start + np.maximum(q - reach, 0), 1)
+            np.add.at(edge, start + np.minimum(q + reach + 1, sizes[text]), -1)
+            yield _rows(batch, np.flatnonzero((np.cumsum(edge)[:-1] > 0) & whole), at, of, h, k)
+
+    return texts.mapInArrow(near, _GRAMS)
+
+
+def spans_of(pieces: DataFrame, least_words: int, k: int = GRAM_WORDS) -> DataFrame:
+    """Spans of rows (d, line_words, pieces), cut at line ends. Pieces that follow each other here
+    and at their first places are one span over an edit, as long as the shingles of both sides
+    have a Jaccard similarity of 0.8."""
+    def join(batches):
+        for batch in batches:
+            out = []
+            for d, lines, found in zip(*(batch.column(c).to_pylist() for c in ("d", "line_words", "pieces"))):
+                for removed in (False, True):
+                    spans = []
+                    for p in sorted((p for p in found if p["removed"] == removed), key=lambda p: p["start"]):
+                        a, z = p["a"], p["z"]
+                        end_first = z["fq"] + k
+                        if spans:
+                            s = spans[-1]
+                            gap, other = p["start"] - s["end"], a["fq"] - s["end_first"]
+                            equal = s["equal"] + p["end"] - p["start"] - 4
+                            lost = s["lost"] + gap + other + 8
+                            if (s["place"] == (a["fd"], a["fh"]) and 0 <= gap and 0 <= other
+                                    and 5 * equal >= 4 * (equal + lost)):
+                                s.update(end=p["end"], end_first=end_first, place=(z["fd"], z["fh"]), equal=equal,
+                                         lost=lost, first=min(s["first"], p["first"]), n=max(s["n"], p["n"]))
+                                continue
+                        spans.append(dict(start=p["start"], end=p["end"], end_first=end_first, first=p["first"],
+                                          place=(z["fd"], z["fh"]), equal=p["end"] - p["start"] - 4, lost=0, n=p["n"]))
+                    for s in spans:
+                        if s["end"] - s["start"] < least_words:
+                            continue
+                        at = 0
+                        for position, n in enumerate(lines):
+                            start, end = max(s["start"], at), min(s["end"], at + n)
+                            if start < end:
+                                out.append((d, position, start - at, end - start, s["first"], s["n"], removed))
+                            at += n
+            types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
+            columns = list(zip(*out)) or [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
+                                             names=[f.split()[0] for f in _SPANS.split(", ")])
+
+    return pieces.select("d", "line_words", "pieces").mapInArrow(join, _SPANS)
+
+
 def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
-    """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal runs.
-    Runs in the lines `gone` (d, position) are no occurrences."""
-    runs = stored(sentence_runs(docs, text, least_words).withColumn("d", F.coalesce("doc_id", F.lit(-2**63)))
-                  .join(small_side(gone), ["d", "position"], "left_anti").drop("d"))
-    twice = stored(runs.groupBy("hi", "lo").agg(F.count(F.lit(1)).alias("n_occurrences"))
-                   .where("n_occurrences > 1"))
-    found = stored(runs.join(small_side(twice, BROADCAST_RUNS), ["hi", "lo"])
-                   .withColumn("place", F.struct(F.coalesce("doc_id", F.lit(-2**63)).alias("d"),
-                                                 F.col("position").alias("p"), F.col("start").alias("s"))))
-    first = stored(found.groupBy("hi", "lo").agg(F.min("place").alias("first")))
-    told = found.join(small_side(first, BROADCAST_RUNS), ["hi", "lo"]).select(
-        "doc_id", "position", "start", (F.col("start") + F.col("n_words")).alias("end"), "n_occurrences",
-        F.col("first.d").alias("first"), (F.col("place") != F.col("first")).alias("removed"))
-    # Runs that touch or overlap are one span; a line's runs are as few as its sentences.
-    line = Window.partitionBy("doc_id", "position", "removed").orderBy("start", "end")
-    apart = F.col("start") > F.coalesce(F.max("end").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
-    spans = told.withColumn("_apart", apart.cast("int")).withColumn("span", F.sum("_apart").over(line))
-    return (spans.groupBy("doc_id", "position", "removed", "span")
-            .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min("first").alias("class_id"),
-                 F.max("n_occurrences").alias("n_occurrences"))
-            .select("doc_id", "position", "start", (F.col("end") - F.col("start")).alias("n_words"),
-                    F.nullif("class_id", F.lit(-2**63)).alias("class_id"), "n_occurrences", "removed"))
+    """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal words,
+    wherever they start and end. Words in the lines `gone` (d, position) are no occurrences."""
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    named = docs.select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.xxhash64(lower).alias("h"),
+                        lower.alias("_text"))
+
+    def in_words(texts):
+        return texts.withColumns({"words": word_hashes(F.col("_text")), "line_words": F.transform(
+            F.split("_text", "\n", -1), word_count)}).drop("_text")
+
+    def repeats(grams):
+        """The grams outside `gone` that stand in several places, with `n` and the `first` place."""
+        for end in ("l1", "l2"):  # removed lines are longer than a gram
+            grams = grams.join(small_side(gone).withColumnRenamed("position", end), ["d", end], "left_anti")
+        grams = stored(grams.drop("l1", "l2"))
+        twice = stored(grams.groupBy("g").agg(F.count_if(~F.col("again")).alias("n"),
+                                              F.min(F.struct("d", "h", "q")).alias("first")).where("n > 1"))
+        return grams.join(small_side(twice, BROADCAST_RUNS), "g")
+
+    chosen = stored(anchors(in_words(named)))
+    often = stored(chosen.groupBy("g").agg(F.count_if(~F.col("again")).alias("n")).where("n > 1").select("g"))
+    chosen = repeats(chosen.join(small_side(often, BROADCAST_RUNS), "g", "left_semi"))
+    marks = stored(chosen.groupBy("d", "h").agg(F.collect_set("q").alias("marks")))
+    # Texts are shuffled and stored as such: word hashes take more room than their letters.
+    held = stored(named.join(small_side(marks, BROADCAST_MARKS), ["d", "h"]))
+    near = in_words(held)
+    own = (F.col("d") == F.col("first.d")) & (F.col("h") == F.col("first.h"))
+    told = repeats(grams_near(near)).select(
+        "d", "h", "q", "n", F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.q").alias("fq"),
+        (~own | (F.col("q") >= F.col("first.q") + GRAM_WORDS)).alias("removed")).distinct()
+    # Grams that touch or overlap are one piece.
+    line = Window.partitionBy("d", "h", "removed").orderBy("q")
+    apart = F.col("q") > F.coalesce(F.lag("q").over(line), F.lit(-2**20)) + GRAM_WORDS
+    place = F.struct("q", "fd", "fh", "fq")
+    pieces = (told.withColumn("_apart", apart.cast("int")).withColumn("piece", F.sum("_apart").over(line))
+              .groupBy("d", "h", "removed", "piece")
+              .agg(F.min("q").alias("start"), (F.max("q") + GRAM_WORDS).alias("end"), F.min(place).alias("a"),
+                   F.max(place).alias("z"), F.min("fd").alias("first"), F.max("n").alias("n")))
+    by_text = stored(pieces.groupBy("d", "h").agg(F.collect_list(F.struct(
+        "removed", "start", "end", "a", "z", "first", "n")).alias("pieces")))
+    lines = near.select("d", "h", "line_words").dropDuplicates(["d", "h"])
+    spans = spans_of(by_text.join(lines, ["d", "h"]), least_words)
+    return spans.select(F.nullif("d", F.lit(-2**63)).alias("doc_id"), "position", "start", "n_words",
+                        F.nullif("first", F.lit(-2**63)).alias("class_id"), "n_occurrences", "removed")
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:

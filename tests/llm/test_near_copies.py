@@ -133,3 +133,36 @@ def test_surviving_lines_keep_their_runs(spark):
                    (3, 0, n, 2, 2, True), (4, 35, 45, 2, 2, True)]
     left = {x["doc_id"]: x["text"] for x in without_repeats(df).collect()}
     assert early in left[1] and early not in left[2] and late in left[2] and left[3] == "" and late not in left[4]
+
+
+def test_spans_need_no_marks_or_lines(spark):
+    r = random.Random(9)
+    rand = lambda n: [r.choice(LETTERS) for _ in range(n)]
+    passages = [rand(60) for _ in range(4)]
+    near = list(passages[1])
+    near[33] = "other"
+    wrapped = [" ".join(passages[2][i:i + 12]) for i in range(0, 60, 12)]
+    docs = [(1, " ".join(rand(40) + passages[0] + rand(30) + passages[1] + rand(35))),
+            (2, " ".join(rand(31) + passages[0] + rand(32))), (3, " ".join(rand(33) + near + rand(34))),
+            (4, "\n".join([" ".join(rand(11)), *wrapped, " ".join(rand(9))])), (5, " ".join(rand(45) + passages[2] + rand(36))),
+            (6, "。 ".join(passages[3]) + "。 " + " ".join(rand(50))), (7, " ".join(rand(51)) + " " + "。 ".join(passages[3]) + "。"),
+            (8, "x " * 500), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    found = repeated_passages(df).collect()
+    texts = {d: [x.lower().split() for x in (t or "").split("\n")] for d, t in docs}
+    # Brute force: every 50-word window that stands in two texts.
+    flat = {d: [w for x in lines for w in x] for d, lines in texts.items()}
+    seen = {}
+    for d, w in flat.items():
+        for i in range(len(w) - 49):
+            seen.setdefault(tuple(w[i:i + 50]), []).append((d, i))
+    want = {(d, i + j) for p in seen.values() if len({d for d, _ in p}) > 1 for d, i in p for j in range(50)}
+    got = set()
+    for x in found:
+        before = sum(map(len, texts[x["doc_id"]][:x["position"]]))
+        got |= {(x["doc_id"], before + x["start"] + j) for j in range(x["n_words"])}
+    assert want and want <= got
+    rows = sorted((x["doc_id"], x["position"], x["start"], x["n_words"], x["class_id"]) for x in found if x["removed"])
+    assert rows == [(2, 0, 31, 60, 1), (3, 0, 33, 60, 1), (5, 0, 45, 60, 4), (7, 0, 51, 60, 6)]
+    kept = sorted((x["doc_id"], x["position"], x["n_words"]) for x in found if x["doc_id"] == 4)
+    assert kept == [(4, i, 12) for i in range(1, 6)]
