@@ -67,4 +67,42 @@ r AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
 
-ORACLES = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op5_top_k": OP5}
+
+OP12 = """
+SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+# CRC-32 over code points below U+0100 as UTF-8, its table from the rule of its polynomial.
+OP13 = r"""
+WITH RECURSIVE
+rule AS (SELECT list(list_reduce(list_prepend(i, [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]), lambda c, _: CASE
+           WHEN c & 1 = 1 THEN xor(3988292384::UBIGINT, c >> 1) ELSE c >> 1 END) ORDER BY i) AS t
+         FROM (SELECT unnest(range(256))::UBIGINT AS i)),
+run AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+        FROM (SELECT doc_id, unnest(regexp_extract_all(coalesce(text, ''), '[A-Za-z\x{00C0}-\x{00FF}]+')) AS r FROM documents)),
+one AS (SELECT doc_id, r, count(*) AS n, string_split(doc_id || ':' || r, '') AS cs FROM run GROUP BY doc_id, r),
+hash AS (SELECT doc_id, r, n, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(list_transform(cs,
+           lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)] ELSE [195, unicode(x) - 64] END))::UBIGINT[]),
+           lambda c, b: xor(t[(xor(c, b) & 255)::BIGINT + 1], c >> 8)), 4294967295::UBIGINT) AS h
+         FROM one, rule),
+told AS (SELECT CASE WHEN h % 97 = 0 THEN left(r, (h % length(r))::BIGINT) || substr(r, (h % length(r))::BIGINT + 2)
+                ELSE r END AS word, n FROM hash),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM told WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS d
+         FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+pair AS (SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.d = b.d AND a.i = b.i AND a.word <> b.word
+         UNION SELECT l.word, v.word, v.n FROM less l JOIN v ON l.d = v.word
+         UNION SELECT v.word, l.word, l.n FROM less l JOIN v ON l.d = v.word),
+best AS (SELECT word, count(*) AS n_near, arg_min({'f': near, 'n': near_n}, {'m': -near_n, 'f': near}) AS f FROM pair GROUP BY word),
+form AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN f.n >= 2 * v.n THEN f.f END AS form,
+                CASE WHEN f.n >= 2 * v.n THEN f.n END AS form_n FROM v LEFT JOIN best USING (word)),
+path AS (SELECT word, word AS root FROM form
+         UNION ALL SELECT path.word, form.form FROM path JOIN form ON form.word = path.root WHERE form.form IS NOT NULL),
+root AS (SELECT path.word, path.root FROM path JOIN form ON form.word = path.root WHERE form.form IS NULL)
+SELECT word, form, root, n, n_near, form_n FROM form JOIN root USING (word)
+"""
+
+ORACLES = {"op1_ngram_jaccard_join": OP1, "op3_quality_rules": OP3, "op5_top_k": OP5, "op12_exact_copies": OP12,
+           "op13_spelling_variants": OP13}

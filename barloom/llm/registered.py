@@ -76,13 +76,57 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_runs, the longest run, and digests of all runs and of the collapsed text."""
+    from barloom.llm.common import words
+    from barloom.llm.periodic_runs import periodic_runs
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.crc32(F.col("doc_id").cast("string").cast("binary")).alias("h"))
+    g, n = F.floor(F.col("h") / 10), F.size("w")
+    # Texts with h % 10 = 0 repeat what stands from word a on, every p words.
+    chosen = docs.withColumn("w", F.when(F.col("h") % 10 == 0, words(F.col("text")))).select(
+        "doc_id", "text", "w", F.when(n > 0, g % n).cast("int").alias("a"), (3 + g % 8).cast("int").alias("c"))
+    chosen = chosen.withColumn("p", F.expr("1 + (size(w) - a) div c").cast("int"))
+    again = F.array_join(F.transform("w", lambda x, i: F.when(i < F.col("a"), x).otherwise(
+        F.get(F.col("w"), F.col("a") + (i - F.col("a")) % F.col("p")))), " ")
+    texts = chosen.select("doc_id", F.when(F.col("a").isNotNull(), again).otherwise(F.col("text")).alias("text"))
+    out = periodic_runs(texts)
+    line = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(
+        r["length"].alias("length"), (-r["start"]).alias("before"), (-r["period"]).alias("less"))))
+    return (out.withColumn("b", longest).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("b.before")).alias("start"),
+        F.col("b.length").alias("length"), (-F.col("b.less")).alias("period"),
+        F.expr("1000 * b.length div -b.less").alias("exponent_milli"),
+        F.sha2(F.array_join(line, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256")))
+
+
+def op12_exact_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256."""
+    from barloom.llm.exact_copies import exact_copies
+    return exact_copies(table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n."""
+    from barloom.llm.spelling import spelling_variants
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    found = F.regexp_extract_all(F.translate("text", upper, upper.lower()), F.lit("([A-Za-zÀ-ÿ]+)"))
+    runs = table(spark, sf_dir, "documents").select("doc_id", F.explode(found).alias("run"))
+    h = F.crc32(F.concat(F.col("doc_id").cast("string"), F.lit(":"), "run").cast("binary"))
+    at = (h % F.char_length("run")).cast("int")
+    shorter = F.concat(F.substr("run", F.lit(1), at), F.substr("run", at + 2))
+    return spelling_variants(runs.select(F.when(h % 97 == 0, shorter).otherwise(F.col("run")).alias("word")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the stages of corpus_pipeline.py make of `documents`."""
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    own = [pipeline, op1_ngram_jaccard_join, op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources, op10_repeated_passages]
+    own = [pipeline, op1_ngram_jaccard_join, op2_pack_documents, op3_quality_rules, op4_toxicity, op5_top_k, op6_licence_scan, op7_surrogates, op8_main_text, op9_mix_sources, op10_repeated_passages,
+           op11_periodic_runs, op12_exact_copies, op13_spelling_variants]
     return {f.__name__: f for f in own}
 
 
