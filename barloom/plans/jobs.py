@@ -37,8 +37,8 @@ def ingest(spark, raw: str, out: str) -> None:
 
 def audit_raw(spark, raw: str, out: str) -> None:
     """Findings of every file check, plus coverage and cross-source differences."""
-    landed = materialize(readers.read_signed_bars(spark, raw))
-    heads = materialize(readers.headers(spark, raw))
+    heads = readers.headers(spark, raw)
+    landed = materialize(readers.read_signed_bars(spark, raw, heads))
     helpers = [name.removesuffix(".csv") for name in S.LANDING.values()]
     bars = heads.where(~F.regexp_extract("file", readers.FILE_STEM, 1).isin(helpers))
     daily = materialize(cleaning.unique_bars(landed.drop("file"), prefer="row_no"))

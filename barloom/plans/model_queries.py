@@ -215,9 +215,9 @@ def quote_stream(spark, sf):
     stream = raw.select(F.col("user_id").cast("string").alias("symbol"), "ts",
                         F.col("value").alias("ltp"))
     base = f"{checkpoint_dir(spark)}/streams/{spark.sparkContext.applicationId}-{id(stream)}"
-    live_quotes.overlay_stream(stream, st.quoted_accounts(spark, sf), f"{base}/out",
-                               f"{base}/state", ttl_seconds=6 * 3600).awaitTermination()
-    return live_quotes.read_live(spark, f"{base}/out").select("symbol", "last_close", "is_live")
+    live_quotes.newest_quotes(stream, f"{base}/out", f"{base}/state", 6 * 3600).awaitTermination()
+    return live_quotes.read_live(spark, f"{base}/out", st.quoted_accounts(spark, sf), 6 * 3600).select(
+        "symbol", "last_close", "is_live")
 
 
 MODEL_QUERIES = {f.__name__: f for f in (

@@ -1,5 +1,8 @@
 """Readers of the landing files (CSV, declared schemas) and of the stored panels."""
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -60,37 +63,60 @@ def read_bars(spark: SparkSession, path, renames=None, files: DataFrame = None)
         "file", "row_no")
 
 
+#: Files opened at once by the header pass.
+HEADER_READERS = 16
+
+
+def _first_line(spark: SparkSession, file: str):
+    """The first line of a file on any file system that Spark reads; a few KB are fetched."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI.create(file))
+    stream = path.getFileSystem(conf).open(path)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(path)
+        text = jvm.java.io.InputStreamReader(codec.createInputStream(stream) if codec else stream, "UTF-8")
+        return jvm.java.io.BufferedReader(text).readLine()
+    finally:
+        stream.close()
+
+
 def headers(spark: SparkSession, path) -> DataFrame:
-    """(file, columns) of every CSV file: its first line only.
+    """(file, columns) of every CSV file: its first line only. Blank first lines: no row.
+
+    The folder is listed by Spark and no file is scanned: a Python task would read its file to
+    the end, so first lines are fetched by a few threads beside the driver, one open call and
+    one buffer a file whatever its length. A landing folder has a file per symbol, which bounds
+    the list; callers that read twice hand it on.
+    """
+    listed = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("file"))
+    files = [r["file"] for r in listed.collect()]
+    first = inheritable_thread_target(spark)(lambda f: (f, _first_line(spark, f)))
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        lines = [(f, line) for f, line in pool.map(first, files) if (line or "").lstrip("\ufeff").strip()]
+    plain = F.regexp_replace(F.regexp_replace("value", r"[\"\r\uFEFF]", ""), r"\s*,\s*", ",")
+    return spark.createDataFrame(lines, "file string, value string").select(
+        "file", F.split(F.trim(plain), ",").alias("columns"))
+
+
+def bar_files(spark: SparkSession, path, signature=SIGNATURE, skip=NOT_BARS, heads: DataFrame = None) -> DataFrame:
+    """Files whose header carries the bar signature, without the index files.
 
-    Lines are read as text, and the one at byte offset 0 of each file is the
-    header; everything else is dropped in the scan's own tasks.
+    `heads` are the folder's `headers`, where the caller has them already.
     """
-    lines = spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("_start"),
-        F.monotonically_increasing_id().alias("_id"), F.col("value"))
-    first = (lines.where("_start = 0").groupBy("file")
-             .agg(F.min_by("value", "_id").alias("_h")))
-    plain = F.regexp_replace(F.regexp_replace("_h", r"[\"\r\uFEFF]", ""), r"\s*,\s*", ",")
-    return first.where(F.trim("_h") != "").select("file", F.split(F.trim(plain), ",").alias("columns"))
-
-
-def bar_files(spark: SparkSession, path, signature=SIGNATURE, skip=NOT_BARS) -> DataFrame:
-    """Files whose header carries the bar signature, without the index files."""
     ok = F.lit(True)
     for c in signature:
         ok = ok & F.array_contains("columns", c)
     name = F.regexp_extract("file", FILE_STEM, 1)
-    return headers(spark, path).where(ok & ~name.isin(list(skip)))
+    heads = headers(spark, path) if heads is None else heads
+    return heads.where(ok & ~name.isin(list(skip)))
 
 
-def read_signed_bars(spark: SparkSession, path, **kw) -> DataFrame:
+def read_signed_bars(spark: SparkSession, path, heads: DataFrame = None, **kw) -> DataFrame:
     """Bars of every file in a mixed folder that has the bar signature.
 
     The file list is joined to the rows, so it never passes through the driver.
     """
-    return read_bars(spark, path, files=bar_files(spark, path), **kw)
+    return read_bars(spark, path, files=bar_files(spark, path, heads=heads), **kw)
 
 
 def read_master(spark: SparkSession, path) -> DataFrame:

@@ -63,9 +63,8 @@ def test_stream_equals_the_batch_overlay(spark, tmp_path, order):
     for n, i in enumerate(order):
         spark.createDataFrame(BATCHES[i], schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"{n}"))
         stream = live_quotes.read_quote_stream(spark, str(tmp_path / "in" / "*"), max_files=1)
-        live_quotes.overlay_stream(stream, closes, str(tmp_path / "out"), str(tmp_path / "state"),
-                                   ttl_seconds=3600).awaitTermination()
-    got = {tuple(r) for r in live_quotes.read_live(spark, str(tmp_path / "out"))
+        live_quotes.newest_quotes(stream, str(tmp_path / "out"), str(tmp_path / "state"), 3600).awaitTermination()
+    got = {tuple(r) for r in live_quotes.read_live(spark, str(tmp_path / "out"), closes, 3600)
            .select("symbol", "last_close").collect()}
     batch = serving.overlay_quotes(closes, spark.createDataFrame(sum(BATCHES, []), schema), ttl_seconds=3600)
     assert got == {tuple(r) for r in batch.where("is_live").select("symbol", "last_close").collect()}

@@ -1,6 +1,7 @@
 """Landing readers, sinks, the streaming overlay and the CSV-to-model jobs."""
 
 import datetime as dt
+import gzip
 import os
 
 import numpy as np
@@ -8,9 +9,10 @@ import pandas as pd
 import pytest
 
 from barloom import schema as S
-from barloom.operators import audit, models
+from barloom.operators import audit, models, serving
 from barloom.plans import jobs
 from barloom.sources import readers, writers
+from barloom.streaming import live_quotes
 
 
 @pytest.fixture(scope="module")
@@ -55,7 +57,47 @@ def test_signature_filter_and_symbols(spark, raw):
     assert bars.count() == 6 * 460 + 40
     assert bars.where("close is null or date is null").count() == 0
     plan = bars.select("symbol", "close")._jdf.queryExecution().executedPlan().toString()
-    assert "Open" not in plan.split("ReadSchema")[1]
+    scans = [line.split("ReadSchema")[1] for line in plan.splitlines() if "FileScan csv" in line]
+    assert scans and all("Close" in x and "Open" not in x for x in scans)
+
+
+def _bytes_read(spark):
+    """What this JVM has read from files so far."""
+    return sum(s.getBytesRead() for s in spark._jvm.org.apache.hadoop.fs.FileSystem.getAllStatistics())
+
+
+def _header_cost(spark, folder):
+    before = _bytes_read(spark)
+    rows = {os.path.basename(r["file"]): list(r["columns"]) for r in readers.headers(spark, folder).collect()}
+    return rows, _bytes_read(spark) - before
+
+
+def test_header_pass_does_not_read_the_files(spark, tmp_path):
+    head, line = "Date,Close,Volume\n", "2020-01-01,1.25,100\n"
+    for name, n in (("short", 10), ("long", 2_500_000)):
+        (tmp_path / name).mkdir()
+        for i in range(3):
+            (tmp_path / name / f"S{i}.csv").write_text(("\ufeff" if i == 1 else "") + head + line * n)
+    (tmp_path / "short" / "EMPTY.csv").write_text("")
+    (tmp_path / "short" / "PACK.csv.gz").write_bytes(gzip.compress(b"Date,Close\n1,2\n"))
+    (tmp_path / "short" / "BLANK.csv").write_text("\n\n")
+    (tmp_path / "short" / "OTHER.csv").write_text('"Symbol" , "Close"\r\nA,1\r\n')
+    want = {f"S{i}.csv": ["Date", "Close", "Volume"] for i in range(3)}
+    rows, small = _header_cost(spark, str(tmp_path / "short"))
+    assert rows == want | {"OTHER.csv": ["Symbol", "Close"], "PACK.csv.gz": ["Date", "Close"]}
+    rows, large = _header_cost(spark, str(tmp_path / "long"))
+    assert rows == want
+    assert os.path.getsize(tmp_path / "long" / "S0.csv") > 45_000_000 and large <= small + 3 * 65_536
+
+
+def test_one_scan_where_headers_agree(spark, tmp_path):
+    for s in ("A", "B c%"):
+        (tmp_path / f"{s}.csv").write_text("Date,Symbol,Adj Close,Close,High,Low,Open,Volume\n2020-01-02,x,1,2,3,1,2,5\n")
+    bars = readers.read_bars(spark, str(tmp_path))
+    plan = bars._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Join" not in plan
+    assert sorted((r["symbol"], r["adj_close"]) for r in bars.collect()) == [("A", 1.0), ("B c%", 1.0)]
+    assert readers.read_signed_bars(spark, str(tmp_path)).count() == 2
 
 
 def test_master_index_and_header_checks(spark, raw):
@@ -160,3 +202,87 @@ def test_stream_overlay_equals_batch(spark):
     live = {tuple(r) for r in q["quote_stream"](spark, sf).collect()}
     batch = {tuple(r) for r in q["live_overlay"](spark, sf).where("is_live").collect()}
     assert live == batch and live
+
+
+T0 = dt.datetime(2024, 3, 1, 10, 0, 0)
+
+
+class QuoteFeed:
+    """Quote files that come one by one, and the stream that reads them."""
+
+    def __init__(self, spark, folder, ttl=60):
+        self.spark, self.ttl, self.n = spark, ttl, 0
+        self.src, self.out, self.state = (f"{folder}/{x}" for x in ("src", "out", "state"))
+        os.makedirs(self.src)
+        self.all = []
+
+    def send(self, *rows):
+        rows = [(s, T0 + dt.timedelta(seconds=t), x) for s, t, x in rows]
+        self.all += rows
+        self.spark.createDataFrame(rows, S.QUOTES).coalesce(1).write.mode("append").parquet(self.src)
+        return self.run()
+
+    def run(self):
+        stream = live_quotes.read_quote_stream(self.spark, self.src)
+        query = live_quotes.newest_quotes(stream, self.out, self.state, self.ttl)
+        query.awaitTermination()
+        return [p for p in query.recentProgress if p["numInputRows"]]
+
+    def live(self, closes):
+        got = live_quotes.read_live(self.spark, self.out, closes, self.ttl).select("symbol", "last_close", "is_live")
+        quotes = self.spark.createDataFrame(self.all, S.QUOTES)
+        want = serving.overlay_quotes(closes, quotes, ttl_seconds=self.ttl).where("is_live")
+        rows = {tuple(r) for r in got.collect()}
+        assert rows == {tuple(r) for r in want.select("symbol", "last_close", "is_live").collect()}
+        return {r[0]: r[1] for r in rows}
+
+
+def test_quote_state_late_and_replayed(spark, tmp_path):
+    closes = spark.createDataFrame([(s, 1.0) for s in "ABCD"], "symbol string, close double")
+    feed = QuoteFeed(spark, str(tmp_path))
+    assert live_quotes.read_live(spark, feed.out, closes).count() == 0
+    feed.send(("A", 0, 10.0), ("B", 5, 20.0), ("Z", 9, 9.0), ("A", 2, 11.0))
+    assert feed.live(closes) == {"A": 11.0, "B": 20.0}
+    feed.send(("A", 1, 99.0), ("C", 30, 30.0))  # A's quote is older than the one that stands
+    assert feed.live(closes) == {"A": 11.0, "B": 20.0, "C": 30.0}
+    feed.send(("A", 0, 10.0), ("B", 5, 20.0))  # sent again
+    assert feed.live(closes) == {"A": 11.0, "B": 20.0, "C": 30.0}
+    feed.send(("D", 80, 40.0))  # A and B are too old by now
+    assert feed.live(closes) == {"C": 30.0, "D": 40.0}
+    feed.send(("A", 4, 98.0), ("B", 81, 21.0))  # A's quote comes too late to matter
+    assert feed.live(closes) == {"B": 21.0, "C": 30.0, "D": 40.0}
+    assert feed.live(closes) == feed.live(closes) and not feed.run()
+    with pytest.raises(ValueError):
+        live_quotes.newest_quotes(spark.readStream.schema(S.QUOTES).parquet(feed.src), feed.out, feed.state, 0)
+
+
+def test_restarted_batch_gives_the_same_sink(spark, tmp_path):
+    """A batch that was written but not committed is run again into its own folder."""
+    closes = spark.createDataFrame([("A", 1.0), ("B", 1.0)], "symbol string, close double")
+    feed = QuoteFeed(spark, str(tmp_path))
+    feed.send(("A", 0, 10.0))
+    feed.send(("A", 3, 12.0), ("B", 4, 20.0))
+    before = feed.live(closes)
+    commits = f"{feed.state}/commits"
+    last = max(int(x) for x in os.listdir(commits) if x.isdigit())
+    os.remove(f"{commits}/{last}")
+    if os.path.exists(f"{commits}/.{last}.crc"):
+        os.remove(f"{commits}/.{last}.crc")
+    feed.run()
+    assert feed.live(closes) == before == {"A": 12.0, "B": 20.0}
+
+
+def test_work_per_batch_follows_its_quotes(spark, tmp_path):
+    """State and output of a batch are its own symbols, however many are stored."""
+    feed = QuoteFeed(spark, str(tmp_path))
+    feed.send(*[(f"S{i}", i % 20, 1.0) for i in range(3000)])
+    total = feed.send(("S1", 25, 2.0))[0]["stateOperators"][0]
+    assert total["numRowsTotal"] == 3000 and total["numRowsUpdated"] <= 2
+    folders = sorted(os.listdir(f"{feed.out}/quotes"))
+    assert spark.read.parquet(f"{feed.out}/quotes/{folders[-1]}").count() <= 1
+    for k in range(6):  # time goes on, a minute a batch: what no longer counts goes
+        last = feed.send((f"T{k}", 120 + 60 * k, 3.0))
+    assert last[-1]["stateOperators"][0]["numRowsTotal"] < 10
+    assert len(os.listdir(f"{feed.out}/quotes")) <= 6
+    closes = spark.createDataFrame([(f"T{k}", 1.0) for k in range(6)] + [("S1", 1.0)], "symbol string, close double")
+    assert feed.live(closes) == {"T4": 3.0, "T5": 3.0}
