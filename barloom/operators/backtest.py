@@ -207,8 +207,13 @@ def top_k_summary(periods: DataFrame) -> DataFrame:
 
 
 def curve_summary(curve: DataFrame) -> DataFrame:
-    """Last equity less one, and the share of periods that beat the benchmark."""
+    """Periods, total returns of the books, and the share of periods that beat the benchmark.
+
+    `curve` is what `equity_curve` gives: one row per rebalance date. Without rows the totals
+    are NULL.
+    """
+    total = {"long_total": "long_equity", "ls_total": "ls_equity", "bench_total": "bench_equity"}
     return curve.agg(
-        (F.max_by("long_equity", "date") - 1).alias("long_total"),
-        (F.max_by("bench_equity", "date") - 1).alias("bench_total"),
+        F.count(F.lit(1)).alias("periods"),
+        *[(F.max_by(c, "date") - 1).alias(n) for n, c in total.items()],
         F.avg((F.col("long_net") > F.col("benchmark")).cast("double")).alias("beat_share"))

@@ -295,6 +295,17 @@ def log_equity(c):
             f"{w} % 2 = 1 THEN -1 ELSE 1 END")
 
 
+def t_pvalue(t, n):
+    """Two-sided p-value of t with n - 1 degrees of freedom, by Simpson's rule on the density.
+
+    With t = sqrt(n - 1) tan(a) the density is a power of cos(a) up to a constant.
+    """
+    end = f"atan(abs({t}) / sqrt({n} - 1)) / 4000"
+    return (f"(SELECT 1 - 2 * exp(lgamma({n} / 2e0) - lgamma(({n} - 1) / 2e0)) / sqrt(pi()) * {end} / 3 * "
+            f"sum((CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END) * pow(cos(i * {end}), {n} - 2)) "
+            "FROM (SELECT unnest(range(0, 4001)) AS i))")
+
+
 def performance_sql(c):
     w = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
     eq = (f"exp(sum(ln(abs(1 + {c}))) {w}) * CASE WHEN sum(CASE WHEN 1 + {c} < 0 THEN 1 ELSE 0 "
@@ -683,8 +694,15 @@ SELECT count(*) AS periods, floor((avg(breadth)) * 1e6 + 5e-1) / 1e6 AS avg_brea
   floor((avg(ic)) * 1e6 + 5e-1) / 1e6 AS mean_ic, floor((stddev_samp(ic)) * 1e6 + 5e-1) / 1e6 AS ic_std,
   floor((avg(ic) / stddev_samp(ic) * sqrt(count(ic))) * 1e6 + 5e-1) / 1e6 AS ic_ir,
   floor((avg(ic) * sqrt(avg(breadth))) * 1e6 + 5e-1) / 1e6 AS implied_ir,
-  floor((avg(CASE WHEN long_net > benchmark THEN 1e0 ELSE 0e0 END)) * 1e6 + 5e-1) / 1e6 AS hit_rate
+  floor((avg(CASE WHEN long_net > benchmark THEN 1e0 ELSE 0e0 END)) * 1e6 + 5e-1) / 1e6 AS hit_rate,
+  floor((SELECT """ + t_pvalue("t", "n") + """ FROM (SELECT avg(x) / stddev_samp(x) * sqrt(count(x)) AS t, count(x) AS n
+    FROM (SELECT long_net - benchmark AS x FROM periods))) * 1e6 + 5e-1) / 1e6 AS excess_p
 FROM (SELECT *, long_net - benchmark AS x FROM periods)"""),
+        "curve_summary": q(BARS, PERIODS, f"""
+eq AS (SELECT date, {log_equity('long_net')} AS le, {log_equity('long_short')} AS se,
+         {log_equity('benchmark')} AS be, long_net > benchmark AS beats FROM periods)""", select=f"""
+SELECT count(*) AS periods, {r('arg_max(le, date)')} AS log_long, {r('arg_max(se, date)')} AS log_long_short,
+  {r('arg_max(be, date)')} AS log_benchmark, {r('avg(CASE WHEN beats THEN 1e0 ELSE 0e0 END)')} AS beat_share FROM eq"""),
         "performance_table": q(BARS, PERIODS, select=" UNION ALL ".join(
             performance_sql(c) for c in ("long_net", "long_gross", "long_short", "benchmark"))),
         "topk_backtest": q(BARS, REB, """
@@ -701,10 +719,12 @@ g AS (SELECT date, avg(fwd_return_30d) AS benchmark,
         avg(fwd_return_30d) FILTER (rn <= 5) AS gross,
         avg(fwd_return_30d) FILTER (rn <= 5) - 25e-4 AS net FROM pos
       GROUP BY date HAVING max(breadth) >= 5)""", select=f"""
-SELECT count(*) AS periods, {r('sum(ln(1 + gross))')} AS log_gross,
+SELECT periods, log_gross, log_net, log_benchmark, mean_excess, {r('t')} AS t,
+  {r(t_pvalue('t', 'periods'))} AS p_value
+FROM (SELECT count(*) AS periods, {r('sum(ln(1 + gross))')} AS log_gross,
   {r('sum(ln(1 + net))')} AS log_net, {r('sum(ln(1 + benchmark))')} AS log_benchmark,
   {r('avg(net - benchmark)')} AS mean_excess,
-  {r('avg(net - benchmark) * sqrt(count(*)) / stddev_samp(net - benchmark)')} AS t FROM g"""),
+  avg(net - benchmark) * sqrt(count(*)) / stddev_samp(net - benchmark) AS t FROM g)"""),
         "feature_bound": q(BARS, TAGGED, select="").rstrip() + scaler_sql() + """
 , z AS (SELECT """ + ", ".join(_scaled(c) for c in CORE) + "\nFROM tagged " + " ".join(
             f"CROSS JOIN (SELECT * FROM scaler WHERE feature = '{c}') p_{c}" for c in CORE) + """)

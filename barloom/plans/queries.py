@@ -423,7 +423,19 @@ def equity_curve(spark, sf):
 
 
 def backtest_stats(spark, sf):
-    return rounded(backtest.excess_summary(_periods(spark, sf), 252 / 30).drop("excess_p"))
+    """Excess, information ratio, the t-test of the excess with its p-value, and IC statistics."""
+    return rounded(backtest.excess_summary(_periods(spark, sf), 252 / 30))
+
+
+def curve_summary(spark, sf):
+    """Total returns of the equity curve (in logs) and the share of periods above the benchmark."""
+    d = backtest.curve_summary(materialize(backtest.equity_curve(_periods(spark, sf))))
+
+    def log(total):
+        return F.signum(1 + F.col(total)) * F.ln(F.abs(1 + F.col(total)))
+
+    return rounded(d.select("periods", log("long_total").alias("log_long"), log("ls_total").alias("log_long_short"),
+                            log("bench_total").alias("log_benchmark"), "beat_share"))
 
 
 def performance_table(spark, sf):
@@ -438,12 +450,12 @@ def topk_backtest(spark, sf):
 
 
 def topk_summary(spark, sf):
-    """Compounded books in logs, mean excess and its t statistic."""
+    """Compounded books in logs, mean excess, its t statistic and p-value."""
     d = backtest.top_k_summary(materialize(
         backtest.top_k_returns(_rebalanced(spark, sf), "fwd_return_30d")))
     return rounded(d.select("periods", *[F.log1p(f"cum_{c}").alias(f"log_{c}")
                                          for c in ("gross", "net", "benchmark")],
-                            "mean_excess", "t"))
+                            "mean_excess", "t", "p_value"))
 
 
 # ---- serving ----
@@ -526,7 +538,7 @@ QUERIES = {
         scaled_features, sequences, time_folds, target_standardized, regression_metrics,
         auc_ap_brier, calibration, confusion, accuracy_by_level, binomial_test, yearly_ic,
         ic_stability, rebalance_calendar, baskets, tied_baskets, turnover_cost, equity_curve,
-        backtest_stats, performance_table, topk_backtest, topk_summary, feature_bound, rebased_prices,
+        backtest_stats, curve_summary, performance_table, topk_backtest, topk_summary, feature_bound, rebased_prices,
         list_companies, company_detail,
         history, market_overview, top_ranked, risk_tier, trend_labels, signal_labels,
         live_overlay, point_lookup, search_companies, industry_list)}

@@ -97,3 +97,14 @@ def test_compounding_survives_total_loss(spark):
     got = [r["e"] for r in df.withColumn("e", backtest.compounded("r")).orderBy("date").collect()]
     assert got == pytest.approx([-2.0, -3.0, 3.0])
     assert not any(math.isnan(x) for x in got)
+
+
+def test_curve_summary_of_the_published_periods(curve):
+    got = backtest.curve_summary(backtest.equity_curve(curve)).first()
+    books = {"long_total": 1, "ls_total": 2, "bench_total": 3}
+    for name, i in books.items():
+        assert got[name] == pytest.approx(math.prod(1 + row[i] for row in CURVE) - 1, rel=1e-12)
+    assert got["periods"] == len(CURVE)
+    assert got["beat_share"] == pytest.approx(sum(row[1] > row[3] for row in CURVE) / len(CURVE))
+    none = backtest.curve_summary(backtest.equity_curve(curve.limit(0))).first()
+    assert none["periods"] == 0 and none["long_total"] is None and none["beat_share"] is None
