@@ -1,7 +1,10 @@
 """Model zoo, stacking, walk-forward fits and model selection on Spark ML."""
 
+import itertools
+from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import (
     GBTClassifier, LogisticRegression, RandomForestClassifier)
 from pyspark.ml.feature import VectorAssembler
@@ -27,6 +30,10 @@ BOOST_PRIMARY = {"maxIter": 400, "stepSize": 0.05, "maxDepth": 6, "seed": 42}
 STACK_FOLDS, SELECTION_FOLDS = 5, 4
 MIN_TRAIN_YEAR, MIN_TEST_YEAR = 1000, 100
 MIN_TRAIN_REBALANCE = 5000
+#: Model fits that run side by side; each keeps its own train rows in memory or on disk.
+FITS_AT_ONCE = 8
+#: Train rows a task of a fit has at least: every iteration is a job, and small ones cost their start.
+ROWS_PER_TASK = 50_000
 # (tag, regression target, classification target, boundary of "up")
 TARGET_SETS = [
     ("raw", "fwd_return_{h}d", "beats_median_{h}d", 0.0),
@@ -65,6 +72,37 @@ def _scored(model, df: DataFrame, value, out: str) -> DataFrame:
     return done.unionByName(rest)
 
 
+def side_by_side(spark, calls, most: int = FITS_AT_ONCE) -> list:
+    """Results of the calls (without arguments), in order; `most` of them run at a time.
+
+    A fit is a chain of small jobs, each waiting for the last; several chains fill the cluster.
+    Every call has a scheduler pool of its own, so a fair scheduler shares between them. The
+    first error ends the run.
+    """
+    sc, pools = spark.sparkContext, itertools.count()
+
+    def run(call):
+        sc.setLocalProperty("spark.scheduler.pool", f"fit-{next(pools) % most}")
+        try:
+            return call()
+        finally:
+            sc.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(most) as threads:
+        return list(threads.map(inheritable_thread_target(spark)(run), list(calls)))
+
+
+def fitted(estimator, train: DataFrame, n: int = None):
+    """The estimator's model, fitted on tasks of `ROWS_PER_TASK` rows or more.
+
+    `n` is the number of train rows; it is counted if not given. Partitions are only put
+    together, never shuffled, so large train sets stay as they are.
+    """
+    n = train.count() if n is None else n
+    train = train.coalesce(-(-max(n, 1) // ROWS_PER_TASK))
+    return estimator.fit(train, n) if isinstance(estimator, (Ridge, Logit)) else estimator.fit(train)
+
+
 class MeanRegressor:
     """Predicts the train mean."""
 
@@ -95,7 +133,7 @@ class Ridge:
     def __init__(self, alpha: float = RIDGE_ALPHA):
         self.alpha = alpha
 
-    def fit(self, train: DataFrame):
+    def fit(self, train: DataFrame, n: int = None):
         # The solver divides the loss by n and scales the penalty by the label's std.
         n, std = train.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
         return LinearRegression(solver="normal", standardization=False, elasticNetParam=0.0,
@@ -108,8 +146,8 @@ class Logit:
     def __init__(self, c: float = LOGIT_C, features: str = "features"):
         self.c, self.features = c, features
 
-    def fit(self, train: DataFrame):
-        n = train.count()
+    def fit(self, train: DataFrame, n: int = None):
+        n = train.count() if n is None else n
         return LogisticRegression(
             featuresCol=self.features, regParam=1.0 / (self.c * n), elasticNetParam=0.0,
             standardization=False, maxIter=LOGIT_ITER, tol=1e-7).fit(train)
@@ -155,9 +193,9 @@ def momentum_forecast(df: DataFrame, params: dict, horizon: int) -> DataFrame:
 
 
 def fit_all(zoo: dict, train: DataFrame) -> dict:
-    """Fit every estimator on one materialised train set."""
-    data = materialize(train)
-    return {name: est.fit(data) for name, est in zoo.items()}
+    """Every estimator of the zoo on a stored train set, side by side."""
+    found = side_by_side(train.sparkSession, [lambda e=e: fitted(e, train) for e in zoo.values()])
+    return dict(zip(zoo, found))
 
 
 def evaluate_regressors(models: dict, df: DataFrame, split: str, boundary: float = 0.0,
@@ -183,50 +221,82 @@ def comparison_matrix(train: DataFrame, test: DataFrame, zoo_reg, zoo_clf, param
                       target_sets=TARGET_SETS, horizons=HORIZONS) -> DataFrame:
     """Long table (target_set, horizon, task, model, metrics) over target families.
 
-    `zoo_reg` and `zoo_clf` build fresh estimator dicts; one pass per target.
+    `zoo_reg` and `zoo_clf` build fresh estimator dicts. Features and targets of both sides are
+    stored once; the fits of all targets and models run side by side on them.
     """
-    rows = []
-    for tag, reg, clf, boundary in target_sets:
-        for h in horizons:
-            y = reg.format(h=h)
-            tr, te = labelled(train, y), labelled(test, y)
-            got = evaluate_regressors(fit_all(zoo_reg(), tr.select("features", "label")), te,
-                                      "test", boundary)
-            keep = ["model", "mae", "spearman", "dir_acc"]
-            got = got.select(*keep)
+    spark = train.sparkSession
+    picked = [("regression", tag, h, reg.format(h=h), up) for tag, reg, _, up in target_sets for h in horizons]
+    picked += [("classification", tag, h, clf.format(h=h), None) for tag, _, clf, _ in target_sets for h in horizons]
+    targets = list(dict.fromkeys(y for *_, y, _ in picked))
+    naive_cols = [c for c in (params or {}) if c.startswith("roc_") and c in test.columns]
+    tr = materialize(train.select("features", *targets))
+    te = materialize(test.select("features", *naive_cols, *targets))
+    wanted = []
+    for task, tag, h, y, up in picked:
+        rows = labelled(tr, y).select("features", "label")
+        zoo = zoo_reg() if task == "regression" else zoo_clf()
+        wanted += [((task, tag, h, y, up), name, lambda e=e, rows=rows: fitted(e, rows)) for name, e in zoo.items()]
+    models = side_by_side(spark, [call for *_, call in wanted])
+    by_target: dict = {}
+    for (target, name, _), model in zip(wanted, models):
+        by_target.setdefault(target, {})[name] = model
+    keep = ["model", "mae", "spearman", "dir_acc"]
+
+    def judged(target, zoo):
+        task, tag, h, y, up = target
+        rows = labelled(te, y)
+        if task == "regression":
+            got = evaluate_regressors(zoo, rows, "test", up).select(*keep)
             if params and tag == "raw":
-                naive = momentum_forecast(te, params, h)
-                got = got.unionByName(regression_summary(
-                    naive, "label", "pred", boundary=boundary).select(
+                naive = momentum_forecast(rows, params, h)
+                got = got.unionByName(regression_summary(naive, "label", "pred", boundary=up).select(
                     F.lit("naive_momentum").alias("model"), *keep[1:]))
-            rows.append(got.select(
-                F.lit(tag).alias("target_set"), F.lit(h).alias("horizon"),
-                F.lit("regression").alias("task"), *keep,
-                F.lit(None).cast("double").alias("accuracy")))
-            c = clf.format(h=h)
-            tr, te = labelled(train, c), labelled(test, c)
-            acc = evaluate_classifiers(fit_all(zoo_clf(), tr.select("features", "label")), te)
+            got = got.withColumn("accuracy", F.lit(None).cast("double"))
+        else:
             none = [F.lit(None).cast("double").alias(k) for k in keep[1:]]
-            rows.append(acc.select(
-                F.lit(tag).alias("target_set"), F.lit(h).alias("horizon"),
-                F.lit("classification").alias("task"), "model", *none, "accuracy"))
-    return reduce(DataFrame.unionByName, rows)
+            got = evaluate_classifiers(zoo, rows).select("model", *none, "accuracy")
+        return materialize(got.select(F.lit(tag).alias("target_set"), F.lit(h).alias("horizon"),
+                                      F.lit(task).alias("task"), *keep, "accuracy"))
+
+    parts = side_by_side(spark, [lambda t=t, z=z: judged(t, z) for t, z in by_target.items()])
+    return reduce(DataFrame.unionByName, parts)
 
 
-def out_of_fold(bases, data: DataFrame, folds: DataFrame, n_splits: int) -> DataFrame:
+def fold_bounds(folds: DataFrame) -> list:
+    """[(fold, first fit date, last fit date, first and last validation date)] of date folds.
+
+    A fold's dates are unbroken stretches of the calendar, so four dates say which rows it has.
+    """
+    ends = folds.groupBy("fold", "role").agg(F.min("date").alias("a"), F.max("date").alias("b"))
+    found: dict = {}
+    for r in ends.collect():  # two rows per fold
+        found.setdefault(r["fold"], {})[r["role"]] = (r["a"], r["b"])
+    return [(k, *d["fit"], *d["validate"]) for k, d in sorted(found.items()) if len(d) == 2]
+
+
+def _fold_rows(data: DataFrame, bounds):
+    """(fold, rows to fit on, rows to validate on) by date ranges of one stored table."""
+    for k, a, b, c, d in bounds:
+        yield k, data.where(F.col("date").between(a, b)), data.where(F.col("date").between(c, d))
+
+
+def out_of_fold(bases, data: DataFrame, bounds) -> DataFrame:
     """Base probabilities of rows in some validation block; the rest never appear.
 
-    Folds are blocks of dates with a gap counted in dates, so every name of a day
-    falls on the same side.
+    `data` is a stored table and `bounds` what `fold_bounds` gives: blocks of dates with a gap
+    counted in dates, so every name of a day falls on the same side. The bases of all folds are
+    fitted side by side.
     """
-    tagged = materialize(data.join(folds, "date"))
+    folds = list(_fold_rows(data, bounds))
+    names = list(bases())
+    models = iter(side_by_side(data.sparkSession, [
+        lambda e=e, rows=rows: fitted(e, rows.select("features", "label"))
+        for _, rows, _ in folds for e in bases().values()]))
     parts = []
-    for k in range(1, n_splits + 1):
-        fold = tagged.where(F.col("fold") == k)
-        fit_rows = fold.where("role = 'fit'").select("features", "label")
-        scored = fold.where("role = 'validate'").select("date", "symbol", "features", "label")
-        for name, est in bases().items():
-            scored = positive_probability(est.fit(fit_rows), scored, f"p_{name}")
+    for _, _, rows in folds:
+        scored = rows.select("date", "symbol", "features", "label")
+        for name in names:
+            scored = positive_probability(next(models), scored, f"p_{name}")
         parts.append(scored)
     return reduce(DataFrame.unionByName, parts)
 
@@ -245,11 +315,11 @@ def stack(train: DataFrame, test: DataFrame, target: str, horizon: int, bases,
     tr = materialize(labelled(train, target).select(*keep))
     te = labelled(test, target).select(*keep)
     cols = [f"p_{k}" for k in bases()]
-    oof = out_of_fold(bases, tr, time_folds(tr, n_splits, horizon), n_splits)
+    oof = out_of_fold(bases, tr, fold_bounds(time_folds(tr, n_splits, horizon)))
     meta_in = with_vector(oof.drop("features"), cols, "meta").where("meta is not null")
-    meta = Logit(META_C, "meta").fit(materialize(meta_in.select("meta", "label")))
-    for name, est in bases().items():
-        te = positive_probability(est.fit(tr), te, f"p_{name}")
+    meta = fitted(Logit(META_C, "meta"), materialize(meta_in.select("meta", "label")))
+    for name, model in fit_all(bases(), tr).items():
+        te = positive_probability(model, te, f"p_{name}")
     te = te.withColumn("p_blend", blend(cols))
     te = positive_probability(meta, with_vector(te, cols, "meta"), "p_stacked").drop("meta")
     return te, meta
@@ -266,14 +336,13 @@ def stacking_report(scored: DataFrame, cols) -> DataFrame:
 
 
 def fit_heads(df: DataFrame, horizons=HORIZONS, c: float = LOGIT_C) -> dict:
-    """{horizon: (median head, tercile head)} on one materialised vector column."""
+    """{horizon: (median head, tercile head)} on one stored vector column, side by side."""
     labels = [f"{s}_{h}d" for h in horizons for s in ("beats_median", "top_tercile")]
     data = materialize(df.select("features", *labels))
 
-    def head(target):
-        return Logit(c).fit(labelled(data, target).select("features", "label"))
-
-    return {h: (head(f"beats_median_{h}d"), head(f"top_tercile_{h}d")) for h in horizons}
+    heads = side_by_side(df.sparkSession, [
+        lambda y=y: fitted(Logit(c), labelled(data, y).select("features", "label")) for y in labels])
+    return {h: (heads[2 * i], heads[2 * i + 1]) for i, h in enumerate(horizons)}
 
 
 def walk_forward_years(df: DataFrame, target: str, years, purge_days: int,
@@ -281,36 +350,41 @@ def walk_forward_years(df: DataFrame, target: str, years, purge_days: int,
                        estimator=Logit) -> DataFrame:
     """Yearly expanding-window folds: n_test, accuracy and the naive rate.
 
-    `df` carries date, features and the target. Years with too few rows are left out.
+    `df` carries date, features and the target. Years with too few rows are left out. One pass
+    counts the train rows of all years; the years are fitted and judged side by side.
     """
-    data = materialize(df.select("date", "features", target))
-    sizes = _year_sizes(data, years, purge_days)
-    rows = []
-    for year in years:
-        n_train, n_test = sizes.get(year, (0, 0))
-        if n_train < min_train or n_test < min_test:
-            continue
+    data, spark = materialize(df.select("date", "features", target)), df.sparkSession
+    there = F.col(target).isNotNull() & F.col("features").isNotNull()
+    counts = _counted(data, [(
+        F.col("date") <= F.date_sub(F.lit(f"{y}-01-01").cast("date"), purge_days), F.year("date") == y)
+        for y in years], lambda train, test: [
+            F.count_if(train), F.count_if(test), F.count_if(train & there),
+            F.avg(F.when(train & there, F.col(target).cast("double")))])
+
+    def judged(year, n, naive):
         train, test = (labelled(d, target) for d in yearly_window(data, year, purge_days))
-        naive = MajorityClassifier().fit(train).value
-        scored = positive_probability(estimator().fit(train), test.select("features", "label"))
+        model = fitted(estimator(), train.select("features", "label"), n)
         right = (F.col("p") > 0.5).cast("double") == F.col("label")
-        rows.append(scored.agg(
-            F.count(F.lit(1)).alias("n_test"), F.avg(right.cast("double")).alias("accuracy"),
-            F.avg((F.col("label") == naive).cast("double")).alias("naive"))
-            .select(F.lit(year).alias("year"), "*"))
-    if not rows:
-        return data.sparkSession.createDataFrame(
-            [], "year int, n_test bigint, accuracy double, naive double")
-    return reduce(DataFrame.unionByName, rows)
+        return positive_probability(model, test.select("features", "label")).agg(
+            F.lit(year).alias("year"), F.count(F.lit(1)).alias("n_test"),
+            F.avg(right.cast("double")).alias("accuracy"),
+            F.avg((F.col("label") == naive).cast("double")).alias("naive")).first()
 
+    rows = side_by_side(spark, [
+        lambda y=y, n=n, share=share: judged(y, n, float(share > 0.5))
+        for y, (n_train, n_test, n, share) in zip(years, counts)
+        if n_train >= min_train and n_test >= min_test])
+    return spark.createDataFrame(rows, "year int, n_test bigint, accuracy double, naive double")
 
-def _year_sizes(data: DataFrame, years, purge_days: int) -> dict:
-    """(train rows, test rows) per year from one pass: two numbers a year."""
-    first = [F.lit(f"{y}-01-01").cast("date") for y in years]
-    counts = data.agg(*[c for y, f in zip(years, first) for c in (
-        F.count_if(F.col("date") <= F.date_sub(f, purge_days)),
-        F.count_if(F.year("date") == y))]).first()
-    return {y: (counts[2 * i], counts[2 * i + 1]) for i, y in enumerate(years)}
+
+def _counted(data: DataFrame, ranges, aggregates) -> list:
+    """The aggregates of every range in one pass: a few numbers a range."""
+    parts = [aggregates(*r) for r in ranges]
+    if not parts:
+        return []
+    row = list(data.agg(*[a.alias(f"c{i}") for i, a in enumerate(itertools.chain(*parts))]).first())
+    width = len(parts[0])
+    return [row[i:i + width] for i in range(0, len(row), width)]
 
 
 def walk_forward_scores(df: DataFrame, dates, target: str, ret: str, purge_days: int,
@@ -319,53 +393,51 @@ def walk_forward_scores(df: DataFrame, dates, target: str, ret: str, purge_days:
     """Out-of-sample scores of each rebalance date: date, symbol, score, return.
 
     `dates` is the rebalance calendar (a short list); the model is refitted on rows
-    at least `purge_days` older than each date.
+    at least `purge_days` older than each date, all dates side by side.
     """
     data = materialize(df.select("date", "symbol", "features", target, ret))
     days = [r["date"] for r in dates.select("date").orderBy("date").toLocalIterator()]
-    if not days:
-        return data.select("date", "symbol", F.lit(None).cast("double").alias("score"), ret)
-    sizes = data.agg(*[c for d in days for c in (
-        F.count_if((F.col("date") <= F.date_sub(F.lit(d), purge_days))
-                   & F.col(target).isNotNull()),
-        F.count_if((F.col("date") == F.lit(d)) & F.col(target).isNotNull()
-                   & F.col(ret).isNotNull()))]).first()
-    parts = []
-    for i, d in enumerate(days):
-        if sizes[2 * i] < min_train or sizes[2 * i + 1] < min_names:
-            continue
-        train = labelled(data.where(F.col("date") <= F.date_sub(F.lit(d), purge_days)), target)
-        model = estimator().fit(train.select("features", "label"))
-        today = data.where((F.col("date") == F.lit(d)) & F.col(target).isNotNull()
-                           & F.col(ret).isNotNull())
-        parts.append(positive_probability(model, today, "score")
-                     .select("date", "symbol", "score", ret))
-    if not parts:
+    has, whole = F.col(target).isNotNull(), F.col("features").isNotNull()
+    counts = _counted(data, [(F.col("date") <= F.date_sub(F.lit(d), purge_days), F.col("date") == F.lit(d))
+                             for d in days], lambda train, test: [
+        F.count_if(train & has), F.count_if(test & has & F.col(ret).isNotNull()), F.count_if(train & has & whole)])
+
+    def model(day, n):
+        train = labelled(data.where(F.col("date") <= F.date_sub(F.lit(day), purge_days)), target)
+        return day, fitted(estimator(), train.select("features", "label"), n)
+
+    models = side_by_side(df.sparkSession, [
+        lambda d=d, n=n: model(d, n) for d, (n_train, n_test, n) in zip(days, counts)
+        if n_train >= min_train and n_test >= min_names])
+    if not models:
         return data.limit(0).select("date", "symbol", F.lit(0.0).alias("score"), ret)
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [
+        positive_probability(m, data.where((F.col("date") == F.lit(d)) & has & F.col(ret).isNotNull()), "score")
+        .select("date", "symbol", "score", ret) for d, m in models])
 
 
 def cross_validate(zoo, train: DataFrame, n_splits: int = SELECTION_FOLDS,
                    gap_days: int = 0) -> DataFrame:
-    """(model, fold, rmse, base_rmse) over expanding date folds."""
-    tagged = materialize(train.join(time_folds(train, n_splits, gap_days), "date")
-                         .select("fold", "role", "features", "label"))
-    rows = []
-    for k in range(1, n_splits + 1):
-        fold = tagged.where(F.col("fold") == k)
-        fit_rows, val = (fold.where(F.col("role") == r).select("features", "label")
-                         for r in ("fit", "validate"))
-        mean = MeanRegressor().fit(fit_rows).value
-        for name, est in zoo().items():
-            if isinstance(est, MeanRegressor):
-                continue
-            err = F.col("pred") - F.col("label")
-            base = F.lit(mean) - F.col("label")
-            rows.append(predicted(est.fit(fit_rows), val).agg(
-                F.sqrt(F.avg(err * err)).alias("rmse"),
-                F.sqrt(F.avg(base * base)).alias("base_rmse"))
-                .select(F.lit(name).alias("model"), F.lit(k).alias("fold"), "*"))
-    return reduce(DataFrame.unionByName, rows)
+    """(model, fold, rmse, base_rmse) over expanding date folds.
+
+    Train rows are stored once; folds are date ranges of them, fitted and judged side by side.
+    """
+    data, spark = materialize(train.select("date", "features", "label")), train.sparkSession
+    bounds = fold_bounds(time_folds(data, n_splits, gap_days))
+    means = _counted(data, [(F.col("date").between(a, b),) for _, a, b, *_ in bounds],
+                     lambda fit: [F.avg(F.when(fit, F.col("label")))])
+
+    def judged(name, est, fold, fit_rows, val, mean):
+        err, base = F.col("pred") - F.col("label"), F.lit(mean) - F.col("label")
+        return predicted(fitted(est, fit_rows.select("features", "label")), val.select("features", "label")).agg(
+            F.lit(name).alias("model"), F.lit(fold).alias("fold"), F.sqrt(F.avg(err * err)).alias("rmse"),
+            F.sqrt(F.avg(base * base)).alias("base_rmse")).first()
+
+    rows = side_by_side(spark, [
+        lambda a=(name, est, k, fit_rows, val, mean): judged(*a)
+        for (k, fit_rows, val), (mean,) in zip(_fold_rows(data, bounds), means)
+        for name, est in zoo().items() if not isinstance(est, MeanRegressor)])
+    return spark.createDataFrame(rows, "model string, fold int, rmse double, base_rmse double")
 
 
 def select_model(folds: DataFrame) -> DataFrame:

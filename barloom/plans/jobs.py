@@ -104,7 +104,7 @@ def regression(spark, out: str, zoo=None, train_end=splits.TRAIN_END, val_end=sp
     train, val, test = (data.where(F.col("split") == s) for s in ("train", "val", "test"))
     choice = materialize(models.select_model(models.cross_validate(zoo, train)))
     best = choice.where("selected").first()["model"]
-    fitted = {k: e.fit(train) for k, e in zoo().items()}
+    fitted = models.fit_all(zoo(), train)
     table = models.evaluate_regressors(fitted, val, "validation").unionByName(
         models.evaluate_regressors(fitted, test, "test"))
     table = materialize(table)

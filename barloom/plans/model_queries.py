@@ -106,23 +106,15 @@ def logit_eval(spark, sf):
 
 
 def model_matrix(spark, sf):
+    """Every model of the zoo on every target set and horizon."""
     data, scaler = _tagged(spark, sf)
     train, test = (data.where(F.col("split") == s) for s in ("train", "test"))
-
-    def reg():
-        z = _zoo(spark)()
-        return {k: z[k] for k in ("historical_mean", "ridge")}
-
-    def clf():
-        z = _clf(spark)()
-        return {k: z[k] for k in ("majority", "logit")}
-
-    return models.comparison_matrix(train, test, reg, clf, scaler.parameters())
+    return models.comparison_matrix(train, test, _zoo(spark), _clf(spark), scaler.parameters())
 
 
 def result_pivot(spark, sf):
     acc = model_matrix(spark, sf).where("task = 'classification'")
-    return metrics.result_pivot(acc, ["majority", "logit"])
+    return metrics.result_pivot(acc, ["majority", "logit", "random_forest", "gradient_boosting"])
 
 
 def stacking(spark, sf):
@@ -152,12 +144,7 @@ def walk_forward_edge(spark, sf):
 def model_selection(spark, sf):
     data, _ = _tagged(spark, sf)
     train, _ = _parts(data)
-
-    def zoo():
-        z = _zoo(spark)()
-        return {k: z[k] for k in ("ridge", "random_forest")}
-
-    return models.select_model(models.cross_validate(zoo, train, gap_days=30))
+    return models.select_model(models.cross_validate(_zoo(spark), train, gap_days=30))
 
 
 def walk_forward_backtest(spark, sf):

@@ -295,6 +295,12 @@ def log_equity(c):
             f"{w} % 2 = 1 THEN -1 ELSE 1 END")
 
 
+def flips(c):
+    """-1 where an odd number of factors 1 + c is negative so far, else 1."""
+    w = "OVER (ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"CASE WHEN sum(CASE WHEN 1 + {c} < 0 THEN 1 ELSE 0 END) {w} % 2 = 1 THEN -1 ELSE 1 END"
+
+
 def t_pvalue(t, n):
     """Two-sided p-value of t with n - 1 degrees of freedom, by Simpson's rule on the density.
 
@@ -700,9 +706,13 @@ SELECT count(*) AS periods, floor((avg(breadth)) * 1e6 + 5e-1) / 1e6 AS avg_brea
 FROM (SELECT *, long_net - benchmark AS x FROM periods)"""),
         "curve_summary": q(BARS, PERIODS, f"""
 eq AS (SELECT date, {log_equity('long_net')} AS le, {log_equity('long_short')} AS se,
-         {log_equity('benchmark')} AS be, long_net > benchmark AS beats FROM periods)""", select=f"""
-SELECT count(*) AS periods, {r('arg_max(le, date)')} AS log_long, {r('arg_max(se, date)')} AS log_long_short,
-  {r('arg_max(be, date)')} AS log_benchmark, {r('avg(CASE WHEN beats THEN 1e0 ELSE 0e0 END)')} AS beat_share FROM eq"""),
+         {log_equity('benchmark')} AS be, long_net > benchmark AS beats,
+         {flips('long_net')} AS lf, {flips('long_short')} AS sf, {flips('benchmark')} AS bf FROM periods),
+last AS (SELECT lf * exp(lf * le) - 1 AS l, sf * exp(sf * se) - 1 AS s, bf * exp(bf * be) - 1 AS b
+         FROM eq WHERE date = (SELECT max(date) FROM eq))""", select=f"""
+SELECT (SELECT count(*) FROM eq) AS periods, {r('sign(l) * ln(1 + abs(l))')} AS long_total,
+  {r('sign(s) * ln(1 + abs(s))')} AS ls_total, {r('sign(b) * ln(1 + abs(b))')} AS bench_total,
+  (SELECT {r('avg(CASE WHEN beats THEN 1e0 ELSE 0e0 END)')} FROM eq) AS beat_share FROM last"""),
         "performance_table": q(BARS, PERIODS, select=" UNION ALL ".join(
             performance_sql(c) for c in ("long_net", "long_gross", "long_short", "benchmark"))),
         "topk_backtest": q(BARS, REB, """

@@ -428,14 +428,11 @@ def backtest_stats(spark, sf):
 
 
 def curve_summary(spark, sf):
-    """Total returns of the equity curve (in logs) and the share of periods above the benchmark."""
+    """Total returns of the equity curve and the share of periods above the benchmark."""
     d = backtest.curve_summary(materialize(backtest.equity_curve(_periods(spark, sf))))
-
-    def log(total):
-        return F.signum(1 + F.col(total)) * F.ln(F.abs(1 + F.col(total)))
-
-    return rounded(d.select("periods", log("long_total").alias("log_long"), log("ls_total").alias("log_long_short"),
-                            log("bench_total").alias("log_benchmark"), "beat_share"))
+    # The books multiply up over the sample: sign and logarithm of a total x, ln(1 + |x|).
+    totals = [(F.signum(c) * F.log1p(F.abs(F.col(c)))).alias(c) for c in ("long_total", "ls_total", "bench_total")]
+    return rounded(d.select("periods", *totals, "beat_share"))
 
 
 def performance_table(spark, sf):
