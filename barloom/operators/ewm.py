@@ -11,11 +11,12 @@ from barloom.functions.scalar import timeline
 _FALL = 500.0
 
 
-def _carry(ends, block, fallen):
+def _carry(name):
     """What the earlier blocks leave: their ends, each faded since."""
     def add(acc, s):
-        return acc + F.when(s["b"] < block, s["e"] * F.exp(s["d"] - fallen)).otherwise(0.0)
-    return F.aggregate(ends, F.lit(0.0), add)
+        return acc + F.when(s["b"] < F.col("_b"), s[f"e_{name}"] * F.exp(s[f"d_{name}"] - F.col(f"_d_{name}"))
+                            ).otherwise(0.0)
+    return F.aggregate("_ends", F.lit(0.0), add)
 
 
 def add_ewm(df: DataFrame, specs, key: str = "symbol") -> DataFrame:
@@ -26,10 +27,11 @@ def add_ewm(df: DataFrame, specs, key: str = "symbol") -> DataFrame:
     e = (w e' + a x) / (w + a) with w = (1-a)^g. Before the first value there is no mean.
 
     Every row thus multiplies the mean by some factor and adds something. The logarithms of
-    the factors are summed along the symbol; a block is a stretch in which the sum falls by
-    `_FALL`, and inside it the scan is a rescaled running sum. The ends of the earlier
-    blocks (a block has some 250 * span rows) are folded into the carry of the next. Every
-    window uses the symbol's own partitioning, so no exchange is added.
+    the factors are summed along the symbol; a block is a stretch in which the sum of each
+    row's steepest factor falls by `_FALL`, so all means share their blocks, and inside one the
+    scan is a rescaled running sum. The ends of the earlier blocks (a block has some 250 * span
+    rows of the shortest span) are folded into the carry of the next. Every window uses the
+    symbol's own partitioning, so no exchange is added, and two sorts serve all means.
     """
     keep = df.columns
     order = timeline(key)
@@ -54,26 +56,19 @@ def add_ewm(df: DataFrame, specs, key: str = "symbol") -> DataFrame:
         add[f"_u_{name}"] = (F.when(~there, 0.0).when(first, F.col(src))
                              .otherwise(F.col(src) * a / share))
     out = out.withColumns({**fall, **add})
-    out = out.withColumns({f"_d_{n}": F.sum(f"_f_{n}").over(upto) for _, _, n in specs})
-    out = out.withColumns({f"_b_{n}": F.floor(F.col(f"_d_{n}") / _FALL).cast("int") for _, _, n in specs})
-    local = {}
-    for _, _, n in specs:
-        # Inside a block, relative to where the sum stands at its first row.
-        w = Window.partitionBy(key, f"_b_{n}").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
-        since = F.col(f"_d_{n}") - F.col(f"_b_{n}") * _FALL
-        local[f"_l_{n}"] = F.exp(-since) * F.sum(F.col(f"_u_{n}") * F.exp(since)).over(w)
-    out = out.withColumns(local)
-    ends = {}
-    for _, _, n in specs:
-        last = F.lead(f"_b_{n}").over(order) > F.col(f"_b_{n}")
-        ends[f"_x_{n}"] = F.when(last, F.struct(F.col(f"_b_{n}").alias("b"), F.col(f"_l_{n}").alias("e"),
-                                                F.col(f"_d_{n}").alias("d")))
-    out = out.withColumns(ends)
-    out = out.withColumns({f"_e_{n}": F.collect_list(f"_x_{n}").over(Window.partitionBy(key))
-                           for _, _, n in specs})
+    out = out.withColumn("_f", F.greatest(*fall) if len(fall) > 1 else F.col(next(iter(fall))))
+    out = out.withColumns({f"_d_{n}": F.sum(f"_f_{n}").over(upto) for _, _, n in specs}
+                          | {"_b": F.floor(F.sum("_f").over(upto) / _FALL).cast("int")})
+    out = out.withColumn("_last", F.lead("_b").over(order) > F.col("_b"))
+    inside = Window.partitionBy(key, "_b").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    out = out.withColumns({f"_s_{n}": F.col(f"_d_{n}") - F.first(f"_d_{n}").over(inside) for _, _, n in specs})
+    out = out.withColumns({f"_l_{n}": F.exp(-F.col(f"_s_{n}")) * F.sum(
+        F.col(f"_u_{n}") * F.exp(F.col(f"_s_{n}"))).over(inside) for _, _, n in specs})
+    end = F.struct(F.col("_b").alias("b"), *[F.col(f"_l_{n}").alias(f"e_{n}") for _, _, n in specs],
+                   *[F.col(f"_d_{n}").alias(f"d_{n}") for _, _, n in specs])
+    out = out.withColumn("_ends", F.collect_list(F.when(F.col("_last"), end)).over(Window.partitionBy(key)))
     final = {}
     for src, _, n in specs:
         seen = F.col(at[src]).isNotNull() | F.col(src).isNotNull()
-        total = F.col(f"_l_{n}") + _carry(F.col(f"_e_{n}"), F.col(f"_b_{n}"), F.col(f"_d_{n}"))
-        final[n] = F.when(seen, total)
+        final[n] = F.when(seen, F.col(f"_l_{n}") + _carry(n))
     return out.withColumns(final).select(*keep, *[n for _, _, n in specs])

@@ -9,25 +9,31 @@ from pyspark.sql import DataFrame
 
 from barloom.operators import cleaning, cross_section as xs, fundamentals as fund, labels
 from barloom.operators.technicals import add_technicals
-from barloom.session import materialize
+from barloom.session import by_symbol
 
 
 def feature_panel(clean: DataFrame, vix: DataFrame, known: DataFrame) -> DataFrame:
     """All features and labels of a clean panel, before the gate.
 
-    The two tables written on the way are the inputs that several branches of the
-    cross-section read.
+    The tables written on the way are laid out by symbol, so only the clean bars, the prices
+    that the as-of join merges with the statements, and the few label columns that come back
+    from the cross-section are ever dealt by symbol: technicals, labels, break mask and the
+    final joins run where the rows lie.
     """
-    by_symbol = materialize(labels.add_forward_labels(add_technicals(clean)))
-    regime = xs.add_sector_return(xs.add_market_regime(by_symbol, vix))
-    masked = materialize(labels.mask_breaks(regime))
+    bars = by_symbol(clean)
+    laid = by_symbol(labels.add_forward_labels(add_technicals(bars)), dealt=True)
+    regime = xs.add_sector_return(xs.add_market_regime(laid, vix))
+    masked = by_symbol(labels.mask_breaks(regime), dealt=True)
     # Labels are worked out on the few columns they need, then joined once.
     narrow = masked.select("symbol", "date", "industry", "volatility_20",
                            *[f"fwd_return_{h}d" for h in labels.HORIZONS])
     ranked = labels.add_advanced_labels(labels.add_relative_labels(narrow))
     new = [c for c in ranked.columns if c not in narrow.columns]
-    wide = fund.add_fundamentals(masked, known)
-    return wide.join(ranked.select("symbol", "date", *new), ["symbol", "date"])
+    # The point-in-time columns likewise.
+    priced = fund.add_fundamentals(masked.select("symbol", "date", "adj_close"), known)
+    facts = [c for c in priced.columns if c not in ("symbol", "date", "adj_close")]
+    return (masked.join(by_symbol(ranked.select("symbol", "date", *new)), ["symbol", "date"])
+            .join(by_symbol(priced.select("symbol", "date", *facts), dealt=True), ["symbol", "date"]))
 
 
 def build(bars: DataFrame, master: DataFrame, index: DataFrame, vix: DataFrame,

@@ -61,7 +61,7 @@ def audit_raw(spark, raw: str, out: str) -> None:
 
 
 def features(spark, raw: str, out: str) -> None:
-    """Clean panel + volatility index + statements -> feature panel."""
+    """Clean panel + volatility index + statements -> feature panel, by date and by symbol."""
     known = fund.point_in_time(
         readers.read_fundamentals(spark, _input(raw, "fundamentals"), S.SYMBOL_RENAMES),
         readers.read_filings(spark, _input(raw, "filings"), S.SYMBOL_RENAMES))
@@ -71,6 +71,7 @@ def features(spark, raw: str, out: str) -> None:
     writers.write_result(cleaning.gate_report(full, extras=[
         f"top_tercile_{h}d" for h in S.HORIZONS]), f"{out}/gate_report")
     writers.write_features(cleaning.gate(full), f"{out}/features")
+    writers.write_by_symbol(writers.narrowed(cleaning.gate(full)), f"{out}/by_symbol")
 
 
 def prepare(spark, out: str, purge_days: int = splits.PURGE_ALL_HORIZONS,

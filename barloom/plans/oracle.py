@@ -810,6 +810,7 @@ SELECT symbol, industry, round(close, 2) AS last_close, false AS is_live,
   strftime(date, '%Y-%m-%d') AS as_of_date FROM latest WHERE lower(symbol) LIKE '%brand1%'"""),
         "industry_list": q(MASTER, select="SELECT DISTINCT industry FROM master"),
     })
+    out["stored_history"] = out["history"]
     out.update(model_oracles())
     return out
 

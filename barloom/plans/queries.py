@@ -4,6 +4,8 @@ Every query reads whole tables. Computed columns are rounded so that results can
 be compared with another engine by value.
 """
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,8 +14,8 @@ from barloom.operators import (
     scaling, serving, splits, technicals as tech)
 from barloom.operators.ewm import add_ewm
 from barloom.schema import TECHNICAL_COLS
-from barloom.session import materialize
-from barloom.sources import sample_tables as st
+from barloom.session import checkpoint_dir, materialize
+from barloom.sources import sample_tables as st, writers
 
 KEY = ["symbol", "date"]
 # Sample dates run 1995-2001, so the published 2022/2024 boundaries move there.
@@ -472,6 +474,14 @@ def history(spark, sf):
     return serving.history(d.withColumn("symbol", F.upper("symbol")), "brand7", 180)
 
 
+def stored_history(spark, sf):
+    """The same from a stored panel laid out by symbol: one bucket's file is opened."""
+    d = tech.add_features(st.panel(spark, sf), tech.sma_ratio((20, 50)), tech.rsi())
+    path = f"{checkpoint_dir(spark)}/panels/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    writers.write_by_symbol(d.withColumn("symbol", F.upper("symbol")), path)
+    return serving.history(writers.read_by_symbol(spark, path), "brand7", 180)
+
+
 def market_overview(spark, sf):
     d = _returns(spark, sf)
     d = xs.attach(d, xs.index_on_calendar(d, st.index_series(spark, sf)), ["date"])
@@ -537,7 +547,7 @@ QUERIES = {
         ic_stability, rebalance_calendar, baskets, tied_baskets, turnover_cost, equity_curve,
         backtest_stats, curve_summary, performance_table, topk_backtest, topk_summary, feature_bound, rebased_prices,
         list_companies, company_detail,
-        history, market_overview, top_ranked, risk_tier, trend_labels, signal_labels,
+        history, stored_history, market_overview, top_ranked, risk_tier, trend_labels, signal_labels,
         live_overlay, point_lookup, search_companies, industry_list)}
 QUERIES.update({
     "returns_roc": _features(lambda: (tech.log_return(), tech.rate_of_change())),

@@ -86,3 +86,34 @@ def materialize(df: DataFrame) -> DataFrame:
         _OWNED[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def by_symbol(df: DataFrame, buckets: int = None, path: str = None, key: str = "symbol",
+              order: str = "date", row_group_bytes: int = 8 << 20, dealt: bool = False) -> DataFrame:
+    """Write `df` in `buckets` files by a hash of the key, sorted by (key, order), and read it.
+
+    The planner knows the layout: windows by key and joins of two such tables need no exchange,
+    and a lookup of one key opens one file, in which the row groups' statistics and a Bloom
+    filter name the rows. A key's rows lie in one file, so keys must be bounded (one row per
+    calendar day). `buckets` defaults to the session's shuffle partitions. Say `dealt` where
+    the last step was a window or aggregate by the key: rows are then written where they lie.
+    A wrong hint makes more files, not another result. Without a `path` it is a job table.
+    """
+    spark = df.sparkSession
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if path is None:
+        path = f"{checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+        if _OWNED:
+            _OWNED[-1].append(path)
+    name = layout_name(path)
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    rows = df if dealt else df.repartition(buckets, key)
+    (rows.write.mode("overwrite").format("parquet").option("path", path)
+     .option(f"parquet.bloom.filter.enabled#{key}", "true").option("parquet.block.size", row_group_bytes)
+     .bucketBy(buckets, key).sortBy(key, order).saveAsTable(name))
+    return spark.table(name)
+
+
+def layout_name(path: str) -> str:
+    """The name under which a session knows the table in a folder."""
+    return f"barloom_{uuid.uuid5(uuid.NAMESPACE_URL, path).hex}"

@@ -5,10 +5,12 @@ import json
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from barloom.schema import LABEL_COLS, FEATURE_COLS
+from barloom.session import by_symbol, layout_name
 
-MODEL_DIR, META_DIR = "pipeline", "metadata"
+MODEL_DIR, META_DIR, LAYOUT = "pipeline", "metadata", "_layout"
 
 
 def write_panel(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -31,14 +33,37 @@ def feature_columns(df: DataFrame):
     return [c for c in keys[:3] if c in have], floats
 
 
+def narrowed(df: DataFrame) -> DataFrame:
+    """The columns of the feature panel, numbers as float32."""
+    keys, floats = feature_columns(df)
+    return df.select(*keys, *[F.col(c).cast("float").alias(c) for c in floats])
+
+
 def write_features(df: DataFrame, path: str) -> None:
     """Feature panel as float32, globally ordered by (date, symbol)."""
-    keys, floats = feature_columns(df)
-    (df.select(*keys, *[F.col(c).cast("float").alias(c) for c in floats])
-     .repartitionByRange("date", "symbol").sortWithinPartitions("date", "symbol")
+    (narrowed(df).repartitionByRange("date", "symbol").sortWithinPartitions("date", "symbol")
      .write.mode("overwrite").parquet(path))
 
 
+def write_by_symbol(df: DataFrame, path: str, buckets: int = None) -> None:
+    """A panel keyed (symbol, date) laid out for windows and lookups; see `session.by_symbol`."""
+    laid = by_symbol(df, buckets, path)
+    spark = df.sparkSession
+    kept = {"buckets": buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), "schema": laid.schema.json()}
+    spark.createDataFrame([(json.dumps(kept),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}{LAYOUT}")
+
+
+def read_by_symbol(spark: SparkSession, path: str) -> DataFrame:
+    """The panel with its layout, in whichever session: the folder beside it names the buckets."""
+    name = layout_name(path)
+    if not spark.catalog.tableExists(name):
+        kept = json.loads(spark.read.text(f"{path}{LAYOUT}").first()["value"])
+        columns = StructType.fromJson(json.loads(kept["schema"])).toDDL()
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (symbol) SORTED BY (symbol, date) "
+                  f"INTO {kept['buckets']} BUCKETS LOCATION '{path}'")
+    return spark.table(name)
+
+
 def write_splits(tagged: DataFrame, path: str) -> None:
     tagged.write.mode("overwrite").partitionBy("split").parquet(path)
 

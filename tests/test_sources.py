@@ -143,6 +143,8 @@ def test_jobs_from_csv_to_model(spark, raw, tmp_path):
     feats = readers.read_panel(spark, f"{out}/features")
     assert set(S.FEATURE_COLS + S.LABEL_COLS) <= set(feats.columns)
     assert dict(feats.dtypes)["rsi_14"] == "float" and feats.count() > 500
+    laid = writers.read_by_symbol(spark, f"{out}/by_symbol")
+    assert laid.columns == feats.columns and laid.exceptAll(feats).count() == feats.exceptAll(laid).count() == 0
     gate = spark.read.parquet(f"{out}/gate_report").first()
     assert gate["rows_after"] == feats.count() < gate["rows_before"]
 
