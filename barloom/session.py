@@ -66,6 +66,16 @@ def job_tables(spark: SparkSession):
             p.getFileSystem(conf).delete(p, True)
 
 
+@contextlib.contextmanager
+def outer_tables():
+    """Tables written inside belong to the job around the current one, if there is one."""
+    own = _OWNED.pop()
+    try:
+        yield
+    finally:
+        _OWNED.append(own)
+
+
 def apply_settings(spark: SparkSession) -> None:
     """The SQL settings the jobs rely on, on a session that somebody else has made."""
     for key, value in SETTINGS.items():
