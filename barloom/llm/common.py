@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.session import materialize
+from barloom.session import job_tables, materialize, outer_tables
 
 #: What separates words: space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -58,3 +60,11 @@ def stored(df: DataFrame, batch_rows: int = 1_000) -> DataFrame:
         return materialize(df)
     finally:
         spark.conf.set(name, before)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """`stored(make())`; the tables that `make` stored on its way are removed then."""
+    with job_tables(spark):
+        df = make()
+        with outer_tables():
+            return stored(df)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import GAP, small_side, stored, word_count, word_hashes, words
+from barloom.llm.common import GAP, settled, small_side, stored, word_count, words
 from barloom.llm.components import connected_components
 from barloom.llm.shingle_links import ShingleLinks, text_node
 
@@ -39,7 +39,7 @@ SURE_WORDS = 24
 #: Words around an anchor in which the passage's ends, and pieces behind an edit, are looked for.
 REACH = 64
 BROADCAST_MARKS = 50_000
-_GRAMS = "d long, h long, q int, l1 int, l2 int, g long, again boolean"
+_GRAMS = "d long, h long, q int, g long, again boolean"
 _SPANS = "d long, position int, start int, n_words int, first long, n_occurrences long, removed boolean"
 #: Repeated runs (two numbers each) that may be sent to every executor.
 BROADCAST_RUNS = 2_000_000
@@ -48,6 +48,17 @@ _RUNS = "doc_id long, position int, start int, n_words int, hi long, lo long"
 BANDS = dict(bands=12, rows=3, values=48)
 
 
+def _spread(h):
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(29))
+
+
+_IS_GAP = np.isin(np.arange(256), [32, *range(9, 14)])
+#: What a byte of a word counts; gaps count nothing.
+_VALUES = np.where(_IS_GAP, np.uint64(0), _spread(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+_POWER = np.uint64(0x2545F4914F6CDD1D)
+
+
 def lines_of(docs: DataFrame, text: str) -> DataFrame:
     return docs.select("doc_id", F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1))
                        .alias("position", "line"))
@@ -102,59 +113,115 @@ def _parts(batches, rows: int = 200):
             yield batch.slice(at, rows)
 
 
+def _bytes(column):
+    """(bytes, offsets) of an Arrow column of strings without nulls."""
+    column = column.cast(pa.large_string())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset:column.offset + len(column) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[offsets[0]:offsets[-1]], offsets - offsets[0]
+
+
+def _hashes(data, starts, ends, step: int = 1 << 16):
+    """A 64-bit hash of each word: the sum of its bytes' values times powers by place."""
+    out = np.empty(len(starts), np.uint64)
+    for w in range(0, len(starts), step):
+        s, e = starts[w:w + step], ends[w:w + step]
+        place = np.arange(s[0], e[-1]) - np.repeat(s, np.diff(np.append(s, e[-1])))
+        longest = int((e - s).max())
+        powers = np.cumprod(np.full(longest, _POWER))
+        x = _VALUES[data[s[0]:e[-1]]] * powers[np.minimum(place, longest - 1)]
+        out[w:w + step] = _spread(np.add.reduceat(x, s - s[0]))
+    return out
+
+
+def _words(column):
+    """Over all words of the texts: their hashes, text numbers and lines (from 0 in their text);
+    and the texts' numbers of words."""
+    data, offsets = _bytes(column)
+    gap = _IS_GAP[data]
+    before, behind = np.ones(len(data), bool), np.ones(len(data), bool)
+    before[1:], behind[:-1] = gap[:-1], gap[1:]
+    inner = offsets[(offsets > 0) & (offsets < len(data))]
+    before[inner], behind[inner - 1] = True, True
+    starts, ends = np.flatnonzero(~gap & before), np.flatnonzero(~gap & behind) + 1
+    of = np.searchsorted(offsets, starts, side="right") - 1
+    breaks = np.flatnonzero(data == 10)
+    line = np.searchsorted(breaks, starts) - np.searchsorted(breaks, offsets[:-1])[of]
+    return _hashes(data, starts, ends), of, line, np.bincount(of, minlength=len(column))
+
+
+def _flat(batch, name: str):
+    """(text number, value) of a column of lists without nulls."""
+    n = batch.column(name).value_lengths().to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(n)), n), batch.column(name).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
 def _grams(batch, k: int):
-    """Per word of a batch (rows with `words`): its index in the text, its text's number, the hash
-    of the `k` words from it on, whether these lie in the text, and the texts' ends."""
-    column = batch.column("words")
-    words = column.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    ends = np.cumsum(sizes)
-    of = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(words)) - np.repeat(ends - sizes, sizes)
+    """Per word of a batch (rows with `_text` and the lines `gone`): its index in the text, its
+    text's number, the hash of the `k` words from it on, whether these lie in the text and neither
+    begin nor end in a line that is gone (such lines are longer than a gram), and the texts' words."""
+    words, of, line, sizes = _words(batch.column("_text"))
+    at = np.arange(len(words)) - (np.cumsum(sizes) - sizes)[of]
     h = np.zeros(len(words), np.uint64)
     m = max(len(words) - k + 1, 0)
     for i in range(k):
         h[:m] = h[:m] * np.uint64(0x9E3779B97F4A7C15) + words[i:i + m]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(29)
-    return at, of, h, at + k <= sizes[of], sizes
+    text, position = _flat(batch, "gone")
+    gone = np.isin(of << 32 | line, text << 32 | position)
+    valid = at + k <= sizes[of]
+    valid[:m] &= ~gone[:m] & ~gone[k - 1:]
+    return at, of, _spread(h), valid, sizes
 
 
-def _rows(batch, chosen, at, of, h, k: int):
-    """The chosen grams as rows; `again`: one overlaps the same gram before it."""
+def _again(chosen, at, of, h, k: int):
+    """Which of the chosen grams overlap the same gram before them."""
     q, text, g = at[chosen], of[chosen], h[chosen]
     order = np.lexsort((q, g, text))
     again = np.zeros(len(q), bool)
     same = (np.diff(text[order]) == 0) & (g[order][1:] == g[order][:-1]) & (np.diff(q[order]) < k)
     again[order[1:][same]] = True
-    lines = batch.column("line_words")
-    counts = lines.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    n = lines.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    # The line of a word: the first whose words end behind it, over all texts of the batch.
-    bounds, first = np.cumsum(counts), np.cumsum(n) - n
-    here = chosen[:, None] + np.array([0, k - 1])
-    line = np.searchsorted(bounds, here, side="right") - first[text][:, None]
-    took = pa.array(text)
+    return again
+
+
+def _rows(batch, chosen, at, of, h, k: int):
+    """The chosen grams as rows; `again`: one overlaps the same gram before it."""
+    took = pa.array(of[chosen])
     return pa.RecordBatch.from_arrays(
-        [batch.column("d").take(took), batch.column("h").take(took), pa.array(q.astype(np.int32)),
-         pa.array(line[:, 0].astype(np.int32)), pa.array(line[:, 1].astype(np.int32)), pa.array(g.view(np.int64)),
-         pa.array(again)], names=[f.split()[0] for f in _GRAMS.split(", ")])
+        [batch.column("d").take(took), batch.column("h").take(took), pa.array(at[chosen].astype(np.int32)),
+         pa.array(h[chosen].view(np.int64)), pa.array(_again(chosen, at, of, h, k))],
+        names=[f.split()[0] for f in _GRAMS.split(", ")])
+
+
+def _chosen(batch, k: int, sure: int):
+    """The anchors of a batch and what `_grams` says of them: grams of `k` words chosen by
+    winnowing. Of every sure - k + 1 successive ones that with the least hash is one, so equal
+    stretches of `sure` words hold an equal anchor."""
+    at, of, h, valid, sizes = _grams(batch, k)
+    if len(h) < sure:
+        return np.zeros(0, np.int64), at, of, h
+    starts = np.flatnonzero(at + sure <= sizes[of])
+    least = np.lib.stride_tricks.sliding_window_view(h, sure - k + 1).argmin(axis=1)
+    found = np.unique(starts + least[starts])
+    return found[valid[found]], at, of, h
+
+
+def anchor_counts(texts: DataFrame, k: int = GRAM_WORDS, sure: int = SURE_WORDS) -> DataFrame:
+    """(g, n): how often anchors stand in some texts; a value has several rows."""
+    def count(batches):
+        for batch in _parts(batches):
+            found, at, of, h = _chosen(batch, k, sure)
+            g, n = np.unique(h[found[~_again(found, at, of, h, k)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(g.view(np.int64)), pa.array(n)], names=["g", "n"])
 
+    return texts.mapInArrow(count, "g long, n long")
 
-def anchors(texts: DataFrame, k: int = GRAM_WORDS, sure: int = SURE_WORDS) -> DataFrame:
-    """Grams of `k` words chosen by winnowing: of every sure - k + 1 successive ones that with
-    the least hash, so equal stretches of `sure` words hold an equal anchor."""
-    w = sure - k + 1
 
+def anchors(texts: DataFrame, k: int = GRAM_WORDS, sure: int = SURE_WORDS) -> DataFrame:
+    """The anchors as rows."""
     def choose(batches):
         for batch in _parts(batches):
-            at, of, h, _, sizes = _grams(batch, k)
-            if len(h) < sure:
-                continue
-            starts = np.flatnonzero(at + sure <= sizes[of])
-            least = np.lib.stride_tricks.sliding_window_view(h, w).argmin(axis=1)
-            yield _rows(batch, np.unique(starts + least[starts]), at, of, h, k)
+            yield _rows(batch, *_chosen(batch, k, sure), k)
 
     return texts.mapInArrow(choose, _GRAMS)
 
@@ -163,16 +230,13 @@ def grams_near(texts: DataFrame, k: int = GRAM_WORDS, reach: int = REACH) -> Dat
     """Every gram within `reach` words of the anchors at `marks`."""
     def near(batches):
         for batch in _parts(batches):
-            at, of, h, whole, sizes = _grams(batch, k)
-            marks = batch.column("marks")
-            n = marks.value_lengths().to_numpy(zero_copy_only=False)
-            q = marks.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            text = np.repeat(np.arange(len(n)), n)
+            at, of, h, valid, sizes = _grams(batch, k)
+            text, q = _flat(batch, "marks")
             start = (np.cumsum(sizes) - sizes)[text]
             edge = np.zeros(len(h) + 1, np.int64)
             np.add.at(edge, start + np.maximum(q - reach, 0), 1)
             np.add.at(edge, start + np.minimum(q + reach + 1, sizes[text]), -1)
-            yield _rows(batch, np.flatnonzero((np.cumsum(edge)[:-1] > 0) & whole), at, of, h, k)
+            yield _rows(batch, np.flatnonzero((np.cumsum(edge)[:-1] > 0) & valid), at, of, h, k)
 
     return texts.mapInArrow(near, _GRAMS)
 
@@ -225,29 +289,25 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_wo
     lower = F.lower(F.coalesce(F.col(text), F.lit("")))
     named = docs.select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.xxhash64(lower).alias("h"),
                         lower.alias("_text"))
-
-    def in_words(texts):
-        return texts.withColumns({"words": word_hashes(F.col("_text")), "line_words": F.transform(
-            F.split("_text", "\n", -1), word_count)}).drop("_text")
-
-    def repeats(grams):
-        """The grams outside `gone` that stand in several places, with `n` and the `first` place."""
-        for end in ("l1", "l2"):  # removed lines are longer than a gram
-            grams = grams.join(small_side(gone).withColumnRenamed("position", end), ["d", end], "left_anti")
-        grams = stored(grams.drop("l1", "l2"))
-        twice = stored(grams.groupBy("g").agg(F.count_if(~F.col("again")).alias("n"),
-                                              F.min(F.struct("d", "h", "q")).alias("first")).where("n > 1"))
-        return grams.join(small_side(twice, BROADCAST_RUNS), "g")
-
-    chosen = stored(anchors(in_words(named)))
-    often = stored(chosen.groupBy("g").agg(F.count_if(~F.col("again")).alias("n")).where("n > 1").select("g"))
-    chosen = repeats(chosen.join(small_side(often, BROADCAST_RUNS), "g", "left_semi"))
-    marks = stored(chosen.groupBy("d", "h").agg(F.collect_set("q").alias("marks")))
+    # Anchors are counted, not stored: only those that repeat in lines that stay become rows.
+    lines_gone = stored(gone.groupBy("d").agg(F.collect_set("position").alias("gone")))
+    few = gone.count() <= BROADCAST_RUNS
+    texts = (named.join(F.broadcast(lines_gone) if few else lines_gone, "d", "left")
+             .withColumn("gone", F.coalesce("gone", F.array().cast("array<int>"))))
+    if not few:
+        texts = stored(texts)
+    often = stored(anchor_counts(texts).groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"))
+    marks = stored(anchors(texts).join(small_side(often, BROADCAST_RUNS), "g", "left_semi")
+                   .groupBy("d", "h").agg(F.collect_set("q").alias("marks")))
     # Texts are shuffled and stored as such: word hashes take more room than their letters.
-    held = stored(named.join(small_side(marks, BROADCAST_MARKS), ["d", "h"]))
-    near = in_words(held)
+    held = stored(texts.join(small_side(marks, BROADCAST_MARKS), ["d", "h"]))
+    grams = stored(grams_near(held))
+    # The grams that stand in several places, with `n` and the `first` place.
+    twice = stored(grams.groupBy("g").agg(F.count_if(~F.col("again")).alias("n"),
+                                          F.min(F.struct("d", "h", "q")).alias("first")).where("n > 1"))
+    repeats = grams.join(small_side(twice, BROADCAST_RUNS), "g")
     own = (F.col("d") == F.col("first.d")) & (F.col("h") == F.col("first.h"))
-    told = repeats(grams_near(near)).select(
+    told = repeats.select(
         "d", "h", "q", "n", F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.q").alias("fq"),
         (~own | (F.col("q") >= F.col("first.q") + GRAM_WORDS)).alias("removed")).distinct()
     # Grams that touch or overlap are one piece.
@@ -260,7 +320,8 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_wo
                    F.max(place).alias("z"), F.min("fd").alias("first"), F.max("n").alias("n")))
     by_text = stored(pieces.groupBy("d", "h").agg(F.collect_list(F.struct(
         "removed", "start", "end", "a", "z", "first", "n")).alias("pieces")))
-    lines = near.select("d", "h", "line_words").dropDuplicates(["d", "h"])
+    lines = held.select("d", "h", F.transform(F.split("_text", "\n", -1), word_count).alias("line_words")
+                        ).dropDuplicates(["d", "h"])
     spans = spans_of(by_text.join(lines, ["d", "h"]), least_words)
     return spans.select(F.nullif("d", F.lit(-2**63)).alias("doc_id"), "position", "start", "n_words",
                         F.nullif("first", F.lit(-2**63)).alias("class_id"), "n_occurrences", "removed")
@@ -268,12 +329,14 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_wo
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
     """Repeated lines, and repeated runs of sentences in the lines that stay."""
-    lines = stored(repeated_paragraphs(docs, text)).withColumn("start", F.lit(0))
+    spark = docs.sparkSession
+    lines = settled(spark, lambda: repeated_paragraphs(docs, text)).withColumn("start", F.lit(0))
     # The surviving line of a class keeps its runs, also where a copy of its own row goes.
     gone = stored(lines.groupBy(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), "position")
                   .agg(F.bool_and("removed").alias("all")).where("all").drop("all"))
     columns = ["doc_id", "position", "start", "n_words", "class_id", "n_occurrences", "removed"]
-    return lines.select(columns).union(repeated_runs(docs, gone, text).select(columns))
+    runs = settled(spark, lambda: repeated_runs(docs, gone, text))
+    return lines.select(columns).union(runs.select(columns))
 
 
 def repeated_paragraphs(docs: DataFrame, text: str = "text", least_words: int = LEAST_WORDS,

@@ -290,13 +290,15 @@ class ShingleLinks:
     def block_pairs(rows: DataFrame, group: str, payload: list[str]) -> DataFrame:
         """Rows of `group` dealt to pairs of blocks: (group, x, y, members), bounded lists.
 
-        `x` = `y` holds one block, else the rows of both with their block in `block`.
+        `x` = `y` holds one block, else the rows of both with their block in `block`. Pairs are
+        dealt by all three columns: a join by `group` alone would leave a hot group in one task.
         """
         sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_m")).where("_m > 1")
         dealt = (rows.join(sizes, group).withColumn("_n", F.ceil(F.col("_m") / BLOCK_NODES).cast("int"))
                  .withColumn("block", F.pmod(F.xxhash64("node"), F.col("_n")).cast("int"))
-                 .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))))
-        return (dealt.groupBy(group, F.least("block", "_o").alias("x"), F.greatest("block", "_o").alias("y"))
+                 .withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
+                 .withColumn("x", F.least("block", "_o")).withColumn("y", F.greatest("block", "_o")))
+        return (dealt.repartition(group, "x", "y").groupBy(group, "x", "y")
                 .agg(F.collect_list(F.struct("block", "node", *payload)).alias("members")))
 
     def group_links(self, members: DataFrame) -> DataFrame:

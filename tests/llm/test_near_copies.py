@@ -1,12 +1,16 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from barloom.llm import shingle_links as S
 from barloom.llm.components import connected_components
 from barloom.llm.near_copies import ngram_jaccard_join, one_of_each_class
-from barloom.llm.passages import repeated_passages, sentence_runs, without_repeats
+from barloom.llm.passages import _words, repeated_passages, sentence_runs, without_repeats
+from barloom.llm.shingle_links import ShingleLinks
 from tests.llm import brute
 
 LETTERS = [f"w{i}" for i in range(400)]
@@ -166,3 +170,32 @@ def test_spans_need_no_marks_or_lines(spark):
     assert rows == [(2, 0, 31, 60, 1), (3, 0, 33, 60, 1), (5, 0, 45, 60, 4), (7, 0, 51, 60, 6)]
     kept = sorted((x["doc_id"], x["position"], x["n_words"]) for x in found if x["doc_id"] == 4)
     assert kept == [(4, i, 12) for i in range(1, 6)]
+
+
+def test_block_pairs_of_a_hot_group_lie_in_many_tasks(spark):
+    rows = spark.range(256 * 6).select(F.lit(1).alias("pivot"), F.unhex(F.md5(F.col("id").cast("string"))).alias("node"))
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+                "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = ShingleLinks.block_pairs(rows, "pivot", []).select(
+            "x", "y", F.size("members").alias("n"), F.spark_partition_id().alias("task")).collect()
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+    assert {(r["x"], r["y"]) for r in got} == {(x, y) for x in range(6) for y in range(x, 6)} and len(got) == 21
+    assert len({r["task"] for r in got}) > 6
+
+
+def test_word_table_agrees_with_a_plain_split():
+    texts = ["", "a b\n\nc\x0bété  a", " \t", "\n\nx", "wort" * 50 + " b a", "　 a\nba ab", ""]
+    column = pa.array(["skipped", *texts]).slice(1)
+    h, of, line, sizes = _words(column)
+    plain = [(i, k, w) for i, t in enumerate(texts) for k, part in enumerate(t.split("\n"))
+             for w in re.findall("[^\x20\x09-\x0d]+", part)]
+    assert list(zip(of, line)) == [p[:2] for p in plain]
+    assert list(sizes) == [sum(p[0] == i for p in plain) for i in range(len(texts))]
+    names = [p[2] for p in plain]
+    assert len(set(zip(names, h))) == len(set(names)) == len(set(h))
