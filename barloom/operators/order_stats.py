@@ -3,8 +3,9 @@
 A date's cross-section, a year of a feature or a whole score column can hold a
 third of all rows, so none of these sorts a group in one task. A value is mapped
 to a `cell` by a fixed non-decreasing function; cells of one group are ordered
-like their values. Work then splits in two: a window inside each (group, cell),
-and a running total over the few cells of a group. Equal values are combined
+like their values. Work then splits in three: a window inside each (group, cell), a
+running total over the cells of one range of cells, and one over the ranges of a group.
+A range is a fixed stretch of cells, so no task orders more than 65536 of them. Equal values are combined
 before the first shuffle, so a value shared by many rows is one row here.
 
 The cell depends on the value only - no sampling, no estimates - so a retried
@@ -23,6 +24,9 @@ LINEAR_BELOW = 1e-9
 _LIMIT = 1e150
 #: Longer than tickers, ISINs and their common prefixes.
 TEXT_CELL = 24
+#: Cells of one range: a step of e has one, a group at most some 730; texts share a range by prefix.
+RANGE_CELLS = 65536
+TEXT_RANGE = 3
 
 
 def cell_of(value: Column, text: bool = False) -> Column:
@@ -36,6 +40,35 @@ def cell_of(value: Column, text: bool = False) -> Column:
     return (F.signum(bounded) * size).cast("long")
 
 
+def _range_of(cell: Column, text: bool = False) -> Column:
+    """Non-decreasing in the cell."""
+    return F.substring(cell, 1, TEXT_RANGE) if text else F.floor(cell / F.lit(RANGE_CELLS))
+
+
+def _running(cells: DataFrame, keys, sums: dict, text: bool = False) -> DataFrame:
+    """`cells` (one row per keys and `_cell`) with, for each weight w of `sums`, the sum of w
+    over the group's smaller cells and over the whole group, named by `sums[w]`."""
+    keys = list(keys)
+    c = cells.withColumn("_range", _range_of(F.col("_cell"), text))
+    earlier = Window.unboundedPreceding, -1
+    inside = Window.partitionBy(*keys, "_range").orderBy("_cell").rowsBetween(*earlier)
+    across = Window.partitionBy(*keys).orderBy("_range").rowsBetween(*earlier)
+    whole = Window.partitionBy(*keys)
+    local = c.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_{w}_near") for w in sums])
+    ranges = c.groupBy(*keys, "_range").agg(*[F.sum(w).alias(f"_{w}_range") for w in sums])
+    ranges = ranges.select(
+        *[F.col(k).alias(f"_k_{i}") for i, k in enumerate(keys)], F.col("_range").alias("_k_range"),
+        *[F.coalesce(F.sum(f"_{w}_range").over(across), F.lit(0)).alias(f"_{w}_far") for w in sums],
+        *[F.sum(f"_{w}_range").over(whole).alias(total) for w, (_, total) in sums.items()])
+    same = F.col("_range") == F.col("_k_range")
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{i}"))
+    out = local.join(ranges, same)
+    return out.select(*cells.columns, *[
+        x for w, (before, total) in sums.items()
+        for x in ((F.col(f"_{w}_far") + F.col(f"_{w}_near")).alias(before), F.col(total))])
+
+
 def tie_table(df: DataFrame, keys, value: str, **sums) -> DataFrame:
     """One row per (keys, value): `n` rows, plus a named sum per keyword column."""
     return (df.where(F.col(value).isNotNull())
@@ -57,13 +90,7 @@ def prefix_sums(ties: DataFrame, keys, value: str, weights=("n",)) -> DataFrame:
     local = t.select("*", *[F.coalesce(F.sum(w).over(inside), F.lit(0)).alias(f"_{w}_in")
                             for w in weights])
     cells = t.groupBy(*keys, "_cell").agg(*[F.sum(w).alias(w) for w in weights])
-    before = (Window.partitionBy(*keys).orderBy("_cell")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    whole = Window.partitionBy(*keys)
-    offsets = cells.select(
-        *keys, "_cell",
-        *[F.coalesce(F.sum(w).over(before), F.lit(0)).alias(f"_{w}_off") for w in weights],
-        *[F.sum(w).over(whole).alias(f"{w}_total") for w in weights])
+    offsets = _running(cells, keys, {w: (f"_{w}_off", f"{w}_total") for w in weights}, text).drop(*weights)
     out = local.join(offsets, [*keys, "_cell"])
     for w in weights:
         out = out.withColumn(f"{w}_before", F.col(f"_{w}_off") + F.col(f"_{w}_in"))
@@ -105,12 +132,7 @@ def neighbours(df: DataFrame, keys, value: str, probs, bounded: bool = False) ->
     keys = list(keys)
     d = (df.where(F.col(value).isNotNull())
          .select(*keys, F.col(value).alias("_v"), cell_of(F.col(value)).alias("_cell")))
-    before = (Window.partitionBy(*keys).orderBy("_cell")
-              .rowsBetween(Window.unboundedPreceding, -1))
-    cells = (d.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-             .select(*keys, "_cell", "_n",
-                     F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"),
-                     F.sum("_n").over(Window.partitionBy(*keys)).alias("n")))
+    cells = _running(d.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n")), keys, {"_n": ("_off", "n")})
 
     def spot(p, up):
         pos = F.lit(float(p)) * (F.col("n") - 1)

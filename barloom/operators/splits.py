@@ -71,18 +71,37 @@ def yearly_window(df: DataFrame, year: int, purge_days: int = PURGE_ALL_HORIZONS
 
 
 def sequences(df: DataFrame, features, labels=(), lookback: int = LOOKBACK,
-              stride: int = 1) -> DataFrame:
+              stride: int = 1, block_rows: int = 256) -> DataFrame:
     """Sliding windows per symbol: (symbol, date, x: array<array<float>>, labels).
 
     The frame holds `lookback` rows and is dated by its last; windows start at the
-    symbol's first row and advance by `stride`.
+    symbol's first row and advance by `stride`. A symbol's rows are packed in blocks of
+    `block_rows`, each with the `lookback` - 1 rows before it, and windows are slices of
+    a block: arrays are made only for the windows that are returned, and a row is stored
+    twice at most, whatever the overlap of the windows.
     """
-    frame = timeline().rowsBetween(-(lookback - 1), 0)
+    block_rows = max(block_rows, lookback)
     row = F.array(*[F.col(c).cast("float") for c in features])
-    rn = F.row_number().over(timeline())
-    return (df.withColumns({"_rn": rn, "x": F.collect_list(row).over(frame)})
-            .where((F.col("_rn") >= lookback) & ((F.col("_rn") - lookback) % stride == 0))
-            .select("symbol", "date", "x", *[F.col(c).cast("float").alias(c) for c in labels]))
+    rows = df.select("symbol", "date", F.row_number().over(timeline()).cast("long").alias("_rn"), row.alias("_x"),
+                     *[F.col(c).cast("float").alias(c) for c in labels])
+    own = F.expr(f"(_rn - 1) div {block_rows}")
+    ahead = F.col("_rn") % block_rows
+    ahead = (ahead == 0) | (ahead > block_rows - lookback + 1)
+    dealt = rows.withColumn("_block", F.explode(F.when(
+        ahead & F.lit(lookback > 1), F.array(own, own + 1)).otherwise(F.array(own))))
+    packed = dealt.groupBy("symbol", "_block").agg(
+        F.array_sort(F.collect_list(F.struct("_rn", "date", *labels, "_x"))).alias("_rows"))
+    first = F.element_at("_rows", 1)["_rn"]
+    ends = F.filter("_rows", lambda r: (r["_rn"] > F.col("_block") * block_rows) & (r["_rn"] >= lookback)
+                    & ((r["_rn"] - lookback) % stride == 0))
+
+    def window(end):
+        start = (end["_rn"] - first - lookback + 2).cast("int")
+        x = F.transform(F.slice("_rows", start, F.lit(lookback)), lambda r: r["_x"])
+        return F.struct(end["date"].alias("date"), x.alias("x"), *[end[c].alias(c) for c in labels])
+
+    return (packed.select("symbol", F.explode(F.transform(ends, window)).alias("_w"))
+            .select("symbol", "_w.date", "_w.x", *[F.col("_w")[c].alias(c) for c in labels]))
 
 
 def standardize_target(df: DataFrame, train: DataFrame, target: str, out: str) -> DataFrame:

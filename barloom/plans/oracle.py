@@ -564,6 +564,12 @@ SELECT symbol, fiscal_year_end, known_date, {rcols(
 SELECT t.symbol, t.date, {rcols(['fund_roe', 'fund_net_profit_growth', 'fund_eps_growth'])},
   {r('CASE WHEN eps > 0 THEN adj_close / eps END')} AS fund_pe_ratio
 FROM traded t ASOF LEFT JOIN known k ON k.symbol = t.symbol AND t.date >= k.known_date"""),
+        "asof_events": f"""
+WITH clicks AS (SELECT user_id, ts, max(value) AS value FROM events WHERE event_type = 'click' GROUP BY 1, 2)
+SELECT v.event_id, v.user_id AS "user", {r('c.value')} AS value,
+  CAST(floor(epoch(v.ts)) - floor(epoch(c.ts)) AS BIGINT) AS seconds_since
+FROM (SELECT * FROM events WHERE event_type = 'view') v
+ASOF LEFT JOIN clicks c ON c.user_id = v.user_id AND v.ts >= c.ts""",
         "filing_match": FILINGS + """
 SELECT symbol, fiscal_year_end, known_date, source FROM matched""",
         "filing_provenance": FILINGS + """

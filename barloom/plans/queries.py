@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from barloom.operators import (
     audit, backtest, cleaning, cross_section as xs, fundamentals as fund, labels, metrics,
     scaling, serving, splits, technicals as tech)
+from barloom.operators.asof import asof_join
 from barloom.operators.ewm import add_ewm
 from barloom.schema import TECHNICAL_COLS
 from barloom.session import checkpoint_dir, materialize
@@ -247,6 +248,17 @@ def asof_pe(spark, sf):
     return rounded(d.drop("adj_close"))
 
 
+def asof_events(spark, sf):
+    """Every view with its user's newest click at or before it; days of a user are dealt apart."""
+    events = st.table(spark, sf, "events").withColumns(
+        {"user": F.col("user_id"), "ts": F.col("ts").cast("timestamp")})
+    views = events.where("event_type = 'view'").select("event_id", "user", "ts")
+    clicks = events.where("event_type = 'click'").select("user", F.col("ts").alias("click_ts"), "value")
+    return rounded(asof_join(views, clicks, "ts", "click_ts", by="user", bucket="day")
+                   .withColumn("seconds_since", F.unix_seconds("ts") - F.unix_seconds("click_ts"))
+                   .drop("ts", "click_ts"))
+
+
 def filing_match(spark, sf):
     years = (st.table(spark, sf, "customer").select(F.col("c_mktsegment").alias("symbol"))
              .distinct().withColumn("y", F.explode(F.sequence(F.lit(1995), F.lit(2000))))
@@ -540,7 +552,7 @@ QUERIES = {
         qc_reconcile, qc_summary, break_report, ema_macd, ewm_volume, technical_panel,
         index_regime, vix_regime, sector_loo, market_regime, forward_returns, future_vol,
         break_mask, relative_labels, rank_tercile, vol_adjusted, gate_report,
-        fundamental_growth, asof_pe, filing_match, filing_provenance, statement_pivot,
+        fundamental_growth, asof_pe, asof_events, filing_match, filing_provenance, statement_pivot,
         purged_split, split_inventory, split_integrity, target_audit, scaler_params,
         scaled_features, sequences, time_folds, target_standardized, regression_metrics,
         auc_ap_brier, calibration, confusion, accuracy_by_level, binomial_test, yearly_ic,

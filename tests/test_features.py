@@ -132,3 +132,24 @@ def test_index_is_carried_over_missing_days(spark):
     idx = spark.createDataFrame([(1, 10.0), (3, 30.0)], "date int, nifty_close double")
     got = [(r[0], r[1]) for r in xs.index_on_calendar(dates, idx).orderBy("date").collect()]
     assert got == [(1, 10.0), (2, 10.0), (3, 30.0)]
+
+
+def test_sequences_over_block_ends(spark):
+    import datetime as dt
+
+    from barloom.operators.splits import sequences
+    rows = [("A", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i), -float(i)) for i in range(61)]
+    rows += [("B", dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i), None) for i in range(4)]
+    rows += [("C", dt.date(2020, 1, 1) + dt.timedelta(days=i), None, 1.0) for i in range(5)]
+    df = spark.createDataFrame(rows, "symbol string, date date, f double, y double")
+    for lookback, stride, block in ((5, 3, 5), (5, 1, 8), (1, 2, 7), (4, 7, 60), (5, 2, 256)):
+        got = {(r["symbol"], r["date"]): (r["x"], r["y"]) for r in sequences(
+            df, ["f", "f"], ["y"], lookback, stride, block).collect()}
+        want = {}
+        for symbol in "ABC":
+            own = [r for r in rows if r[0] == symbol]
+            for end in range(lookback - 1, len(own), stride):
+                x = [[r[2], r[2]] for r in own[end - lookback + 1:end + 1]]
+                want[symbol, own[end][1]] = x, own[end][3]
+        assert got == want
+    assert sequences(df.limit(0), ["f"], ["y"]).count() == 0

@@ -41,6 +41,30 @@ def test_asof_against_pandas(spark):
     pd.testing.assert_series_equal(got, want.sort_index())
 
 
+def test_asof_in_buckets_equals_the_plain_join(spark):
+    import numpy as np
+    rng = np.random.default_rng(9)
+    hot = rng.random(4000) < 0.4
+    left = pd.DataFrame({"symbol": np.where(hot, "HOT", rng.choice(list("ABC"), 4000)),
+                         "ts": pd.Timestamp("2020-01-01") + pd.to_timedelta(rng.integers(0, 90 * 86400, 4000), "s"),
+                         "id": range(4000)})
+    quotes = pd.DataFrame({"symbol": rng.choice(["HOT", "A", "B", "D"], 300),
+                           "at": pd.Timestamp("2020-01-03") + pd.to_timedelta(rng.integers(0, 80 * 86400, 300), "s"),
+                           "v": rng.normal(size=300)})
+    quotes.loc[5:9, ["symbol", "at"]] = "A", left.ts[left.symbol == "A"].iloc[0]  # ties, and a time in both
+    ldf, rdf = spark.createDataFrame(left), spark.createDataFrame(quotes)
+    none = spark.createDataFrame([("HOT", None, -1), (None, dt.datetime(2020, 2, 2), -2)], ldf.schema)
+    more = spark.createDataFrame([(None, dt.datetime(2020, 1, 9), 7.0), ("B", dt.datetime(2020, 1, 9), None),
+                                  ("B", None, 1.0)], rdf.schema)
+    ldf, rdf = ldf.union(none), rdf.union(more)
+    plain = {r["id"]: (r["at"], r["v"]) for r in asof.asof_join(ldf, rdf, "ts", "at").collect()}
+    joined = asof.asof_join(ldf, rdf, "ts", "at", bucket="day")
+    assert {r["id"]: (r["at"], r["v"]) for r in joined.collect()} == plain and len(plain) == 4002
+    assert plain[-1] == (None, None) and plain[-2] == (dt.datetime(2020, 1, 9), 7.0)
+    windows = [x for x in joined._jdf.queryExecution().executedPlan().toString().splitlines() if "Window [" in x]
+    assert {"_bucket" in x.split("], [")[1] for x in windows if "_side" in x} == {True}
+
+
 def test_filing_match_window_and_fallback(spark):
     years = spark.createDataFrame([("A", D(2020, 3, 31)), ("B", D(2020, 3, 31))],
                                   "symbol string, fiscal_year_end date")

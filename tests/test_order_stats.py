@@ -113,3 +113,23 @@ def test_concentrated_values_use_many_cells(spark):
     n = d.agg(F.count_distinct(os_.cell_of(F.col("v"))), F.count_distinct(os_.cell_of(F.col("small"))),
               F.count_distinct(os_.cell_of(F.col("name"), True))).first()
     assert n[0] > 2_000 and n[1] > 500 and n[2] == 20_000
+
+
+def test_no_window_orders_all_cells_of_a_group(df):
+    ranked = os_.with_rank(df.select("g", "v", "id"), ["g"], "v", rank="r")
+    plan = ranked._jdf.queryExecution().executedPlan().toString()
+    windows = [x.split("windowspecdefinition(")[1] for x in plan.splitlines() if "Window [" in x and "_cell#" in x]
+    ordered = [x for x in windows if "_cell#" in x.split(" ASC")[0]]
+    assert ordered and all("_range#" in x.split("_cell#")[0] or "v#" in x.split(" ASC")[0] for x in ordered)
+
+
+def test_ranks_over_many_ranges(spark):
+    rng = np.random.default_rng(8)
+    v = np.sign(rng.normal(size=3000)) * np.exp(rng.uniform(-30, 40, 3000))
+    v[:300] = rng.choice([0.0, -0.0, 1e-9, -1e-9, 1e160, -1e160, np.inf, -np.inf], 300)
+    frame = pd.DataFrame({"g": rng.integers(0, 2, 3000), "id": range(3000), "v": v})
+    got = os_.with_rank(spark.createDataFrame(frame), ["g"], "v", rank="r", below="b").toPandas().set_index("id")
+    by = frame.set_index("id").groupby("g").v
+    pd.testing.assert_series_equal(got.r.sort_index(), by.rank(), check_names=False)
+    low = by.rank(method="min") - 1
+    pd.testing.assert_series_equal(got.b.sort_index(), low / by.transform("size"), check_names=False)
