@@ -56,8 +56,13 @@ def volatility_regime(vix: DataFrame, close: str = "close") -> DataFrame:
         ratio_change(close, F.lag(close, 5).over(by_day())).alias("vix_change_5d"))
 
 
-def add_market_regime(panel: DataFrame, vix: DataFrame) -> DataFrame:
-    index = panel.groupBy("date").agg(F.max("nifty_close").alias("nifty_close"))
+def index_days(panel: DataFrame) -> DataFrame:
+    return panel.groupBy("date").agg(F.max("nifty_close").alias("nifty_close"))
+
+
+def add_market_regime(panel: DataFrame, vix: DataFrame, index: DataFrame = None) -> DataFrame:
+    """`index` is the index by day, where the panel doesn't hold the days its windows look back."""
+    index = index_days(panel) if index is None else index
     by_date = attach(index_regime(index), volatility_regime(vix), ["date"])
     out = attach(panel, by_date, ["date"])
     return out.withColumn("relative_strength", F.col("log_return") - F.col("nifty_return"))

@@ -104,24 +104,68 @@ def add_features(df: DataFrame, *groups) -> DataFrame:
     return df.select(*keep)
 
 
+def ema_levels(df: DataFrame, spans=(20, 50, 200), carry: str = None) -> DataFrame:
+    """The exponential means behind the EMA ratios and MACD, and `_seen`, the row's number.
+
+    `carry` names a column that holds, on every row of a symbol whose earlier history is not in
+    `df`, the struct (date, seen, means) of `last_levels`: the means go on from there, and rows
+    before its date have none.
+    """
+    means = {**{f"_ema{s}": s for s in spans}, "_fast": 12, "_slow": 26}
+
+    def source(name, value):
+        if not carry:
+            return F.col(value)
+        at = F.col(f"{carry}.date")
+        return (F.when(F.col("date") < at, None).when(F.col("date") == at, F.col(f"{carry}.{name}"))
+                .otherwise(F.col(value)))
+
+    keep, order = df.columns, timeline()
+    if carry:
+        df = df.withColumns({f"_x{n}": source(n, PRICE) for n in means})
+    df = add_ewm(df, [(f"_x{n}" if carry else PRICE, s, n) for n, s in means.items()])
+    df = df.withColumn("_macd", F.col("_fast") - F.col("_slow"))
+    df = add_ewm(df.withColumn("_line", source("_signal", "_macd")), [("_line", 9, "_signal")])
+    seen = F.row_number().over(order)
+    if carry:
+        later = F.count_if(F.col("date") > F.col(f"{carry}.date")).over(order)
+        seen = F.coalesce(F.col(f"{carry}.seen") + later, seen)
+    return df.withColumn("_seen", seen).select(*keep, *means, "_macd", "_signal", "_seen")
+
+
+def last_levels(levels: DataFrame, spans=(20, 50, 200)) -> DataFrame:
+    """(symbol, _carry): the means at each symbol's last row with a price (its last row, if none)."""
+    names = [*[f"_ema{s}" for s in spans], "_fast", "_slow", "_signal"]
+    state = F.struct("date", F.col("_seen").alias("seen"), *names)
+    return levels.groupBy("symbol").agg(F.max_by(
+        state, F.struct(F.col(PRICE).isNotNull(), F.col("date"))).alias("_carry"))
+
+
 def add_ema_family(df: DataFrame, spans=(20, 50, 200)) -> DataFrame:
     """EMA ratios (first span-1 rows masked) and the unmasked MACD pair."""
-    cols = df.columns
-    df = add_ewm(df, [(PRICE, s, f"_ema{s}") for s in spans]
-                 + [(PRICE, 12, "_fast"), (PRICE, 26, "_slow")])
-    df = df.withColumn("_macd", F.col("_fast") - F.col("_slow"))
-    df = add_ewm(df, [("_macd", 9, "_signal")])
-    df = df.withColumns({"_seen": F.row_number().over(timeline()),
-                         "_hist": F.col("_macd") - F.col("_signal")})
+    return ema_ratios(ema_levels(df, spans), df.columns, spans)
+
+
+def ema_ratios(levels: DataFrame, keep, spans=(20, 50, 200)) -> DataFrame:
+    df = levels.withColumn("_hist", F.col("_macd") - F.col("_signal"))
     new = {f"price_to_ema{s}": F.when(F.col("_seen") >= s, ratio_change(PRICE, f"_ema{s}"))
            for s in spans}
     new["macd_norm"] = safe_div("_macd", PRICE)
     new["macd_hist_norm"] = safe_div("_hist", PRICE)
-    return df.withColumns(new).select(*cols, *new)
+    return df.withColumns(new).select(*keep, *new)
+
+
+def add_window_features(bars: DataFrame) -> DataFrame:
+    """The features that look back a fixed number of rows, at most `WINDOW_ROWS`."""
+    return add_features(
+        bars, log_return(), sma_ratio(), bollinger(), volatility(), rate_of_change(), rsi(),
+        atr(), volume_ratio(), channel_distance(), obv())
+
+
+#: Rows before a row that its window features depend on: 50 and the previous close.
+WINDOW_ROWS = 51
 
 
 def add_technicals(bars: DataFrame) -> DataFrame:
     """All per-symbol features of a bar table keyed (symbol, date)."""
-    return add_ema_family(add_features(
-        bars, log_return(), sma_ratio(), bollinger(), volatility(), rate_of_change(), rsi(),
-        atr(), volume_ratio(), channel_distance(), obv()))
+    return add_ema_family(add_window_features(bars))

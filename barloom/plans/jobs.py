@@ -15,7 +15,7 @@ from barloom import schema as S
 from barloom.operators import (
     audit, backtest, cleaning, fundamentals as fund, metrics, models, scaling, serving, splits)
 from barloom.operators.cross_section import with_row
-from barloom.plans import build
+from barloom.plans import build, refresh
 from barloom.session import apply_settings, job_tables, materialize
 from barloom.sources import readers, writers
 
@@ -74,6 +74,21 @@ def features(spark, raw: str, out: str) -> None:
     writers.write_by_symbol(writers.narrowed(cleaning.gate(full)), f"{out}/by_symbol")
 
 
+def refresh_panel(spark, raw: str, out: str) -> None:
+    """The panel in `out`/refreshed: built once, then extended by the clean bars of later dates."""
+    known = fund.point_in_time(
+        readers.read_fundamentals(spark, _input(raw, "fundamentals"), S.SYMBOL_RENAMES),
+        readers.read_filings(spark, _input(raw, "filings"), S.SYMBOL_RENAMES))
+    clean = readers.read_panel(spark, f"{out}/clean")
+    vix = readers.read_volatility_index(spark, _input(raw, "volatility_index"))
+    have = refresh.covered(spark, f"{out}/refreshed")
+    if have is None:
+        refresh.start(f"{out}/refreshed", clean, vix, known)
+    else:
+        later = clean.where((F.col("year") >= have.year) & (F.col("date") > F.lit(have)))
+        refresh.extend(f"{out}/refreshed", later, vix, known)
+
+
 def prepare(spark, out: str, purge_days: int = splits.PURGE_ALL_HORIZONS,
             train_end=splits.TRAIN_END, val_end=splits.VAL_END) -> None:
     """Purged splits, scaler state and scaled split tables."""
@@ -252,7 +267,7 @@ def ic_report(spark, out: str, target: str = S.PRIMARY_TARGET) -> None:
 
 def main(argv=None) -> None:
     p = argparse.ArgumentParser()
-    p.add_argument("job", choices=["ingest", "audit", "features", "prepare", "regression", "portfolio", "ic",
+    p.add_argument("job", choices=["ingest", "audit", "features", "refresh", "prepare", "regression", "portfolio", "ic",
                                    "matrix", "stacking", "evaluate", "score"])
     p.add_argument("--raw")
     p.add_argument("--out", required=True)
@@ -263,6 +278,7 @@ def main(argv=None) -> None:
     jobs = {"ingest": lambda: ingest(spark, a.raw, a.out),
             "audit": lambda: audit_raw(spark, a.raw, a.out),
             "features": lambda: features(spark, a.raw, a.out),
+            "refresh": lambda: refresh_panel(spark, a.raw, a.out),
             "prepare": lambda: prepare(spark, a.out),
             "regression": lambda: regression(spark, a.out),
             "portfolio": lambda: portfolio_both(spark, a.out), "ic": lambda: ic_report(spark, a.out),

@@ -5,6 +5,9 @@ smaller here: one boosting fit of the published size takes longer than all other
 together on the sandbox. The zoo's defaults and the jobs hold the published settings.
 """
 
+import datetime
+import uuid
+
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -12,7 +15,7 @@ from pyspark.sql import functions as F
 from barloom.operators import (
     backtest, cleaning, fundamentals as fund, labels, metrics, models, scaling, serving,
     splits)
-from barloom.plans import build
+from barloom.plans import build, refresh
 from barloom.plans.queries import CORE, KEY, SPLIT, _features_panel, _statements, rounded
 from barloom.schema import FEATURE_COLS, HORIZONS, LABEL_COLS
 from barloom.session import checkpoint_dir, materialize
@@ -20,6 +23,8 @@ from barloom.sources import sample_tables as st
 from barloom.streaming import live_quotes
 
 FOREST = {"numTrees": 20, "maxDepth": 5, "minInstancesPerNode": 50, "seed": 42}
+#: The last date that `panel_refresh` builds at once.
+REFRESHED_FROM = datetime.date(2001, 5, 31)
 BOOST = {"maxIter": 5, "stepSize": 0.05, "maxDepth": 4, "seed": 42}
 
 
@@ -31,6 +36,19 @@ def feature_panel(spark, sf):
     return rounded(d.select(*KEY, "industry", *FEATURE_COLS, *LABEL_COLS))
 
 
+def panel_refresh(spark, sf):
+    """The same panel, built from the bars up to a date and extended by the later ones."""
+    known = fund.point_in_time(_statements(spark, sf), st.filings(spark, sf))
+    vix = materialize(st.vix_series(spark, sf))
+    clean = materialize(cleaning.clean_panel(
+        st.bars(spark, sf), st.master(spark, sf), st.index_series(spark, sf), st.actions(spark)))
+    known, until = materialize(known), F.col("date") <= F.lit(REFRESHED_FROM)
+    out = f"{checkpoint_dir(spark)}/panels/{uuid.uuid4().hex}"
+    refresh.start(out, clean.where(until), vix, known)
+    refresh.extend(out, clean.where(~until), vix, known)
+    return rounded(refresh.panel(spark, out).select(*KEY, "industry", *FEATURE_COLS, *LABEL_COLS))
+
+
 def _tagged(spark, sf):
     """Scaled, tagged modelling rows with the labels of all horizons."""
     hs = HORIZONS
@@ -208,7 +226,7 @@ def quote_stream(spark, sf):
 
 
 MODEL_QUERIES = {f.__name__: f for f in (
-    feature_panel, mean_eval, majority_eval, momentum_eval, logit_eval, model_matrix,
+    feature_panel, panel_refresh, mean_eval, majority_eval, momentum_eval, logit_eval, model_matrix,
     result_pivot, stacking, walk_forward, walk_forward_edge, model_selection,
     walk_forward_backtest, top_predictions, prediction, score_symbols, return_forecast,
     ensemble_mean, quote_stream)}

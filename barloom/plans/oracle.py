@@ -880,6 +880,7 @@ def model_oracles() -> dict:
         "least(p_roc_20.hi, p_roc_20.center + 5 * p_roc_20.iqr)"
     return {
         "feature_panel": panel_sql(),
+        "panel_refresh": panel_sql(),
         "mean_eval": q(BARS, TAGGED, select=f"""
 SELECT count(*) AS n, {r('avg(abs(p - y))')} AS mae, {r('sqrt(avg((p - y) * (p - y)))')} AS rmse,
   {r('1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*))')} AS r2, 0e0 AS pearson,
