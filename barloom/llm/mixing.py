@@ -15,7 +15,9 @@ over one row per source.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a source of
 its own, ordered last; repeated rows are documents of their own; an empty table gives an
-empty result; a source without words has target 0.
+empty result; a source without words has target 0. Rows without an id, or that share one, are
+spread over the shards by their texts. Columns of the table beyond id, source and text are
+ignored unless named in `keep`; texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -27,6 +29,8 @@ from barloom.llm.common import small_side, stored, word_count
 
 #: A prime above any number of blocks in a shard, so its multiples permute the blocks.
 _STEP = 2147483647
+#: Levels that a narrowing of an apportionment counts quotients at, and narrowings.
+GRID, NARROWINGS = 16, 2
 
 
 def targets(sources: DataFrame, weights=(3, 1, 2), share: float = 1.5,
@@ -62,22 +66,52 @@ def sainte_lague(parties: DataFrame, group: list[str], votes: str, seats: str, o
                  out: str) -> DataFrame:
     """Splits the `seats` of each group among its parties by the highest votes / (2a + 1).
 
-    A party's first seats up to two below its fair share are given without a contest;
-    the quotients around the share are ranked. Parties without votes get none.
+    Of S seats for m parties with V votes, every quotient above V / (2S - m) wins and none
+    below V / (2S + m) does, since a party has floor((v / t + 1) / 2) quotients of at least t.
+    Each of the `NARROWINGS` counts them at `GRID` levels in between, one sum per level, and
+    keeps the two levels around S. Only the quotients between the last two (and one beyond on
+    either side, for rounding) are ranked. The result is the exact rule, ties by `order`. Equal
+    votes stay together however fine the levels are. Parties without votes get no seat.
     """
-    in_group = Window.partitionBy(*group)
-    p = parties.withColumn("_votes", F.sum(votes).over(in_group))
-    fair = F.when(F.col("_votes") > 0, F.col(seats) * F.col(votes) / F.col("_votes")).otherwise(0.0)
-    p = p.withColumn("_sure", F.greatest(F.floor(fair) - 2, F.lit(0)).cast("long"))
-    p = p.withColumn("_open", F.col(seats) - F.sum("_sure").over(in_group))
-    asked = p.select("*", F.explode(F.sequence(F.col("_sure"), F.col("_sure") + 5)).alias("_a"))
-    quotient = F.col(votes) / (2 * F.col("_a") + 1)
-    ranked = asked.withColumn("_rank", F.row_number().over(
-        in_group.orderBy(F.desc(quotient), *order, "_a")))
-    won = F.sum(F.when((F.col("_rank") <= F.col("_open")) & (F.col(votes) > 0), 1).otherwise(0))
-    return (ranked.groupBy(*parties.columns, "_sure")
-            .agg(won.alias("_won"))
-            .withColumn(out, F.col("_sure") + F.col("_won")).drop("_sure", "_won"))
+    p = stored(parties.withColumn("_one", F.lit(0)))
+    keys = ["_one", *group]
+    v, t = F.col(votes), F.col
+    total = p.where(v > 0).groupBy(*keys).agg(
+        F.sum(v).alias("_v"), F.max(v).alias("_top"), F.count(F.lit(1)).alias("_m"), F.max(seats).alias("_s"))
+    most = 2 * t("_s") - t("_m")
+    level = total.select(*keys, "_s", (t("_v") / (2 * t("_s") + t("_m"))).alias("_lo"),
+                         F.when(most > 0, F.least(t("_v") / most, "_top")).otherwise(t("_top")).alias("_hi"))
+
+    def at_least(bar):
+        return F.floor((v / bar + 1) / 2).cast("long")
+
+    for _ in range(NARROWINGS):
+        bars = {i: t("_lo") + (t("_hi") - t("_lo")) * (i / GRID) for i in range(1, GRID)}
+        counted = p.where(v > 0).join(level, keys).groupBy(*keys, "_s", "_lo", "_hi").agg(
+            *[F.sum(at_least(bar)).alias(f"_n{i}") for i, bar in bars.items()])
+        level = counted.select(
+            *keys, "_s",
+            F.greatest("_lo", *[F.when(t(f"_n{i}") >= t("_s"), bar) for i, bar in bars.items()]).alias("_low"),
+            F.least("_hi", *[F.when(t(f"_n{i}") <= t("_s"), bar) for i, bar in bars.items()]).alias("_hi"),
+        ).withColumnRenamed("_low", "_lo")
+    p = p.join(stored(level.drop("_s")), keys, "left")
+    sure = F.when(v > 0, F.greatest(at_least(t("_hi")) - 1, F.lit(0).cast("long"))).otherwise(0).cast("long")
+    p = p.withColumn("_sure", sure)
+    given = p.groupBy(*keys).agg(F.sum("_sure").alias("_given"))
+    asked = p.where(v > 0).select(*keys, *[c for c in parties.columns if c not in group], "_lo", "_sure", F.explode(
+        F.sequence(F.col("_sure"), F.greatest(at_least(t("_lo")), t("_sure")))).alias("_a"))
+    ranked = asked.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(
+        F.desc(v / (2 * F.col("_a") + 1)), *order, "_a"))).join(given, keys)
+    won = ranked.where(F.col("_rank") <= F.col(seats) - F.col("_given"))
+    same = [*group, *order]
+    won = won.groupBy(*same).agg(F.count(F.lit(1)).alias("_won"))
+    won = won.select(*[F.col(c).alias(f"_k_{c}") for c in same], "_won")
+    match = F.lit(True)
+    for c in same:
+        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
+    return (p.join(won, match, "left")
+            .withColumn(out, F.col("_sure") + F.coalesce("_won", F.lit(0)))
+            .select(*parties.columns, out))
 
 
 def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeat: int = 2,
@@ -89,7 +123,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeat:
     `taken` counts repeats and never exceeds `repeat` * size.
     """
     sized = stored(docs.select("doc_id", F.col("source").cast("string").alias("source"),
-                               word_count(F.col("text")).alias("size"), *keep))
+                               word_count(F.col("text")).alias("size"),
+                               F.xxhash64("doc_id", "text").alias("_row"), *keep))
     sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"),
                                           F.count(F.lit(1)).alias("_docs"))
     t = targets(sources, weights, share, repeat)
@@ -101,8 +136,8 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, repeat:
 
     rows = (sized.alias("d").join(t.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source")))
             .select("d.*", "source_size", "target", "_blocks",
-                    F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("_shards")).alias("_shard"),
-                    F.xxhash64(F.lit(seed), "doc_id", F.lit("order")).alias("_key")))
+                    F.pmod(F.xxhash64("_row", F.lit(seed)), F.col("_shards")).alias("_shard"),
+                    F.xxhash64(F.lit(seed), "_row", F.lit("order")).alias("_key")))
     rows = rows.select(  # one key without nulls for the windows and the join below
         "*", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("_src"))
     shards = (rows.groupBy("_src", "_shard", "_blocks")

@@ -78,6 +78,30 @@ def test_sainte_lague(spark, seed):
         assert [got[g, i] for i in range(len(vs))] == brute.apportion(vs, seats[g])
 
 
+def test_uneven_parties(spark):
+    """One party beside a thousand tiny ones, heavy tails, equal votes, and no seats at all."""
+    r = random.Random(8)
+    groups = {"giant": ([1000.0] + [0.4] * 1000, 1400), "tail": ([r.paretovariate(0.7) for _ in range(300)], 777),
+              "equal": ([2.0] * 500, 250), "few": ([r.random() for _ in range(700)], 40), "none": ([1.0, 2.0], 0),
+              "blank": ([0.0, 0.0], 10), "one": ([3.5], 100_000), "null": ([r.random() for _ in range(50)], 60)}
+    df = spark.createDataFrame([(g, f"{i:04}" if g != "null" or i else None, v, s, "x") for g, (vs, s) in groups.items()
+                                for i, v in enumerate(vs)], "g string, i string, v double, s long, extra string")
+    out = sainte_lague(df, ["g"], "v", "s", ["i"], "won")
+    assert out.columns == [*df.columns, "won"]
+    got = {(x["g"], int(x["i"] or 0)): x["won"] for x in out.collect()}
+    assert got["blank", 0] == got["blank", 1] == 0  # parties without votes get none
+    for g, (vs, s) in groups.items():
+        assert g == "blank" or [got[g, i] for i in range(len(vs))] == brute.apportion(vs, s), g
+    assert got["giant", 0] == 1250
+
+
+def test_rows_without_an_id_are_spread(spark):
+    rows = [(None, f"a b c {i}", "s") for i in range(4000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mix_sources(df, shard_rows=100).toPandas()
+    assert out["taken"].sum() == pytest.approx(1.5 * 16000, abs=64) and out["taken"].between(0, 8).all()
+
+
 def test_mix_meets_its_targets(spark):
     r = random.Random(2)
     share = {"a": 3000, "é": 300, "zz": 20, "B": 800, None: 400}
