@@ -9,16 +9,21 @@ page counts fully. A branch's importance is the mean of its nodes' importances,
 by `decay` per level. Branches below `least` are removed from every page of the host.
 
 Tags and names decide what the tree cannot: scripts, styles, forms, menus, headers, footers,
-sidebars, notices, adverts and reader comments go whatever their content. If a page marks
-its article (article, main), only that is taken, and there the tree removes no paragraph or
-heading: an article that a host repeats is still the article.
+sidebars, notices, adverts and reader comments go whatever their content; inside a line of
+text, adverts and hidden pieces do. A header inside an article belongs to it. If a page marks
+its article (article, main), the text is taken from the innermost of article, main and page
+that holds at least half of all that is left outside links, and in what is marked the tree
+removes no paragraph or heading: an article that a host repeats is still the article. Articles
+named as teasers or cards count only where a page has nothing else.
 
 Pages are parsed twice, once for the tree and once for the text, so that nothing but counts
 is shuffled: tasks sum their counts, and a host with a third of all pages is no hot group.
 
 Defined results: a null or empty page has an empty text; a null or unusable url belongs to
 one host of its own; repeated rows give the same text; markup that is never closed ends with
-the page; nodes deeper than `MAX_DEPTH` count for their ancestor there (their text stays).
+the page; nodes deeper than `MAX_DEPTH` count for their ancestor there (their text stays);
+pages of any length are read whole; an empty table gives an empty result; a further column
+named `text` gives way to the result, all others stay.
 """
 
 from __future__ import annotations
@@ -28,6 +33,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from functools import lru_cache
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -56,6 +62,11 @@ NOISE = frozenset("ad ads advert advertisement adsense sponsor sponsored promo p
                   "modal overlay newsletter subscribe subscription signup login share sharing social comment "
                   "comments disqus related recommended footer header masthead widget pagination pager search".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu".split())
+#: Of these, what drops a piece inside a line of text, where the other names are mostly emphasis.
+INLINE_NOISE = frozenset("ad ads advert advertisement adsense sponsored".split())
+TEASERS = frozenset("teaser teasers card cards tile preview related recommended promo sponsored".split())
+#: Longer attributes (pictures written out) are read each time instead of being remembered.
+LONG_ATTRIBUTES = 1000
 KEPT_IN_ARTICLE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre article main".split())
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
@@ -70,46 +81,67 @@ def _child(path: int, signature: str) -> int:
     return xxhash.xxh3_64_intdigest(signature, path & (2**64 - 1)) - 2**63
 
 
+class _Said(NamedTuple):
+    """What an opening tag says: its signature, and whether its names, role or style say noise,
+    noise by no other name than header, noise inside a line, reader comments, a teaser."""
+    signature: str
+    noise: bool = False
+    header: bool = False
+    inline: bool = False
+    comment: bool = False
+    teaser: bool = False
+
+
+def _element(tag: str, attributes: str) -> _Said:
+    return _read(tag, attributes) if len(attributes) <= LONG_ATTRIBUTES else _read.__wrapped__(tag, attributes)
+
+
 @lru_cache(maxsize=50_000)
-def _element(tag: str, attributes: str) -> tuple[str, bool, bool]:
-    """Signature, whether its names or role say noise, whether they say comment."""
+def _read(tag: str, attributes: str) -> _Said:
     if not attributes.strip(" /"):
-        return tag, False, False
+        return _Said(tag)
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}".split()
     plain = [n for n in names if not n.lower().startswith(("has-", "with-", "no-"))]
     tokens = {t.lower() for n in plain for t in _TOKENS.findall(n)}
     style = found.get("style", "").replace(" ", "").lower()
-    noise = (bool(tokens & NOISE) or found.get("role", "").lower() in ROLES or "hidden" in found
-             or found.get("aria-hidden", "").lower() == "true" or "display:none" in style)
+    hidden = ("hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in style)
+    names_noise, other = tokens & NOISE, hidden or found.get("role", "").lower() in ROLES
     signature = tag + "".join("." + _DIGITS.sub("0", n) for n in sorted(names))
-    return signature, noise, bool(tokens & {"comment", "comments", "disqus"})
+    return _Said(signature, bool(names_noise) or other, names_noise == {"header"} and not other,
+                 hidden or bool(tokens & INLINE_NOISE), bool(tokens & {"comment", "comments", "disqus"}),
+                 bool(tokens & TEASERS))
 
 
 class _Open:
     """An element that is open: its place in the style tree and what it says about its text."""
-    __slots__ = ("tag", "path", "depth", "dropped", "region", "parent", "children", "texts", "kept")
+    __slots__ = ("tag", "path", "depth", "dropped", "region", "parent", "children", "texts", "kept", "teaser",
+                 "linked")
 
-    def __init__(self, tag, path, depth, dropped, region, parent, kept):
+    def __init__(self, tag, path, depth, dropped, region, parent, kept, teaser, linked):
         self.tag, self.path, self.depth, self.dropped = tag, path, depth, dropped
         self.region, self.parent, self.kept = region, parent, kept
+        self.teaser, self.linked = teaser, linked
         self.children, self.texts = [], []
 
 
 def parse(page: str):
-    """(blocks, nodes): text blocks as (text, innermost open element), and every element."""
-    root = _Open("", 0, 0, False, 0, None, False)
+    """(blocks, nodes): text blocks as (text, innermost open element, characters outside links),
+    and every element."""
+    root = _Open("", 0, 0, False, 0, None, False, False, False)
     stack, nodes, blocks = [root], [], []
     inline: list[str] = []
+    links: list[str] = []
 
     def flush():
         if inline:
             text = " ".join("".join(inline).split())
             if text:
                 holder = next(o for o in reversed(stack) if o.tag not in INLINE)
-                blocks.append((text, holder))
+                blocks.append((text, holder, len(text) - len(" ".join("".join(links).split()))))
                 holder.texts.append(text)
             inline.clear()
+            links.clear()
 
     def close_to(index):
         flush()
@@ -119,8 +151,11 @@ def parse(page: str):
     while at < end:
         m = _TAG.search(page, at)
         text = page[at:m.start()] if m else page[at:]
-        if text:
+        up = stack[-1]
+        if text and not (up.dropped and up.tag in INLINE):
             inline.append(entities.unescape(text) if "&" in text else text)
+            if up.linked:
+                links.append(inline[-1])
         if not m:
             break
         at = m.end()
@@ -151,15 +186,19 @@ def parse(page: str):
                         break
                 elif stack[i].tag in CONTAINERS and stack[i].tag not in ends:
                     break
-        signature, noise, comment = _element(tag, m[3])
+        said = _element(tag, m[3])
         up = stack[-1]
         region = max(up.region, 2 if tag == "article" else 1 if tag == "main" else 0)
-        exempt = tag in ("html", "body", "main", "article") and not comment
-        dropped = (up.dropped or tag in DROPPED or noise and not exempt
-                   or tag == "header" and not region)
+        if tag in INLINE:
+            noise = said.inline
+        else:
+            noise = (said.noise and not (said.header and region)
+                     and (said.comment or tag not in ("html", "body", "main", "article")))
+        dropped = up.dropped or tag in DROPPED or noise or tag == "header" and not region
         deep = up.depth >= MAX_DEPTH
-        node = _Open(tag, up.path if deep else _child(up.path, signature), up.depth + (not deep), dropped, region, up,
-                     tag in KEPT_IN_ARTICLE)
+        node = _Open(tag, up.path if deep else _child(up.path, said.signature), up.depth + (not deep), dropped, region, up,
+                     tag in KEPT_IN_ARTICLE, up.teaser or tag == "article" and said.teaser,
+                     tag == "a" or tag in INLINE and up.linked)
         if tag not in INLINE and not deep:
             up.children.append(node.path)
             nodes.append(node)
@@ -178,20 +217,25 @@ def main_text(page: str | None, removed: frozenset | set = frozenset()) -> str:
     """The blocks of the main text; `removed` has the style-tree paths of unimportant branches."""
     if not page:
         return ""
-    blocks, _ = parse(page)
-    blocks = [(t, o) for t, o in blocks if not o.dropped]
-    region = max((o.region for _, o in blocks), default=0)
-    kept = []
-    for text, holder in blocks:
-        if holder.region != region:
-            continue
+    blocks = [b for b in parse(page)[0] if not b[1].dropped]
+    blocks = [b for b in blocks if not b[1].teaser] or blocks
+
+    def stays(holder, scope):
         o = holder
-        while o is not None and not (o.path in removed and not (region and o.kept)):
+        while o is not None and not (o.path in removed and not (o.region and o.kept)):
             # In a marked article, only branches inside it are looked at.
-            o = o.parent if not region or o.parent is None or o.parent.region == region else None
-        if o is None:
-            kept.append(text)
-    return "\n".join(kept)
+            o = o.parent if not scope or o.parent is None or o.parent.region >= scope else None
+        return o is None
+
+    total = None
+    found = []
+    for scope in (0, 1, 2):
+        kept = [b for b in blocks if b[1].region >= scope and stays(b[1], scope)]
+        mass = sum(plain for _, _, plain in kept)
+        total = mass if total is None else total
+        if kept and 2 * mass >= total:
+            found = kept
+    return "\n".join(text for text, _, _ in found)
 
 
 def host_of(url: Column) -> Column:
@@ -268,7 +312,7 @@ def style_tree(pages: DataFrame, decay: float = 0.9) -> DataFrame:
 def extract_main_text(pages: DataFrame, url: str = "url", html: str = "html", least: float = 0.2,
                       least_pages: int = 10, decay: float = 0.9) -> DataFrame:
     """The rows of `pages` without `html`, with `text`."""
-    rows = pages.select(*[F.col(c).alias(f"c_{c}") for c in pages.columns if c != html],
+    rows = pages.select(*[F.col(c).alias(f"c_{c}") for c in pages.columns if c not in (html, "text")],
                         host_of(F.col(url)).alias("host"), F.col(html).alias("html"))
     tree = style_tree(rows.select("host", "html"), decay)
     low = stored(tree.where((F.col("importance") < least) & (F.col("pages") >= least_pages))

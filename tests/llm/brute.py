@@ -1,6 +1,7 @@
 """Plain versions of the operators, for small inputs."""
 
 import collections
+import math
 import re
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -84,3 +85,45 @@ def targets(sizes, weights=(3, 1, 2), share=1.5, repeat=2):
         if not over:
             return t
         full |= over
+
+
+def style_tree(pages, decay=0.9):
+    """{path: (importance, uses)} of one host's merged tree, from its definition.
+
+    Pages are nested (signature, [texts], [children]); a path is the signatures from the top.
+    """
+    shapes, contents, paths = collections.defaultdict(list), collections.defaultdict(list), set()
+
+    def visit(page, node, above):
+        path = (*above, node[0])
+        paths.add(path)
+        if node[2]:
+            shapes[path].append(tuple((*path, c[0]) for c in node[2]))
+        contents[path] += [(t, page) for t in node[1]]
+        for c in node[2]:
+            visit(page, c, path)
+
+    for i, top in enumerate(pages):
+        visit(i, top, ())
+
+    def entropy(values):
+        n = collections.Counter(values)
+        total = sum(n.values())
+        return -sum(k / total * math.log(k / total) for k in n.values())
+
+    own, uses = {}, {}
+    for path in paths:
+        texts = {t for t, _ in contents[path]}
+        held = len(set(contents[path]))  # (text, page) pairs
+        if texts:
+            mean = sum(entropy([p for u, p in contents[path] if u == t]) for t in texts) / len(texts)
+            own[path] = 1 - mean / math.log(held) if held > 1 else 1.0
+        elif shapes[path]:
+            n = len(shapes[path])
+            own[path] = entropy(shapes[path]) / math.log(n) if n > 1 else 1.0
+        uses[path] = max(len(shapes[path]), held)
+    out = {}
+    for path in own:
+        below = [(q, decay ** (len(q) - len(path))) for q in own if q[:len(path)] == path]
+        out[path] = (sum(w * own[q] for q, w in below) / sum(w for _, w in below), uses[path])
+    return out

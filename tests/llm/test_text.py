@@ -1,5 +1,6 @@
 """Surrogates, page texts, and the pipeline's stages."""
 
+import random
 import re
 
 import pytest
@@ -103,6 +104,17 @@ PAGES = {
     "<body class='has-sidebar'><header>h</header><div>text</div><div id='cookie-notice'>n</div><dialog>d</dialog>": "text",
     "a < b and c > d": "a < b and c > d",
     "<article><p>never closed": "never closed",
+    # The text lies where most of it stands outside links; teasers count only alone.
+    "<main><p>The real article text.</p><article class='card'>Teaser one</article></main>": "The real article text.",
+    "<div class='post'>Story</div><article class='teaser'>Much longer teaser</article>": "Story",
+    "<article class='card'><p>only</p></article>": "only",
+    "<main><p>long intro of the text</p><article><p>short</p></article></main>": "long intro of the text\nshort",
+    "<article><p>A b</p></article><div><a href=x>a list of links that is</a> - <a>longer than the text</a></div>": "A b",
+    # Headers inside an article are its own, those outside are the page's.
+    "<article><header class='entry-header'><h1>T</h1></header><p>x</p></article>": "T\nx",
+    "<div class='header'>s</div><article><div class='article-header'><h1>T</h1></div><p>x</p></article>": "T\nx",
+    # Adverts and hidden pieces inside a line.
+    "<p>x <span class='ad'>BUY <b>NOW</b></span> y <em class=share>z</em> <span hidden>secret</span></p>": "x y z",
     "": "", None: "",
 }
 
@@ -129,6 +141,54 @@ def test_site_style_tree(spark):
     assert out.count() == len(rows) and H.extract_main_text(df.limit(0)).count() == 0
 
 
+def test_style_tree_against_its_definition(spark):
+    r = random.Random(4)
+
+    def grown(depth):
+        texts = [r.choice(["same", "also the same", f"own {r.random()}"]) for _ in range(r.choice([0, 0, 1, 2]))]
+        children = [grown(depth - 1) for _ in range(r.randint(0, 3))] if depth else []
+        return r.choice(["div", "section.a", "div.b0"]), texts, children
+
+    def written(node):
+        tag, _, name = node[0].partition(".")
+        inner = "".join(written(c) for c in node[2])
+        texts = "<hr>".join(node[1])
+        return f"<{tag}{f' class={name}' if name else ''}>{texts}{inner}</{tag}>"
+
+    def with_rules(node):  # what stands between two texts is a child as well
+        kids = [("hr", [], [])] * max(len(node[1]) - 1, 0)
+        return node[0], node[1], kids + [with_rules(c) for c in node[2]]
+
+    hosts = {f"h{k}.example": [("div", [], [grown(3)]) for _ in range(n)] for k, n in enumerate((1, 2, 25))}
+    df = spark.createDataFrame([(h, written(p)) for h, pages in hosts.items() for p in pages], "host string, html string")
+    got = {(x["host"], x["path"]): (x["importance"], x["pages"]) for x in H.style_tree(df).collect()}
+
+    def numbered(path):
+        at = 0
+        for signature in path:
+            at = H._child(at, signature)
+        return at
+
+    want = {(h, numbered(p)): v for h, pages in hosts.items()
+            for p, v in brute.style_tree([with_rules(p) for p in pages]).items()}
+    assert len(want) > 30 and set(want) <= set(got)
+    for k, (importance, uses) in want.items():
+        assert got[k] == (pytest.approx(importance, abs=1e-9), uses)
+    assert set(got) == set(want)
+
+
+def test_extra_columns_and_long_attributes(spark):
+    picture = "data:" + "x" * 300_000
+    df = spark.createDataFrame([(1, "u", f"<p class=a style='background:{picture}'>t</p>", "old", 2)],
+                               "page_id int, url string, html string, text string, host int")
+    out = H.extract_main_text(df)
+    assert out.columns == ["page_id", "url", "host", "text"]
+    assert out.first().asDict() == {"page_id": 1, "url": "u", "host": 2, "text": "t"}
+    before = H._read.cache_info().currsize
+    H.parse(f"<p title='{picture}'>t</p>")
+    assert H._read.cache_info().currsize == before
+
+
 def test_deep_and_long_pages():
     deep = "<div>" * 3000 + "x" + "</div>" * 3000
     assert H.main_text(deep) == "x"
