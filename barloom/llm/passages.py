@@ -19,6 +19,8 @@ come first; extra columns are not read; an empty table gives an empty result.
 from __future__ import annotations
 
 import re
+from hashlib import md5
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import GAP, settled, small_side, stored, word_count, words
+from barloom.llm.common import BROADCAST_ROWS, GAP, settled, small_side, stored
 from barloom.llm.components import connected_components
-from barloom.llm.shingle_links import ShingleLinks, text_node
+from barloom.llm.shingle_links import ShingleLinks
 
 LEAST_WORDS = 20
 WINDOW_WORDS = 30
@@ -39,8 +41,12 @@ SURE_WORDS = 24
 #: Words around an anchor in which the passage's ends, and pieces behind an edit, are looked for.
 REACH = 64
 BROADCAST_MARKS = 50_000
-_GRAMS = "d long, h long, q int, g long, again boolean"
-_SPANS = "d long, position int, start int, n_words int, first long, n_occurrences long, removed boolean"
+_GRAMS = "t long, line_words array<int>, q array<int>, g array<long>, again array<boolean>"
+_TOLD = "t long, at long, n long, first long"
+_PIECES = "t long, removed boolean, start long, end long, a long, z long, first long, n long"
+_SPANS = "t long, position int, start int, n_words int, first long, n_occurrences long, removed boolean"
+#: Rows of a few numbers that go to Python at once.
+NUMBER_ROWS = 20_000
 #: Repeated runs (two numbers each) that may be sent to every executor.
 BROADCAST_RUNS = 2_000_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -59,18 +65,45 @@ _VALUES = np.where(_IS_GAP, np.uint64(0), _spread(np.arange(1, 257, dtype=np.uin
 _POWER = np.uint64(0x2545F4914F6CDD1D)
 
 
-def lines_of(docs: DataFrame, text: str) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), "\n", -1))
-                       .alias("position", "line"))
+_LINES = "doc_id long, position int, n_words int, node binary, words array<long>"
 
 
-def hashed(lines: DataFrame, least_words: int) -> DataFrame:
-    """Lines that are long enough, with n_words, node and the hashes of their words."""
-    # Fewer characters than so many words and gaps take can't be enough; most lines end here.
-    long = lines.where(F.char_length("line") >= 2 * least_words - 1).withColumn("_w", words(F.col("line")))
-    return (long.withColumn("n_words", F.size("_w")).where(F.col("n_words") >= least_words)
-            .withColumn("node", text_node(F.array_join("_w", " ")))
-            .withColumn("words", F.transform("_w", lambda w: F.xxhash64(w))).drop("line", "_w"))
+def _names(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def lowered(text: str):
+    return F.lower(F.coalesce(F.col(text), F.lit("")))
+
+
+def hashed_lines(batches, least_words: int, wanted: bool = False):
+    """Lines of lower-cased texts (doc_id, _text) that are long enough: doc_id, position, n_words,
+    node and the hashes of their words. `wanted`: only those listed in `chosen` as (p, node)."""
+    for part in _parts(batches):
+        docs = part.column("doc_id").to_pylist()
+        out, flat = ([], [], [], []), []
+        asked = part.column("chosen").to_pylist() if wanted else repeat(None)
+        for doc, text, chosen in zip(docs, part.column("_text").cast(pa.binary()).to_pylist(), asked):
+            chosen = chosen and {(c["p"], c["node"]) for c in chosen}
+            places = chosen and {p for p, _ in chosen}
+            for position, line in enumerate(text.split(b"\n")):
+                # Fewer bytes than so many words and gaps take can't be enough; most lines end here.
+                if len(line) < 2 * least_words - 1 or wanted and position not in places:
+                    continue
+                found = line.split()
+                if len(found) < least_words:
+                    continue
+                node = md5(b" ".join(found)).digest()
+                if wanted and (position, node) not in chosen:
+                    continue
+                for column, value in zip(out, (doc, position, len(found), node)):
+                    column.append(value)
+                flat += found
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, flat, repeat(42)), np.uint64, len(flat)).view(np.int64)
+        ends = np.cumsum([0, *out[2]]).astype(np.int32)
+        yield pa.RecordBatch.from_arrays(
+            [*(pa.array(c, t) for c, t in zip(out, (pa.int64(), pa.int32(), pa.int32(), pa.binary()))),
+             pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes))], names=_names(_LINES))
 
 
 def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
@@ -102,7 +135,7 @@ def sentence_runs(docs: DataFrame, text: str = "text", least_words: int = WINDOW
                 columns = list(zip(*out)) or [[]] * 6
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                                 names=[f.split()[0] for f in _RUNS.split(", ")])
+                                                 names=_names(_RUNS))
 
     return docs.select("doc_id", F.col(text).alias("_text")).mapInArrow(runs, _RUNS)
 
@@ -184,13 +217,10 @@ def _again(chosen, at, of, h, k: int):
     return again
 
 
-def _rows(batch, chosen, at, of, h, k: int):
-    """The chosen grams as rows; `again`: one overlaps the same gram before it."""
-    took = pa.array(of[chosen])
-    return pa.RecordBatch.from_arrays(
-        [batch.column("d").take(took), batch.column("h").take(took), pa.array(at[chosen].astype(np.int32)),
-         pa.array(h[chosen].view(np.int64)), pa.array(_again(chosen, at, of, h, k))],
-        names=[f.split()[0] for f in _GRAMS.split(", ")])
+def _lists(values, of, texts: int):
+    """An Arrow column with the values of each text, in the order of `of`."""
+    ends = np.append(0, np.cumsum(np.bincount(of, minlength=texts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
 
 
 def _chosen(batch, k: int, sure: int):
@@ -218,16 +248,21 @@ def anchor_counts(texts: DataFrame, k: int = GRAM_WORDS, sure: int = SURE_WORDS)
 
 
 def anchors(texts: DataFrame, k: int = GRAM_WORDS, sure: int = SURE_WORDS) -> DataFrame:
-    """The anchors as rows."""
+    """The anchors as rows (d, h, q, g)."""
     def choose(batches):
         for batch in _parts(batches):
-            yield _rows(batch, *_chosen(batch, k, sure), k)
+            found, at, of, h = _chosen(batch, k, sure)
+            took = pa.array(of[found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("d").take(took), batch.column("h").take(took), pa.array(at[found].astype(np.int32)),
+                 pa.array(h[found].view(np.int64))], names=["d", "h", "q", "g"])
 
-    return texts.mapInArrow(choose, _GRAMS)
+    return texts.mapInArrow(choose, "d long, h long, q int, g long")
 
 
 def grams_near(texts: DataFrame, k: int = GRAM_WORDS, reach: int = REACH) -> DataFrame:
-    """Every gram within `reach` words of the anchors at `marks`."""
+    """Every gram within `reach` words of the anchors at `marks`, one row per text `t` with its
+    words per line; `again`: the gram overlaps the same one before it."""
     def near(batches):
         for batch in _parts(batches):
             at, of, h, valid, sizes = _grams(batch, k)
@@ -236,36 +271,118 @@ def grams_near(texts: DataFrame, k: int = GRAM_WORDS, reach: int = REACH) -> Dat
             edge = np.zeros(len(h) + 1, np.int64)
             np.add.at(edge, start + np.maximum(q - reach, 0), 1)
             np.add.at(edge, start + np.minimum(q + reach + 1, sizes[text]), -1)
-            yield _rows(batch, np.flatnonzero((np.cumsum(edge)[:-1] > 0) & valid), at, of, h, k)
+            chosen = np.flatnonzero((np.cumsum(edge)[:-1] > 0) & valid)
+            lines = [[len(line.split()) for line in text.split(b"\n")]
+                     for text in batch.column("_text").cast(pa.binary()).to_pylist()]
+            columns = [at[chosen].astype(np.int32), h[chosen].view(np.int64), _again(chosen, at, of, h, k)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("t"), pa.array(lines, pa.list_(pa.int32())),
+                 *(_lists(c, of[chosen], batch.num_rows) for c in columns)], names=_names(_GRAMS))
 
     return texts.mapInArrow(near, _GRAMS)
 
 
-def spans_of(pieces: DataFrame, least_words: int, k: int = GRAM_WORDS) -> DataFrame:
-    """Spans of rows (d, line_words, pieces), cut at line ends. Pieces that follow each other here
+def whole_groups(batches, key: str):
+    """Rows sorted by `key` as NumPy columns; rows of one value come together."""
+    def joined(parts):
+        table = pa.Table.from_batches(parts)
+        return {name: table.column(name).to_numpy() for name in table.column_names}
+
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = batch.column(key).to_numpy()
+        changes = np.flatnonzero(np.diff(values)) + 1
+        if len(changes) or held and values[0] != last:
+            cut = int(changes[-1]) if len(changes) else 0
+            held.append(batch.slice(0, cut))
+            yield joined(held)
+            held = [batch.slice(cut)]
+        else:
+            held.append(batch)
+        last = values[-1]
+    if held:
+        yield joined(held)
+
+
+def told_grams(grams: DataFrame, bits: int, k: int = GRAM_WORDS) -> DataFrame:
+    """The grams that stand in several places: (t, at, n, first). A place is a number, t times
+    2^bits and q; `at` is q, and 2^bits more if the gram is to be removed; `first` is its first place."""
+    def tell(batches):
+        for c in whole_groups(batches, "g"):
+            place, again = c["place"] >> 1, c["place"] & 1
+            starts = np.flatnonzero(np.append(True, np.diff(c["g"]) != 0))
+            n = np.add.reduceat(1 - again, starts)
+            sizes = np.diff(np.append(starts, len(place)))
+            often = np.repeat(n > 1, sizes)
+            place, first, n = place[often], np.repeat(place[starts], sizes)[often], np.repeat(n, sizes)[often]
+            t, q = place >> bits, place & (1 << bits) - 1
+            removed = (t != first >> bits) | (q >= (first & (1 << bits) - 1) + k)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (t, removed.astype(np.int64) << bits | q, n, first)],
+                                             names=_names(_TOLD))
+
+    flat = grams.select("t", F.inline(F.arrays_zip("g", "q", "again"))).select(
+        "g", (F.shiftleft("t", bits + 1) + F.shiftleft(F.col("q").cast("long"), 1) + F.col("again").cast("long"))
+        .alias("place"))
+    return flat.repartition("g").sortWithinPartitions("g", "place").mapInArrow(tell, _TOLD)
+
+
+def pieces_of(told: DataFrame, bits: int, k: int = GRAM_WORDS) -> DataFrame:
+    """Grams that touch or overlap are one piece, with the first places `a`, `z` of its ends."""
+    def join(batches):
+        for c in whole_groups(batches, "t"):
+            t, first, n = c["t"], c["first"], c["n"]
+            removed, q = c["at"] >> bits, c["at"] & (1 << bits) - 1
+            apart = (np.diff(t) != 0) | (np.diff(removed) != 0) | (np.diff(q) > k)
+            starts = np.flatnonzero(np.append(True, apart))
+            ends = np.append(starts[1:], len(t)) - 1
+            columns = [t[starts], removed[starts] == 1, q[starts], q[ends] + k, first[starts], first[ends],
+                       np.minimum.reduceat(first, starts) >> bits, np.maximum.reduceat(n, starts)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=_names(_PIECES))
+
+    return told.repartition("t").sortWithinPartitions("t", "at").mapInArrow(join, _PIECES)
+
+
+def numbered(texts: DataFrame) -> tuple[DataFrame, int]:
+    """A stored copy with numbers `t` from 0 in the order of (d, h), and the rows. The driver sees
+    one count per partition."""
+    placed = stored(texts.orderBy("d", "h").withColumn("_i", F.monotonically_increasing_id())
+                    .withColumn("_part", F.shiftright("_i", 33)))
+    starts, n = [], 0
+    for part, rows in sorted(tuple(r) for r in placed.groupBy("_part").count().collect()):
+        starts.append((part, n - (part << 33)))
+        n += rows
+    begin = texts.sparkSession.createDataFrame(starts, "_part long, _begin long")
+    return (placed.join(F.broadcast(begin), "_part").withColumn("t", F.col("_i") + F.col("_begin"))
+            .drop("_i", "_part", "_begin")), n
+
+
+def spans_of(pieces: DataFrame, least_words: int, bits: int, k: int = GRAM_WORDS) -> DataFrame:
+    """Spans of rows (t, line_words, pieces), cut at line ends. Pieces that follow each other here
     and at their first places are one span over an edit, as long as the shingles of both sides
     have a Jaccard similarity of 0.8."""
     def join(batches):
         for batch in batches:
             out = []
-            for d, lines, found in zip(*(batch.column(c).to_pylist() for c in ("d", "line_words", "pieces"))):
+            for t, lines, found in zip(*(batch.column(c).to_pylist() for c in ("t", "line_words", "pieces"))):
                 for removed in (False, True):
                     spans = []
                     for p in sorted((p for p in found if p["removed"] == removed), key=lambda p: p["start"]):
-                        a, z = p["a"], p["z"]
-                        end_first = z["fq"] + k
+                        a, z = (divmod(p[c], 1 << bits) for c in "az")
+                        end_first = z[1] + k
                         if spans:
                             s = spans[-1]
-                            gap, other = p["start"] - s["end"], a["fq"] - s["end_first"]
+                            gap, other = p["start"] - s["end"], a[1] - s["end_first"]
                             equal = s["equal"] + p["end"] - p["start"] - 4
                             lost = s["lost"] + gap + other + 8
-                            if (s["place"] == (a["fd"], a["fh"]) and 0 <= gap and 0 <= other
+                            if (s["place"] == a[0] and 0 <= gap and 0 <= other
                                     and 5 * equal >= 4 * (equal + lost)):
-                                s.update(end=p["end"], end_first=end_first, place=(z["fd"], z["fh"]), equal=equal,
+                                s.update(end=p["end"], end_first=end_first, place=z[0], equal=equal,
                                          lost=lost, first=min(s["first"], p["first"]), n=max(s["n"], p["n"]))
                                 continue
                         spans.append(dict(start=p["start"], end=p["end"], end_first=end_first, first=p["first"],
-                                          place=(z["fd"], z["fh"]), equal=p["end"] - p["start"] - 4, lost=0, n=p["n"]))
+                                          place=z[0], equal=p["end"] - p["start"] - 4, lost=0, n=p["n"]))
                     for s in spans:
                         if s["end"] - s["start"] < least_words:
                             continue
@@ -273,20 +390,20 @@ def spans_of(pieces: DataFrame, least_words: int, k: int = GRAM_WORDS) -> DataFr
                         for position, n in enumerate(lines):
                             start, end = max(s["start"], at), min(s["end"], at + n)
                             if start < end:
-                                out.append((d, position, start - at, end - start, s["first"], s["n"], removed))
+                                out.append((t, position, start - at, end - start, s["first"], s["n"], removed))
                             at += n
             types = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_()]
             columns = list(zip(*out)) or [[]] * len(types)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)],
-                                             names=[f.split()[0] for f in _SPANS.split(", ")])
+                                             names=_names(_SPANS))
 
-    return pieces.select("d", "line_words", "pieces").mapInArrow(join, _SPANS)
+    return pieces.select("t", "line_words", "pieces").mapInArrow(join, _SPANS)
 
 
 def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_words: int = WINDOW_WORDS) -> DataFrame:
     """(doc_id, position, start, n_words, class_id, n_occurrences, removed): spans of equal words,
     wherever they start and end. Words in the lines `gone` (d, position) are no occurrences."""
-    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
+    lower = lowered(text)
     named = docs.select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.xxhash64(lower).alias("h"),
                         lower.alias("_text"))
     # Anchors are counted, not stored: only those that repeat in lines that stay become rows.
@@ -297,34 +414,27 @@ def repeated_runs(docs: DataFrame, gone: DataFrame, text: str = "text", least_wo
     if not few:
         texts = stored(texts)
     often = stored(anchor_counts(texts).groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"))
-    marks = stored(anchors(texts).join(small_side(often, BROADCAST_RUNS), "g", "left_semi")
-                   .groupBy("d", "h").agg(F.collect_set("q").alias("marks")))
-    # Texts are shuffled and stored as such: word hashes take more room than their letters.
-    held = stored(texts.join(small_side(marks, BROADCAST_MARKS), ["d", "h"]))
+    marks, n = numbered(anchors(texts).join(small_side(often, BROADCAST_RUNS), "g", "left_semi")
+                        .groupBy("d", "h").agg(F.collect_set("q").alias("marks")))
+    # Only texts with marks are shuffled, and as such: word hashes take more room than their letters.
+    if BROADCAST_MARKS < n <= BROADCAST_RUNS:
+        texts = texts.join(F.broadcast(marks.select("d", "h")), ["d", "h"], "left_semi")
+    held = texts.join(F.broadcast(marks) if n <= BROADCAST_MARKS else marks, ["d", "h"])
+    # One row per text; as rows of their own, grams are a hash and a place, dealt once by the
+    # hash, and those that repeat once more by the text.
     grams = stored(grams_near(held))
-    # The grams that stand in several places, with `n` and the `first` place.
-    twice = stored(grams.groupBy("g").agg(F.count_if(~F.col("again")).alias("n"),
-                                          F.min(F.struct("d", "h", "q")).alias("first")).where("n > 1"))
-    repeats = grams.join(small_side(twice, BROADCAST_RUNS), "g")
-    own = (F.col("d") == F.col("first.d")) & (F.col("h") == F.col("first.h"))
-    told = repeats.select(
-        "d", "h", "q", "n", F.col("first.d").alias("fd"), F.col("first.h").alias("fh"), F.col("first.q").alias("fq"),
-        (~own | (F.col("q") >= F.col("first.q") + GRAM_WORDS)).alias("removed")).distinct()
-    # Grams that touch or overlap are one piece.
-    line = Window.partitionBy("d", "h", "removed").orderBy("q")
-    apart = F.col("q") > F.coalesce(F.lag("q").over(line), F.lit(-2**20)) + GRAM_WORDS
-    place = F.struct("q", "fd", "fh", "fq")
-    pieces = (told.withColumn("_apart", apart.cast("int")).withColumn("piece", F.sum("_apart").over(line))
-              .groupBy("d", "h", "removed", "piece")
-              .agg(F.min("q").alias("start"), (F.max("q") + GRAM_WORDS).alias("end"), F.min(place).alias("a"),
-                   F.max(place).alias("z"), F.min("fd").alias("first"), F.max("n").alias("n")))
-    by_text = stored(pieces.groupBy("d", "h").agg(F.collect_list(F.struct(
-        "removed", "start", "end", "a", "z", "first", "n")).alias("pieces")))
-    lines = held.select("d", "h", F.transform(F.split("_text", "\n", -1), word_count).alias("line_words")
-                        ).dropDuplicates(["d", "h"])
-    spans = spans_of(by_text.join(lines, ["d", "h"]), least_words)
-    return spans.select(F.nullif("d", F.lit(-2**63)).alias("doc_id"), "position", "start", "n_words",
-                        F.nullif("first", F.lit(-2**63)).alias("class_id"), "n_occurrences", "removed")
+    bits = 62 - max(n, 1).bit_length()
+    pieces = pieces_of(told_grams(grams, bits), bits)
+    by_text = stored(pieces.groupBy("t").agg(F.collect_list(F.struct(
+        "removed", "start", "end", "a", "z", "first", "n")).alias("pieces")), NUMBER_ROWS)
+    lines = grams.select("t", "line_words").dropDuplicates(["t"])
+    spans = spans_of(by_text.join(lines, "t"), least_words, bits)
+    names = marks.select("t", F.nullif("d", F.lit(-2**63)).alias("doc_id"))
+    firsts = names.select(F.col("t").alias("first"), F.col("doc_id").alias("class_id"))
+    if n <= BROADCAST_ROWS:
+        names, firsts = F.broadcast(names), F.broadcast(firsts)
+    return (spans.join(names, "t").join(firsts, "first")
+            .select("doc_id", "position", "start", "n_words", "class_id", "n_occurrences", "removed"))
 
 
 def repeated_passages(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -347,19 +457,21 @@ def repeated_paragraphs(docs: DataFrame, text: str = "text", least_words: int =
     class's first occurrence), n_occurrences, removed.
     """
     steps = steps or ShingleLinks(**BANDS)
-    sketched = stored(steps.sketches(hashed(lines_of(docs, text), least_words)))
+    named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lowered(text).alias("_text"))
+    kept = ["doc_id", "position", "n_words", "node"]
+    sketched = stored(named.mapInArrow(
+        lambda batches: steps.sketched(hashed_lines(batches, least_words), kept),
+        "doc_id long, position int, n_words int, node binary, n long, sig binary"))
     place = F.struct(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), F.col("position").alias("p"))
     where = sketched.groupBy("node").agg(F.min(place).alias("place"))
 
     def fetch(nodes):
         chosen = stored(where.join(small_side(nodes), "node").select("node", "place.d", "place.p"))
         # Only the documents that hold a chosen line are parted again, and only it is hashed.
-        named = docs.select(F.coalesce("doc_id", F.lit(-2**63)).alias("d"), "doc_id", F.col(text).alias("_text"))
-        held = named.join(small_side(stored(chosen.select("d").distinct())), "d", "left_semi")
-        again = lines_of(held.select(F.col("d").alias("doc_id"), "_text"), "_text").withColumnsRenamed(
-            {"doc_id": "d", "position": "p"})
-        return (hashed(again.join(small_side(chosen.withColumnRenamed("node", "_node")), ["d", "p"]), least_words)
-                .where("node = _node").select("node", "words"))
+        asked = stored(chosen.groupBy("d").agg(F.collect_list(F.struct("p", "node")).alias("chosen")))
+        held = (named.withColumn("d", F.coalesce("doc_id", F.lit(-2**63))).join(small_side(asked), "d")
+                .select("doc_id", "_text", "chosen"))
+        return held.mapInArrow(lambda batches: hashed_lines(batches, least_words, True), _LINES).select("node", "words")
 
     _, edges = steps.run(sketched, fetch)
     roots = connected_components(edges)

@@ -221,22 +221,22 @@ class ShingleLinks:
     def sketches(self, texts: DataFrame) -> DataFrame:
         """(kept columns, n, sig) of rows (kept columns, words), rows without words left out."""
         kept = [c for c in texts.columns if c != "words"]
-        n, k = self.n, self.k
-
-        def sketch(batches):
-            for batch in batches:
-                for at in range(0, batch.num_rows, 2_000):
-                    part = batch.slice(at, 2_000)
-                    sizes = part.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-                    flat, counts = shingle_hashes(
-                        part.column("words").flatten().to_numpy(zero_copy_only=False), sizes, n)
-                    sig = minhashes(flat, counts, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [*[part.column(c) for c in kept], pa.array(sizes),
-                         pa.array([s.tobytes() for s in sig], pa.binary())], names=[*kept, "n", "sig"])
-
         fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema if f.name in kept)
-        return texts.where(F.size("words") > 0).mapInArrow(sketch, f"{fields}, n long, sig binary")
+        return texts.where(F.size("words") > 0).mapInArrow(
+            lambda batches: self.sketched(batches, kept), f"{fields}, n long, sig binary")
+
+    def sketched(self, batches, kept: list[str]):
+        """Batches (kept columns, n, sig) of batches (kept columns, words), all with words."""
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2_000):
+                part = batch.slice(at, 2_000)
+                sizes = part.column("words").value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat, counts = shingle_hashes(
+                    part.column("words").flatten().to_numpy(zero_copy_only=False), sizes, self.n)
+                sig = minhashes(flat, counts, self.k)
+                yield pa.RecordBatch.from_arrays(
+                    [*[part.column(c) for c in kept], pa.array(sizes),
+                     pa.array([s.tobytes() for s in sig], pa.binary())], names=[*kept, "n", "sig"])
 
     def band_rows(self, sketched: DataFrame) -> DataFrame:
         """(key, node), one row per band."""

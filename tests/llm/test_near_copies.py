@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from barloom.llm import shingle_links as S
 from barloom.llm.components import connected_components
 from barloom.llm.near_copies import ngram_jaccard_join, one_of_each_class
-from barloom.llm.passages import _words, repeated_passages, sentence_runs, without_repeats
+from barloom.llm import passages as passages_module
+from barloom.llm.passages import (_words, grams_near, hashed_lines, repeated_passages, sentence_runs, whole_groups,
+                                  without_repeats)
 from barloom.llm.shingle_links import ShingleLinks
 from tests.llm import brute
 
@@ -199,3 +201,51 @@ def test_word_table_agrees_with_a_plain_split():
     assert list(sizes) == [sum(p[0] == i for p in plain) for i in range(len(texts))]
     names = [p[2] for p in plain]
     assert len(set(zip(names, h))) == len(set(names)) == len(set(h))
+
+
+def test_lines_are_hashed_as_by_column_expressions(spark):
+    lines = ["a b  c\td", "\x0bété " + "wort" * 20 + " ß x ", "", "1 2", "one two three 4"]
+    texts = spark.createDataFrame([(7, "\n".join(lines)), (None, "")], "doc_id long, _text string")
+    batch = pa.RecordBatch.from_arrays([pa.array([7, None]), pa.array(["\n".join(lines), ""])], names=["doc_id", "_text"])
+    got = pa.Table.from_batches(hashed_lines([batch], 3)).to_pylist()
+    part = F.filter(F.split("line", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    want = (texts.select("doc_id", F.posexplode(F.split("_text", "\n", -1)).alias("position", "line"))
+            .select("doc_id", "position", F.size(part).alias("n_words"), F.unhex(F.md5(F.array_join(part, " "))).alias("node"),
+                    F.transform(part, lambda w: F.xxhash64(w)).alias("words")).where("n_words >= 3").collect())
+    assert [tuple(r.values()) for r in got] == [(*r[:3], bytes(r["node"]), r["words"]) for r in want] and len(got) == 3
+
+
+def test_groups_stay_together_across_batches():
+    values = [1, 1, 1, 2, 2, 3, 3, 3, 3, 3, 4, 5, 5]
+    batches = [pa.RecordBatch.from_arrays([pa.array(values[i:i + 2]), pa.array(range(i, min(i + 2, 13)))], names=["g", "x"])
+               for i in range(0, 13, 2)]
+    parts = list(whole_groups([batches[0].slice(0, 0), *batches], "g"))
+    assert [v for c in parts for v in c["g"]] == values and [x for c in parts for x in c["x"]] == list(range(13))
+    seen = [v for c in parts for v in set(c["g"].tolist())]
+    assert len(seen) == len(set(seen))
+
+
+def test_grams_are_one_row_per_text(spark):
+    text = "\n".join([" ".join(LETTERS[:9]), "", " ".join(LETTERS[:20])])
+    texts = spark.createDataFrame([(3, text, [], [0, 4]), (5, "a b", [], [])],
+                                  "t long, _text string, gone array<int>, marks array<int>")
+    long, short = grams_near(texts, reach=5).orderBy("t").collect()
+    n = len(text.split())
+    assert long["line_words"] == [9, 0, n - 9] and long["q"] == list(range(10)) and len(long["g"]) == len(long["again"]) == 10
+    assert short["line_words"] == [2] and short["q"] == short["g"] == short["again"] == []
+
+
+def test_spans_agree_when_nothing_is_broadcast(spark, monkeypatch):
+    r = random.Random(12)
+    rand = lambda n: [r.choice(LETTERS) for _ in range(n)]
+    shared = [rand(50) for _ in range(3)]
+    docs = [(d, " ".join(rand(30 + d) + shared[d % 3] + rand(20) + shared[(d + d // 3) % 3] + rand(25))) for d in range(7)]
+    docs += [docs[2], (None, docs[4][1] + " z"), (None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    told = lambda: sorted(map(str, repeated_passages(df).collect()))
+    want = told()
+    for name, value in (("BROADCAST_MARKS", 0), ("BROADCAST_ROWS", 0), ("NUMBER_ROWS", 3)):
+        monkeypatch.setattr(passages_module, name, value)
+    assert told() == want and any("removed=True" in x for x in want)
+    monkeypatch.setattr(passages_module, "BROADCAST_RUNS", 0)
+    assert told() == want
